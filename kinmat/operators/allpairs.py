@@ -27,6 +27,7 @@ from kinmat.operators.skew import every_salt, own_salt
 # larger norm is below 19.95 times the smaller one. The band is a little wider.
 _RATIO = 1.0025 * (1 + math.sqrt(1 - 4 * EXIST_FRACTION**2)) / (2 * EXIST_FRACTION)
 _MAX_TASKS = 20_000
+_MIN_BLOCK_ROWS = 1024
 
 _TILE_SCHEMA = T.StructType([
     T.StructField("row_idx", T.LongType()),
@@ -53,7 +54,7 @@ def _banded(store: VectorStore) -> DataFrame:
 def block_rows_for(total: int, dim: int, parallelism: int, max_bytes: int = MAX_TILE_BYTES) -> int:
     """Largest block within the memory bound that still gives every core a tile."""
     by_memory = max(1, max_bytes // (4 * dim))
-    by_cores = math.ceil(total / max(1, math.isqrt(2 * parallelism)))
+    by_cores = max(_MIN_BLOCK_ROWS, math.ceil(total / max(1, math.isqrt(2 * parallelism))))
     return max(1, min(by_memory, by_cores))
 
 

@@ -10,6 +10,7 @@ from kinmat.functions.similarity import dequantise
 from kinmat.model import StoredMatrix, VectorStore
 from kinmat.operators.allpairs import collapse_copies, self_join
 from kinmat.operators.skew import every_salt, own_salt, salts_for
+from kinmat.session import settle
 
 CELL_COLUMNS = ("row_idx", "col_idx", "q", "row_copies", "col_copies")
 
@@ -32,6 +33,11 @@ def build_matrix(store: VectorStore, block_rows: int | None = None) -> StoredMat
     return StoredMatrix(cells, copies, store.ids)
 
 
+def keep_matrix(matrix: StoredMatrix) -> StoredMatrix:
+    """The matrix as tables in the shared folder, computed once."""
+    return StoredMatrix(settle(matrix.cells.select(*CELL_COLUMNS)), settle(matrix.copies), matrix.ids)
+
+
 def _members(cells: DataFrame, copies: DataFrame, end: str) -> DataFrame:
     """Replace a representative by its members at one end of every cell.
 

@@ -19,16 +19,27 @@ VERDICTS = (
 PROBLEMS = (VERDICTS[0], VERDICTS[1], VERDICTS[2], VERDICTS[5])
 
 
-def compare_slice(truth: DataFrame, cells: DataFrame) -> DataFrame:
+def _members(ids: DataFrame | None, cells: DataFrame, key: str, flag: str) -> DataFrame:
+    named = cells.select(key) if ids is None else ids.select(F.col("acc").alias(key))
+    return named.groupBy(key).agg(F.lit(True).alias(flag))
+
+
+def compare_slice(
+    truth: DataFrame,
+    cells: DataFrame,
+    rows: DataFrame | None = None,
+    cols: DataFrame | None = None,
+) -> DataFrame:
     """One verdict per truth pair.
 
     ``cells`` is a long slice (row_acc, col_acc, cell). Whether a pair belongs
     to the slice is decided by its row and its column apart; a pair
-    inside the slice without a cell counts as 0. NULL and NaN count as found
-    and never as equal.
+    inside the slice without a cell counts as 0, so stored cells are enough when
+    the id lists ``rows`` and ``cols`` (acc) of the slice are given. NULL and NaN
+    count as found and never as equal.
     """
-    rows = cells.groupBy("row_acc").agg(F.lit(True).alias("has_row"))
-    cols = cells.groupBy("col_acc").agg(F.lit(True).alias("has_col"))
+    rows = _members(rows, cells, "row_acc", "has_row")
+    cols = _members(cols, cells, "col_acc", "has_col")
     stored = cells.select("row_acc", "col_acc", "cell", F.lit(True).alias("has_cell"))
     joined = (
         truth.join(stored, ["row_acc", "col_acc"], "left")
