@@ -20,5 +20,5 @@ MAX_BROADCAST_BYTES = 64 << 20     # query vectors kept in memory by every task
 MAX_TILE_BYTES = 32 << 20          # one block of vectors, half of an all-pairs tile
 MAX_WIDE_COLUMNS = 10_000          # columns of a wide slice
 HOT_GROUP_ROWS = 100_000           # rows of one key per task before it is salted
-JOIN_SALTS = 16                    # salts where the size of a key is not known
+MAX_HOT_KEYS = 10_000              # keys treated one by one, by their share of all rows
 PAIR_GROUP_ROWS = 2_000            # rows of one key per task where pairs of them are formed

@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 from kinmat.constants import EXIST_FRACTION, MAX_TILE_BYTES
 from kinmat.model import ROW_TRUTH_SCHEMA, VectorStore
 from kinmat.operators import kernel
-from kinmat.operators.skew import every_salt, own_salt
+from kinmat.operators.skew import join_grouped
+from kinmat.session import settle, ship_package
 
 # A pair needs n_i * n_j > 0.05 * (n_i^2 + n_j^2) by Cauchy-Schwarz, so the
 # larger norm is below 19.95 times the smaller one. The band is a little wider.
@@ -119,6 +120,7 @@ def _join_tiles(tiled: DataFrame, dim: int, tiles: int, triangular: bool) -> Dat
                 names=_TILE_SCHEMA.names,
             )
 
+    ship_package(tiled.sparkSession)
     return (
         tiled.select("tile_row", "tile_col", "side", "idx", "norm_sq", "copies", "v")
         .repartition(max(1, min(2 * tiles, _MAX_TASKS)), "tile_row", "tile_col")
@@ -227,20 +229,18 @@ def collapse_copies(store: VectorStore) -> tuple[VectorStore, DataFrame]:
     computed and kept for every pair of copies. The content digest is counted
     map-side, so a hot group reaches the shuffle as one row per task.
     """
-    keyed = store.vectors.select(
-        "idx",
-        F.sha2(F.concat_ws("|", F.col("norm_sq").cast("string"), F.array_join("v", ",")), 256)
-        .alias("digest"),
-    )
+    content = F.concat_ws("|", F.col("norm_sq").cast("string"), F.array_join("v", ","))
+    keyed = settle(store.vectors.select("idx", F.sha2(content, 256).alias("digest")))
     groups = keyed.groupBy("digest").agg(
         F.min("idx").alias("rep_idx"), F.count(F.lit(1)).alias("copies")
     )
-    repeated = groups.where("copies > 1").withColumn("salt", every_salt())
-    members = (
-        keyed.withColumn("salt", own_salt("idx"))
-        .join(repeated, ["digest", "salt"])
-        .select("idx", "rep_idx", F.col("copies").alias("n_copies"))
+    repeated = settle(groups.where("copies > 1"))
+    members = join_grouped(keyed, repeated, "digest", "copies", "idx").select(
+        "idx", "rep_idx", F.col("copies").alias("n_copies")
     )
+    if repeated.isEmpty():
+        one = F.lit(1).cast("bigint")
+        return store.restrict(store.vectors.withColumn("copies", one)), members
     reps = groups.select(F.col("rep_idx").alias("idx"), "copies")
     vectors = store.vectors.join(reps, "idx")
     return store.restrict(vectors), members

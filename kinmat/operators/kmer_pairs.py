@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from kinmat.constants import KMER_LENGTH, PAIR_GROUP_ROWS
 from kinmat.functions.kmers import kmer_set, set_exists
-from kinmat.operators.skew import every_salt, own_salt
+from kinmat.operators.skew import every_salt, join_grouped, own_salt, salts_for
 from kinmat.session import settle
 
 CLASS = ("df", "mark_a", "mark_b")
@@ -34,13 +34,11 @@ class KmerNeighbours:
 
 def copy_groups(docs: DataFrame) -> DataFrame:
     """(id, rep_id, copies): every text with the smallest id of the same text."""
-    keyed = docs.select("id", F.sha2("text", 256).alias("digest"))
+    keyed = settle(docs.select("id", F.sha2("text", 256).alias("digest")))
     groups = keyed.groupBy("digest").agg(F.min("id").alias("rep_id"), F.count(F.lit(1)).alias("copies"))
-    repeated = groups.where("copies > 1").withColumn("salt", every_salt())
-    return (
-        keyed.withColumn("salt", own_salt("id"))
-        .join(repeated, ["digest", "salt"], "left")
-        .select("id", F.coalesce("rep_id", "id").alias("rep_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    repeated = settle(groups.where("copies > 1"))
+    return join_grouped(keyed, repeated, "digest", "copies", "id", "left").select(
+        "id", F.coalesce("rep_id", "id").alias("rep_id"), F.coalesce("copies", F.lit(1)).alias("copies")
     )
 
 
@@ -52,15 +50,13 @@ def shared_classes(sets: DataFrame) -> DataFrame:
     """
     postings = sets.select("id", "size", F.explode("kmers").alias("kmer"))
     mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), F.col("id")))
-    occurrence = (
+    occurrence = settle(
         postings.groupBy("kmer")
         .agg(F.count(F.lit(1)).alias("df"), mark(1).alias("mark_a"), mark(2).alias("mark_b"))
         .where("df > 1")
-        .withColumn("salt", every_salt())
     )
     return (
-        postings.withColumn("salt", own_salt("id"))
-        .join(occurrence, ["kmer", "salt"])
+        join_grouped(postings, occurrence, "kmer", "df", "id")
         .groupBy("id", "size", *CLASS)
         .agg(F.count(F.lit(1)).alias("weight"))
     )
@@ -78,7 +74,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     weighed = classes.withColumn(
         "tail", F.sum("weight").over(tail.rowsBetween(Window.unboundedPreceding, 0))
     ).select("id", "size", *CLASS, "tail")
-    salts = F.ceil(F.col("df") / F.lit(PAIR_GROUP_ROWS))
+    salts = salts_for(F.col("df"), PAIR_GROUP_ROWS)
     small = weighed.where("10 * tail > size").select(
         F.col("id").alias("small"), F.col("size").alias("small_size"), *CLASS,
         own_salt("id", salts).alias("salt"),
@@ -99,7 +95,7 @@ def candidates(classes: DataFrame) -> DataFrame:
 
 def kmer_neighbours(docs: DataFrame, k: int = KMER_LENGTH) -> KmerNeighbours:
     """All existing pairs of ``docs`` (id LONG, text STRING) with exact counts."""
-    groups = copy_groups(docs)
+    groups = settle(copy_groups(docs))
     reps = groups.where("id = rep_id").select("id", "copies")
     kmers = docs.join(reps, "id", "left_semi").select("id", kmer_set(F.col("text"), k).alias("kmers"))
     sets = settle(kmers.select("id", F.size("kmers").alias("size"), "kmers"))
@@ -129,27 +125,21 @@ def kmer_neighbours(docs: DataFrame, k: int = KMER_LENGTH) -> KmerNeighbours:
         .join(reps.toDF("id_b", "copies_b"), "id_b")
     )
     sizes = sets.select(F.col("id").alias("rep_id"), "size")
-    repeated = sizes.withColumn("salt", every_salt())
-    members = (
-        groups.withColumn("salt", own_salt("id")).join(repeated, ["rep_id", "salt"])
-        .select("id", "rep_id", "copies", "size")
-    )
-    return KmerNeighbours(pairs, members)
+    sizes = sizes.join(reps.toDF("rep_id", "n_rows"), "rep_id")
+    members = join_grouped(groups, sizes, "rep_id", "n_rows", "id").select("id", "rep_id", "copies", "size")
+    return KmerNeighbours(settle(pairs), members)
 
 
 def degrees(found: KmerNeighbours) -> DataFrame:
     """(id, degree) of every text, copies counted but never paired up."""
     pairs = found.pairs
-    ends = pairs.select("id_a", F.col("copies_b").alias("n")).unionAll(
-        pairs.select("id_b", F.col("copies_a").alias("n"))
+    ends = pairs.select("id_a", "copies_a", "copies_b").unionAll(
+        pairs.select("id_b", "copies_b", "copies_a")
     )
-    others = ends.toDF("rep_id", "n").groupBy("rep_id").agg(F.sum("n").alias("others"))
+    others = ends.toDF("rep_id", "n_rows", "n").groupBy("rep_id", "n_rows").agg(F.sum("n").alias("others"))
     own = F.when(F.col("size") > 0, F.col("copies") - 1).otherwise(0)
-    repeated = others.withColumn("salt", every_salt())
-    return (
-        found.members.withColumn("salt", own_salt("id"))
-        .join(repeated, ["rep_id", "salt"], "left")
-        .select("id", (F.coalesce("others", F.lit(0)) + own).alias("degree"))
+    return join_grouped(found.members, others, "rep_id", "n_rows", "id", "left").select(
+        "id", (F.coalesce("others", F.lit(0)) + own).alias("degree")
     )
 
 

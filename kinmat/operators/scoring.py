@@ -13,6 +13,7 @@ from kinmat.constants import ABSENT, MAX_BROADCAST_BYTES
 from kinmat.model import PAIR_TRUTH_SCHEMA, ROW_TRUTH_SCHEMA, VectorStore
 from kinmat.operators import kernel
 from kinmat.operators.allpairs import block_pairs
+from kinmat.session import ship_package
 
 _INPUT = ("idx", "acc", "norm_sq", "v")
 
@@ -42,6 +43,7 @@ def full_rows(
     if block is None:
         return block_pairs(queries, store)
     spark = queries.sparkSession
+    ship_package(spark)
     shared = spark.sparkContext.broadcast(block)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,6 +85,7 @@ def pair_truth(
     block = _query_block(rows, dim, max_broadcast_bytes)
     if block is None:
         raise ValueError("the sampled rows exceed the broadcast bound")
+    ship_package(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(block)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,24 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmat.constants import HOT_GROUP_ROWS, JOIN_SALTS
+from kinmat.constants import HOT_GROUP_ROWS, MAX_HOT_KEYS
 
 
-def own_salt(column: str, salts: Column | int = JOIN_SALTS) -> Column:
+def own_salt(column: str, salts: Column) -> Column:
     """The salt of one row of the large side, fixed by its own id."""
-    count = F.lit(salts) if isinstance(salts, int) else salts
-    return F.pmod(F.xxhash64(column), count).cast("int")
+    return F.pmod(F.xxhash64(column), salts).cast("int")
 
 
-def every_salt(salts: Column | int = JOIN_SALTS) -> Column:
+def every_salt(salts: Column) -> Column:
     """All salts of a key: repeats a row of the other side once per salt."""
-    count = F.lit(salts) if isinstance(salts, int) else salts
-    return F.explode(F.sequence(F.lit(0), (count - 1).cast("int")))
+    return F.explode(F.sequence(F.lit(0), (salts - 1).cast("int")))
 
 
-def salts_for(rows: Column) -> Column:
+def salts_for(rows: Column, per_task: int = HOT_GROUP_ROWS) -> Column:
     """Salts of a key with a known number of rows; one for ordinary keys."""
-    return F.greatest(F.lit(1), F.ceil(rows / F.lit(HOT_GROUP_ROWS)).cast("int"))
+    return F.greatest(F.lit(1), F.ceil(rows / F.lit(per_task)).cast("int"))
+
+
+def join_grouped(
+    large: DataFrame,
+    groups: DataFrame,
+    key: str,
+    rows: str,
+    spread_by: str,
+    how: str = "inner",
+    hot_rows: int = HOT_GROUP_ROWS,
+) -> DataFrame:
+    """Join ``large`` to ``groups``, one row per ``key`` with its row count in ``large``.
+
+    Keys above a share of 1/MAX_HOT_KEYS of all counted rows (and above
+    ``hot_rows``) are hot; by that share there are fewer than MAX_HOT_KEYS of
+    them, which bounds what is broadcast. Rows of a hot key are split by
+    a hash of ``spread_by`` and its group row is repeated per piece. ``groups`` is
+    read three times and should be a settled or cheap table.
+    """
+    total = groups.agg(F.sum(rows).alias("n")).first()["n"] or 0
+    limit = max(hot_rows, total // MAX_HOT_KEYS)
+    hot = groups.where(F.col(rows) > limit).select(key, salts_for(F.col(rows), limit).alias("salts"))
+    if total <= limit or hot.isEmpty():
+        return large.join(groups, key, how)
+    split = (
+        large.join(F.broadcast(hot), key, "left")
+        .withColumn("salt", own_salt(spread_by, F.coalesce("salts", F.lit(1))))
+        .drop("salts")
+    )
+    pieces = groups.withColumn("salt", every_salt(salts_for(F.col(rows), limit)))
+    return split.join(pieces, [key, "salt"], how).drop("salt")

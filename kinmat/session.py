@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pathlib
+import shutil
 import tempfile
 import uuid
 
@@ -18,6 +20,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: s
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -26,6 +29,19 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: s
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the driver runs.
+
+    Needed once per session; harmless where executors have it installed.
+    """
+    context = spark.sparkContext
+    if any(f.endswith("/kinmat.zip") for f in context.listFiles):
+        return
+    root = pathlib.Path(__file__).resolve().parent.parent
+    base = pathlib.Path(tempfile.mkdtemp(prefix="kinmat-")) / "kinmat"
+    context.addPyFile(shutil.make_archive(str(base), "zip", root, "kinmat"))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -25,6 +25,7 @@ from pyspark.sql.datasource import (
 
 from kinmat.functions.similarity import norm_of, squared
 from kinmat.model import VectorStore
+from kinmat.session import ship_package
 from kinmat.sources.text import numbered_lines
 
 _VALUE_BYTES = 4
@@ -141,6 +142,7 @@ class Int32VectorReader(DataSourceReader):
 
 def read_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
     """SRC-1: (idx, v)."""
+    ship_package(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Int32VectorSource)
     return spark.read.format("int32_vectors").option("dimension", str(dim)).load(path)
