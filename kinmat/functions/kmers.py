@@ -18,7 +18,9 @@ def kmer_set(text: Column, k: int = KMER_LENGTH) -> Column:
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))
+    # The search advances by UTF-16 units; a k-mer cannot start inside a pair of them.
+    window = rf"(?s)(?=([^\x{{DC00}}-\x{{DFFF}}].{{{k - 1}}}))"
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(window), F.lit(1)))
 
 
 def set_jaccard(a: Column, b: Column) -> Column:

@@ -13,13 +13,24 @@ def _wanted(wanted: DataFrame) -> DataFrame:
     return wanted.select(F.col("acc").alias("row_acc")).distinct()
 
 
-def _present(decoded: DataFrame) -> DataFrame:
-    """Rows that have any decoded entry, self included."""
-    return decoded.groupBy("row_acc").agg(F.lit(True).alias("present"))
+def present_rows(decoded: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """Rows that have any decoded entry, self included, or an empty list.
+
+    ``listed`` (row_acc) names the lists that exist, entries or not; a table of
+    entries alone cannot tell an empty list from none.
+    """
+    rows = decoded.select("row_acc")
+    if listed is not None:
+        rows = rows.unionAll(listed.select("row_acc"))
+    return rows.groupBy("row_acc").agg(F.lit(True).alias("present"))
 
 
 def compare_rows(
-    wanted: DataFrame, truth: DataFrame, decoded: DataFrame, tolerance: float = QUANT_STEP
+    wanted: DataFrame,
+    truth: DataFrame,
+    decoded: DataFrame,
+    tolerance: float = QUANT_STEP,
+    listed: DataFrame | None = None,
 ) -> DataFrame:
     """Q-3: (accession, neighbor, issue, expected, actual) per disagreement.
 
@@ -45,7 +56,7 @@ def compare_rows(
         .withColumn("issue", issue)
         .where("issue is not null")
         # Only disagreements are matched with the presence of their row.
-        .join(_present(own), "row_acc", "left")
+        .join(present_rows(own, listed), "row_acc", "left")
     )
     entries = found.where("present").select(
         F.col("row_acc").alias("accession"), F.col("id").alias("neighbor"), "issue", "expected", "actual"
@@ -78,7 +89,10 @@ def rows_summary(wanted: DataFrame, truth: DataFrame, mismatches: DataFrame) ->
 
 
 def check_self_pairs(
-    wanted: DataFrame, decoded: DataFrame, tolerance: float = SELF_TOLERANCE
+    wanted: DataFrame,
+    decoded: DataFrame,
+    tolerance: float = SELF_TOLERANCE,
+    listed: DataFrame | None = None,
 ) -> DataFrame:
     """Q-2: (accession, self_jaccard, status) for every wanted row.
 
@@ -91,12 +105,13 @@ def check_self_pairs(
         F.max(own).alias("self_jaccard"), F.count(has_self).alias("n_self")
     )
     status = (
-        F.when(F.col("n_self").isNull(), "no_row")
-        .when(F.col("n_self") == 0, "self_missing")
+        F.when(F.col("present").isNull(), "no_row")
+        .when(F.coalesce("n_self", F.lit(0)) == 0, "self_missing")
         .when(differs(F.col("self_jaccard"), F.lit(1.0), tolerance), "self_not_one")
         .otherwise("ok")
     )
-    return _wanted(wanted).join(rows, "row_acc", "left").select(
+    known = _wanted(wanted).join(rows, "row_acc", "left")
+    return known.join(present_rows(decoded, listed), "row_acc", "left").select(
         F.col("row_acc").alias("accession"), "self_jaccard", status.alias("status")
     )
 
@@ -107,10 +122,16 @@ def self_anomalies(checked: DataFrame) -> DataFrame:
 
 def missing_rows(wanted: DataFrame, decoded: DataFrame) -> DataFrame:
     """J-11: wanted rows without any decoded entry."""
-    return _wanted(wanted).join(_present(decoded), "row_acc", "left_anti")
+    return _wanted(wanted).join(present_rows(decoded), "row_acc", "left_anti")
 
 
-def diff_runs(wanted: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+def diff_runs(
+    wanted: DataFrame,
+    a: DataFrame,
+    b: DataFrame,
+    listed_a: DataFrame | None = None,
+    listed_b: DataFrame | None = None,
+) -> DataFrame:
     """Q-6: exact comparison of two decoded runs, self entries included.
 
     Returns (accession, neighbor, issue, value_a, value_b). A row that one run
@@ -125,6 +146,11 @@ def diff_runs(wanted: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
             )
         )
     left, right = sides
+    has_a, has_b = (
+        present_rows(side, listed).withColumnRenamed("present", name)
+        for side, listed, name in ((left, listed_a, "has_a"), (right, listed_b, "has_b"))
+    )
+    rows = has_a.join(has_b, "row_acc", "full_outer").join(ids, "row_acc", "left_semi")
     unequal: Column = ~F.col("value_a").eqNullSafe(F.col("value_b"))
     issue = (
         F.when(F.col("in_value_b").isNull(), "only_a")
@@ -135,15 +161,15 @@ def diff_runs(wanted: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
         left.join(right, ["row_acc", "id"], "full_outer")
         .withColumn("issue", issue)
         .where("issue is not null")
-        .join(_present(left).withColumnRenamed("present", "has_a"), "row_acc", "left")
-        .join(_present(right).withColumnRenamed("present", "has_b"), "row_acc", "left")
+        .join(rows.where("has_a and has_b"), "row_acc", "left_semi")
     )
-    entries = found.where("has_a and has_b").select(
+    entries = found.select(
         F.col("row_acc").alias("accession"), F.col("id").alias("neighbor"), "issue", "value_a", "value_b"
     )
-    lone = found.where("has_a is null or has_b is null").groupBy(F.col("row_acc").alias("accession")).agg(
+    lone = rows.where("has_a is null or has_b is null").select(
+        F.col("row_acc").alias("accession"),
         F.lit(None).cast("string").alias("neighbor"),
-        F.when(F.first("has_a").isNull(), "row_only_b").otherwise("row_only_a").alias("issue"),
+        F.when(F.col("has_a").isNull(), "row_only_b").otherwise("row_only_a").alias("issue"),
         F.lit(None).cast("double").alias("value_a"),
         F.lit(None).cast("double").alias("value_b"),
     )
