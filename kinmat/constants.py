@@ -22,3 +22,4 @@ MAX_WIDE_COLUMNS = 10_000          # columns of a wide slice
 HOT_GROUP_ROWS = 100_000           # rows of one key per task before it is salted
 MAX_HOT_KEYS = 10_000              # keys treated one by one, by their share of all rows
 PAIR_GROUP_ROWS = 2_000            # rows of one key per task where pairs of them are formed
+MAX_LIST_ROWS = 5_000_000           # rows of one list that a single ranking window may hold

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinmat.constants import DEFAULT_TOP, MAX_WIDE_COLUMNS
 from kinmat.functions.similarity import dequantise
 from kinmat.model import StoredMatrix, VectorStore
 from kinmat.operators.allpairs import collapse_copies, self_join
-from kinmat.operators.skew import every_salt, own_salt, salts_for
+from kinmat.operators.skew import every_salt, first_in_group, own_salt, salts_for
 from kinmat.session import settle
 
 CELL_COLUMNS = ("row_idx", "col_idx", "q", "row_copies", "col_copies")
@@ -135,13 +135,8 @@ def query_order() -> list[Column]:
 
 
 def top_neighbours(decoded: DataFrame, k: int = DEFAULT_TOP) -> DataFrame:
-    """TK-4, TK-11: first ``k`` entries of every decoded row, self included.
-
-    The rank limit is applied inside every map task first, so a very
-    long row reaches its window as a few short pieces.
-    """
-    ranked = Window.partitionBy("row_acc").orderBy(*query_order())
-    return decoded.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    """TK-4, TK-11: first ``k`` entries of every decoded row, self included."""
+    return first_in_group(decoded, "row_acc", query_order(), k, "rank", "id")
 
 
 def top_for_each(decoded: DataFrame, ks: tuple[int, ...]) -> DataFrame:

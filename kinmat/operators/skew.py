@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinmat.constants import HOT_GROUP_ROWS, MAX_HOT_KEYS
+from kinmat.constants import HOT_GROUP_ROWS, MAX_HOT_KEYS, MAX_LIST_ROWS
 
 
 def own_salt(column: str, salts: Column) -> Column:
@@ -52,3 +52,34 @@ def join_grouped(
     )
     pieces = groups.withColumn("salt", every_salt(salts_for(F.col(rows), limit)))
     return split.join(pieces, [key, "salt"], how).drop("salt")
+
+
+def first_in_group(
+    df: DataFrame,
+    key: str,
+    order: list[Column],
+    limit: int,
+    rank: str,
+    spread_by: str,
+    max_rows: int = MAX_LIST_ROWS,
+) -> DataFrame:
+    """The first ``limit`` rows of every ``key``, numbered in ``rank``.
+
+    A window holds a whole group, so the longest group is measured first.
+    Beyond ``max_rows`` every group is cut into pieces by a hash of ``spread_by``;
+    the first ``limit`` of each piece contain the first ``limit`` of the
+    group and are ranked again.
+    """
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    longest = sizes.agg(F.max("n").alias("n")).first()["n"] or 0
+    if longest > max_rows:
+        pieces = F.lit(-(-longest // max_rows))
+        part = Window.partitionBy(key, "piece").orderBy(*order)
+        df = (
+            df.withColumn("piece", own_salt(spread_by, pieces))
+            .withColumn(rank, F.row_number().over(part))
+            .where(F.col(rank) <= limit)
+            .drop("piece", rank)
+        )
+    whole = Window.partitionBy(key).orderBy(*order)
+    return df.withColumn(rank, F.row_number().over(whole)).where(F.col(rank) <= limit)

@@ -51,22 +51,21 @@ def compare_rows(
         .when(F.col("in_truth").isNull(), "extra")
         .when(differs(F.col("expected"), F.col("actual"), tolerance), "value_mismatch")
     )
-    found = (
+    present = present_rows(own, listed)
+    # Only disagreements are matched with the presence of their row.
+    entries = (
         expected.join(actual, ["row_acc", "id"], "full_outer")
         .withColumn("issue", issue)
         .where("issue is not null")
-        # Only disagreements are matched with the presence of their row.
-        .join(present_rows(own, listed), "row_acc", "left")
-    )
-    entries = found.where("present").select(
-        F.col("row_acc").alias("accession"), F.col("id").alias("neighbor"), "issue", "expected", "actual"
+        .join(present, "row_acc", "left_semi")
+        .select(F.col("row_acc").alias("accession"), F.col("id").alias("neighbor"), "issue", "expected", "actual")
     )
-    absent = found.where("present is null").groupBy(F.col("row_acc").alias("accession")).agg(
+    absent = expected.groupBy("row_acc").agg(
         F.lit(None).cast("string").alias("neighbor"),
         F.lit("row_missing").alias("issue"),
         F.lit(None).cast("double").alias("expected"),
         F.lit(None).cast("double").alias("actual"),
-    )
+    ).join(present, "row_acc", "left_anti").withColumnRenamed("row_acc", "accession")
     return entries.unionByName(absent)
 
 

@@ -149,10 +149,16 @@ def test_top_lists(store):
     )
 
 
-def test_rank_limit_runs_before_the_shuffle(store):
-    decoded = mx.decoded_rows(mx.build_matrix(store))
-    plan = mx.top_neighbours(decoded, 5)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2
+def test_long_lists_are_ranked_in_pieces(store):
+    from kinmat.operators.skew import first_in_group
+
+    decoded = mx.keep_matrix(mx.build_matrix(store))
+    decoded = mx.decoded_rows(decoded)
+    order = mx.query_order()
+    whole, pieces = (
+        first_in_group(decoded, "row_acc", order, 7, "rank", "id", rows) for rows in (10_000, 20)
+    )
+    assert whole.count() > 0 and whole.exceptAll(pieces).count() == 0 and pieces.exceptAll(whole).count() == 0
 
 
 def test_vectors_of_the_wrong_length_fail(spark, store):
