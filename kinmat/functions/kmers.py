@@ -23,6 +23,16 @@ def kmer_set(text: Column, k: int = KMER_LENGTH) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(window), F.lit(1)))
 
 
+def exploded(sets: DataFrame) -> DataFrame:
+    """One row (..., kmer) per k-mer of ``sets`` (..., kmers).
+
+    A plain explode makes the optimizer test the size of the set in a filter
+    of its own, which extracts all k-mers a second and third time.
+    """
+    rest = [c for c in sets.columns if c != "kmers"]
+    return sets.select(*rest, F.explode_outer("kmers").alias("kmer")).where("kmer is not null")
+
+
 def set_jaccard(a: Column, b: Column) -> Column:
     """SIM-12 for two sets in one row; two empty sets give 0."""
     shared = F.size(F.array_intersect(a, b)).cast("double")
@@ -47,10 +57,11 @@ def sketch_vectors(docs: DataFrame, dim: int, scaled: int, k: int = KMER_LENGTH)
     if dim % BITS_PER_BLOCK or scaled < 1:
         raise ValueError("dim must be a multiple of 64 and scaled at least 1")
     blocks = dim // BITS_PER_BLOCK
-    limit = (1 << 32) // scaled
-    head = F.conv(F.substring(F.md5(F.col("kmer")), 1, 8), 16, 10).cast("bigint")
+    # Digests are lower-case hex of fixed width, so they compare like numbers.
+    limit = f"{(1 << 32) // scaled:08x}" if scaled > 1 else "g"
+    head = F.substring(F.md5(F.col("kmer")), 1, 8)
     kept = (
-        docs.select("id", F.explode(kmer_set(F.col("text"), k)).alias("kmer"))
+        exploded(docs.select("id", kmer_set(F.col("text"), k).alias("kmers")))
         .where(head < F.lit(limit))
         .select("id", "kmer", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     )

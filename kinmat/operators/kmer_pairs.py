@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinmat.constants import KMER_LENGTH, PAIR_GROUP_ROWS
-from kinmat.functions.kmers import kmer_set, set_exists
+from kinmat.functions.kmers import exploded, kmer_set, set_exists
 from kinmat.operators.skew import every_salt, join_grouped, own_salt, salts_for
-from kinmat.session import settle
+from kinmat.session import settle, spread
 
 CLASS = ("df", "mark_a", "mark_b")
 
@@ -48,7 +48,7 @@ def shared_classes(sets: DataFrame) -> DataFrame:
     The marks are two 64-bit hashes over the ids of all texts with the k-mer;
     equal marks and counts mean the same texts.
     """
-    postings = sets.select("id", "size", F.explode("kmers").alias("kmer"))
+    postings = exploded(sets.select("id", "size", "kmers"))
     mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), F.col("id")))
     occurrence = settle(
         postings.groupBy("kmer")
@@ -56,7 +56,8 @@ def shared_classes(sets: DataFrame) -> DataFrame:
         .where("df > 1")
     )
     return (
-        join_grouped(postings, occurrence, "kmer", "df", "id")
+        # K-mers are unique on the small side, so its hash tables are even and no sort is needed.
+        join_grouped(postings, occurrence.hint("shuffle_hash"), "kmer", "df", "id")
         .groupBy("id", "size", *CLASS)
         .agg(F.count(F.lit(1)).alias("weight"))
     )
@@ -97,8 +98,11 @@ def kmer_neighbours(docs: DataFrame, k: int = KMER_LENGTH) -> KmerNeighbours:
     """All existing pairs of ``docs`` (id LONG, text STRING) with exact counts."""
     groups = settle(copy_groups(docs))
     reps = groups.where("id = rep_id").select("id", "copies")
-    kmers = docs.join(reps, "id", "left_semi").select("id", kmer_set(F.col("text"), k).alias("kmers"))
-    sets = settle(kmers.select("id", F.size("kmers").alias("size"), "kmers"))
+    # Distinct texts are kept, not their k-mers, which are some thirty times larger.
+    texts = settle(
+        docs.join(reps, "id", "left_semi").withColumn("size", F.size(kmer_set(F.col("text"), k)))
+    )
+    sets = spread(texts, "id").select("id", "size", kmer_set(F.col("text"), k).alias("kmers"))
     classes = settle(shared_classes(sets))
     found = candidates(classes)
     weights = classes.select("id", *CLASS, "weight")
@@ -124,7 +128,7 @@ def kmer_neighbours(docs: DataFrame, k: int = KMER_LENGTH) -> KmerNeighbours:
         .join(reps.toDF("id_a", "copies_a"), "id_a")
         .join(reps.toDF("id_b", "copies_b"), "id_b")
     )
-    sizes = sets.select(F.col("id").alias("rep_id"), "size")
+    sizes = texts.select(F.col("id").alias("rep_id"), "size")
     sizes = sizes.join(reps.toDF("rep_id", "n_rows"), "rep_id")
     members = join_grouped(groups, sizes, "rep_id", "n_rows", "id").select("id", "rep_id", "copies", "size")
     return KmerNeighbours(settle(pairs), members)

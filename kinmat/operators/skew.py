@@ -65,13 +65,16 @@ def first_in_group(
 ) -> DataFrame:
     """The first ``limit`` rows of every ``key``, numbered in ``rank``.
 
-    A window holds a whole group, so the longest group is measured first.
+    A window holds a whole group, so unless the whole table is short the
+    longest group is measured first. ``df`` should be a settled or cheap table.
     Beyond ``max_rows`` every group is cut into pieces by a hash of ``spread_by``;
     the first ``limit`` of each piece contain the first ``limit`` of the
     group and are ranked again.
     """
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    longest = sizes.agg(F.max("n").alias("n")).first()["n"] or 0
+    longest = df.count()
+    if longest > max_rows:
+        sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        longest = sizes.agg(F.max("n").alias("n")).first()["n"]
     if longest > max_rows:
         pieces = F.lit(-(-longest // max_rows))
         part = Window.partitionBy(key, "piece").orderBy(*order)

@@ -149,7 +149,7 @@ def q_neighbours_targets(spark, folder):
 
 def q_neighbour_records(spark, folder):
     matrix = _matrix(spark, folder)
-    records = mx.neighbour_records(mx.decoded_rows(matrix), 10)
+    records = mx.neighbour_records(settle(mx.decoded_rows(matrix)), 10)
     return records.select(
         "id",
         F.size("neighbor_ids").alias("n"),
@@ -160,12 +160,12 @@ def q_neighbour_records(spark, folder):
 
 def q_topk_10(spark, folder):
     matrix = _matrix(spark, folder)
-    return mx.top_neighbours(mx.decoded_rows(matrix)).select("row_acc", "rank", "id", "jaccard")
+    return mx.top_neighbours(settle(mx.decoded_rows(matrix))).select("row_acc", "rank", "id", "jaccard")
 
 
 def q_topk_multi(spark, folder):
     matrix = _matrix(spark, folder)
-    return mx.top_for_each(mx.decoded_rows(matrix), DEFAULT_KS).select("row_acc", "k", "rank", "id", "jaccard")
+    return mx.top_for_each(settle(mx.decoded_rows(matrix)), DEFAULT_KS).select("row_acc", "k", "rank", "id", "jaccard")
 
 
 def q_topk_boundary_pools(spark, folder):
@@ -235,7 +235,7 @@ def q_topk_check_summary(spark, folder):
 def q_topk_function_status(spark, folder):
     matrix = _matrix(spark, folder)
     asked = tuple(k + 1 for k in DEFAULT_KS)
-    tops = mx.top_for_each(mx.decoded_rows(matrix), asked).withColumn("k", F.col("k") - 1)
+    tops = mx.top_for_each(settle(mx.decoded_rows(matrix)), asked).withColumn("k", F.col("k") - 1)
     return topk_check.check_top_function(matrix.ids, _truth(spark, folder), settle(tops), DEFAULT_KS)
 
 
