@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 
 import public_tokenizers as vocabularies
 
-from kinmat.llm import byte_bpe, packing, token_counts
+from kinmat.llm import byte_bpe, fertility, licenses, packing, simhash_dedup, token_counts
 from kinmat.llm.frames import documents
+from kinmat.session import settle
+
+
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = settle(simhash_dedup.fingerprints(documents(spark, sf_dir), shingle=3, keep=["doc_id"]))
+    return simhash_dedup.near_components(found, radius=2, segments=3).select(
+        "doc_id", simhash_dedup.hex_digits("fingerprint").alias("fingerprint"), "component_id"
+    )
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +38,19 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir), licenses.known_licenses(spark))
+
+
+def op6_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = fertility.measure(
+        documents(spark, sf_dir), vocabularies.path("piece_bpe_32k.model"), keep=["doc_id", "lang"]
+    )
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    measures = ["n_tokens", "chars_per_token", "byte_share", "entropy", "script"]
+    return fertility.judge(settle(measured)).select("doc_id", *counts, *measures)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = token_counts.encoded_lengths(
         documents(spark, sf_dir), vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN
@@ -40,10 +61,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_simhash_dedup,
         op2_best_fit_packing,
         op3_byte_bpe,
+        op4_license_scan,
+        op6_tokenizer_fertility,
         op7_token_counts,
     )
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_license_scan": licenses.scan_sql()}
