@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers as vocabularies
 
-from kinmat.llm import byte_bpe, fertility, licenses, packing, simhash_dedup, token_counts
+from kinmat.llm import byte_bpe, fertility, licenses, packing, simhash_dedup, token_counts, toxicity
 from kinmat.llm.frames import documents
 from kinmat.session import settle
 
@@ -58,6 +58,15 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(lengths)
 
 
+def op8_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    grammar = toxicity.fit(docs, labels, toxicity.remainder() != 2)
+    held_out = F.coalesce(toxicity.remainder() == 2, F.lit(False))
+    return toxicity.score(docs, grammar, keep=["doc_id"], threshold=0.3).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted"
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -67,6 +76,7 @@ QUERIES = {
         op4_license_scan,
         op6_tokenizer_fertility,
         op7_token_counts,
+        op8_toxicity_grammar,
     )
 }
 
