@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers as vocabularies
 
-from kinmat.llm import byte_bpe, fertility, licenses, packing, simhash_dedup, token_counts, toxicity
+from kinmat.llm import byte_bpe, fertility, fingerprints, licenses, packing, pii, simhash_dedup, token_counts, toxicity
 from kinmat.llm.frames import documents
 from kinmat.session import settle
 
@@ -42,6 +42,23 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir), licenses.known_licenses(spark))
 
 
+def op5_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.with_next(fingerprints.edited_fingerprints(documents(spark, sf_dir)))
+    asked = F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))
+    near = fingerprints.near_documents(found, asked)
+    own, edited, following = [(F.col(f"{n}_high"), F.col(f"{n}_low")) for n in ("fp", "edited", "next")]
+    return found.join(near, ["fp_high", "fp_low"], "left").select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprints.hex_digits("fp_high", "fp_low").alias("fingerprint"),
+        fingerprints.hex_digits("edited_high", "edited_low").alias("edited_fingerprint"),
+        fingerprints.likeness(own, edited).alias("near_edited"),
+        fingerprints.likeness(own, following).alias("near_next"),
+        F.when(asked, F.col("n_near")).alias("n_near"),
+    )
+
+
 def op6_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = fertility.measure(
         documents(spark, sf_dir), vocabularies.path("piece_bpe_32k.model"), keep=["doc_id", "lang"]
@@ -67,6 +84,20 @@ def op8_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_information_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(documents(spark, sf_dir).select("doc_id", "text"))
+
+    def count(kind: str):
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[count(kind) for kind in pii.PATTERNS],
+        F.sha2(pii.listed(F.col("base_spans")), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -74,9 +105,11 @@ QUERIES = {
         op2_best_fit_packing,
         op3_byte_bpe,
         op4_license_scan,
+        op5_simhash_fingerprints,
         op6_tokenizer_fertility,
         op7_token_counts,
         op8_toxicity_grammar,
+        op10_information_pii,
     )
 }
 
