@@ -5,11 +5,12 @@ from __future__ import annotations
 import base64
 import os
 import re
+import struct
 from collections.abc import Callable
 from functools import lru_cache
 
-#: Entries of the younger half of a memory of words; both halves together stay below 100 MB.
-MEMORY_WORDS = 150_000
+#: Entries of the younger half of a memory of words; both halves together stay below 200 MB.
+MEMORY_WORDS = 400_000
 #: Longer chunks are encoded each time and never remembered.
 LONGEST_REMEMBERED = 64
 
@@ -73,7 +74,7 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
     symbols = byte_symbols()
 
     def packed(ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def merged(word: str) -> bytes:
         shown = word if word.isascii() else "".join(symbols[b] for b in word.encode())
@@ -84,7 +85,9 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
         if plain is None:
             return packed(tokenizer.encode(chunk, add_special_tokens=False).ids)
         word, mark = plain.groups()
-        return merged(word.lower()) + (memory[mark] if mark else b"")
+        lower = word.lower()
+        found = merged(lower) if lower == chunk else memory[lower]
+        return found + memory[mark] if mark else found
 
     memory = WordMemory(whole)
 
