@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers as vocabularies
 
-from kinmat.llm import byte_bpe, fertility, fingerprints, licenses, packing, pii, simhash_dedup, token_counts, toxicity
+from kinmat.llm import byte_bpe, fertility, fingerprints, licenses, packing, pii, simhash_dedup, token_counts, toxicity, url_filter
 from kinmat.llm.frames import documents
 from kinmat.session import settle
 
@@ -84,6 +84,10 @@ def op8_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_filter.rules_table(spark))
+
+
 def op10_information_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -109,6 +113,7 @@ QUERIES = {
         op6_tokenizer_fertility,
         op7_token_counts,
         op8_toxicity_grammar,
+        op9_url_filter,
         op10_information_pii,
     )
 }
