@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from kinmat.llm.frames import map_texts
 from kinmat.llm.tokens import WordMemory, piece_processor
+from kinmat.session import settle
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -169,7 +170,7 @@ def judge(measured: DataFrame, group: str | None = "lang") -> DataFrame:
     ``measured`` should be a settled or cheap table; an empty one gives no rows. A group of which no other
     document is known rejects nothing by its bands.
     """
-    bands = fit_bands(measured, group)
+    bands = settle(fit_bands(measured, group))
     joined = _grouped(measured, group).join(bands, ["band_group", "band_length"], "left")
     outside = F.lit(False)
     for name, (below, above) in BANDS.items():
@@ -178,4 +179,6 @@ def judge(measured: DataFrame, group: str | None = "lang") -> DataFrame:
             outside = outside | F.coalesce(value < F.col(f"{name}_low") - STEP / 2, F.lit(False))
         if above is not None:
             outside = outside | F.coalesce(value > F.col(f"{name}_high") + STEP / 2, F.lit(False))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~outside).select(*measured.columns, "kept")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~outside).select(
+        *[c for c in measured.columns if c != "kept"], "kept"
+    )

@@ -32,6 +32,13 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def apart(df: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with all but the needed columns under names that no operator uses, and what gives the names back."""
+    hidden = {c: c if c in needed else f"__own_{i}__" for i, c in enumerate(df.columns)}
+    renamed = df.select(*[F.col(f"`{c}`").alias(h) for c, h in hidden.items()])
+    return renamed, lambda out: out.select(*[F.col(h).alias(c) for c, h in hidden.items()])
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """A batch in pieces of a few MB of text; one longer text is a piece by itself."""
     texts = batch.column(column)
@@ -61,23 +68,19 @@ def map_texts(
     ship_package(spark)
     small_batches(spark)
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in {n.lower() for n in added.names}]
-    hidden = "__text__"
-    source = df.select(*[F.col(f"`{c}`") for c in kept], text_or_empty(f"`{column}`").alias(hidden))
-    schema = source.drop(hidden).schema
+    read = column if column in kept else "__text__"
+    source = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{column}`").alias(read)] * (read not in kept))
+    source = source.withColumn(read, F.col(f"`{read}`").cast("string"))
+    schema = source.select(*kept).schema
     for field in added:
         schema = schema.add(field.name, from_arrow_type(field.type))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in slices(batch, hidden):
-                found = work(part.column(hidden).to_pylist())
-                arrays = [part.column(i) for i, n in enumerate(part.schema.names) if n != hidden]
-                names = [n for n in part.schema.names if n != hidden]
-                for field in added:
-                    arrays.append(pa.array(found[field.name], type=field.type))
-                    names.append(field.name)
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+            for part in slices(batch, read):
+                found = work([t or "" for t in part.column(read).to_pylist()])
+                arrays = [part.column(n) for n in kept] + [pa.array(found[f.name], type=f.type) for f in added]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *added.names])
 
     return source.mapInArrow(run, schema)
-
