@@ -25,7 +25,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 #: Spreads (of a normal distribution with the same quartiles) that a measure may lie below and above its middle.
-BANDS = {"entropy": (3.5, 8.0), "chars_per_token": (6.0, 8.0), "byte_share": (None, 6.0)}
+BANDS = {"entropy": (3.0, 8.0), "chars_per_token": (6.0, 8.0), "byte_share": (None, 6.0)}
 #: Spreads below these count as these, so that groups of like texts reject nothing by a hair.
 LEAST_SPREAD = {"entropy": 0.03, "chars_per_token": 0.02, "byte_share": 0.01}
 #: Measures are compared in these steps, which makes quartiles exact sums over a short list of values.
@@ -121,9 +121,9 @@ def measure(docs: DataFrame, vocabulary: str, keep: list[str] | None = None) ->
 
 
 def _grouped(measured: DataFrame, group: str | None) -> DataFrame:
-    """With the group and the half octave of the length that a text is compared in."""
+    """With the group and the half octave of words that a text is compared in; words, as junk may be cut into many tokens."""
     given = F.col(group).cast("string") if group else F.lit(None).cast("string")
-    half_octave = F.floor(2 * F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int")
+    half_octave = F.floor(2 * F.log2(F.greatest(F.col("n_words"), F.lit(1)))).cast("int")
     return measured.withColumn("band_group", F.coalesce(given, F.col("script"))).withColumn("band_length", half_octave)
 
 

@@ -16,7 +16,7 @@ from kinmat.session import settle
 #: Words on either side of a value that count as beside it, and the characters they are looked for in.
 WINDOW_WORDS = 8
 WINDOW_CHARS = 200
-#: Documents without a common least word hash in which a term must stand beside a value.
+#: Documents without a common least hash of three words in which a term must stand beside a value.
 LEAST_GROUPS = 3
 #: Shares of a term's occurrences beside one value from which it is generalised, and removed.
 GENERALISE_FROM, REMOVE_FROM = 0.5, 0.8
@@ -109,7 +109,10 @@ def _text_key() -> list[Column]:
 
 def co_occurrences(texts: DataFrame) -> DataFrame:
     """value, term, beside (occurrences of the term beside the value), n_groups (unrelated documents it has them in)."""
-    spans = texts.select("text", F.explode(base_spans(F.col("text"))).alias("span"))
+    held = texts.select("text", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
+    worded = held.select("*", _words(F.col("text")).alias("words"))
+    runs = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))
+    spans = worded.select("text", F.array_min(runs).alias("group"), F.explode("spans").alias("span"))
     first = F.greatest(F.col("span.start") - WINDOW_CHARS, F.lit(0))
     before = _words(F.substring("text", first + 1, F.col("span.start") - first))
     after = _words(F.substring("text", F.col("span.end") + 1, F.lit(WINDOW_CHARS)))
@@ -118,8 +121,7 @@ def co_occurrences(texts: DataFrame) -> DataFrame:
         F.slice(after, 1, WINDOW_WORDS),
     )
     value = F.xxhash64("span.kind", F.when(F.col("span.kind") == "email", F.lower("span.value")).otherwise(_digits(F.col("span.value"))))
-    group = F.array_min(F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)))
-    rows = spans.select(value.alias("value"), F.explode(near).alias("term"), group.alias("group"))
+    rows = spans.select("group", value.alias("value"), F.explode(near).alias("term"))
     return (
         rows.groupBy("value", "term", "group")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -132,7 +134,8 @@ def disclosing_terms(texts: DataFrame) -> DataFrame:
     """term and share for terms of which at least ``GENERALISE_FROM`` of all occurrences stand beside one value.
 
     Occurrences are counted over the whole corpus, first within each task. A term must stand beside the
-    value in ``LEAST_GROUPS`` groups of documents; copies, having the same least word hash, are one group.
+    value in ``LEAST_GROUPS`` groups of documents; copies, which mostly share the least
+    hash of three words in a row, are one group.
     """
     beside = settle(co_occurrences(texts).where(F.col("n_groups") >= LEAST_GROUPS))
     strongest = beside.groupBy("term").agg(F.max("beside").alias("beside")).withColumn("word", F.xxhash64("term"))

@@ -181,10 +181,12 @@ def _terms(rows: DataFrame) -> DataFrame:
         def work(texts: list[str]) -> dict[str, Iterable]:
             terms, groups = [], []
             for text in texts:
-                words = {t for t in _TOKEN.findall(text.lower()) if t not in _ENDS}
+                tokens = [t for t in _TOKEN.findall(text.lower()) if t not in _ENDS]
+                words = set(tokens)
+                runs = {" ".join(tokens[i : i + 3]) for i in range(max(1, len(tokens) - 2))}
                 stems = {f"{w[:n]}-" for w in words for n in STEMS if len(w) >= n}
                 terms.append([*words, *stems])
-                groups.append(min((xxh64_intdigest(w) >> 1 for w in words), default=0))
+                groups.append(min(xxh64_intdigest(r) >> 1 for r in runs))
             return {"terms": terms, "group": groups}
 
         return work
@@ -197,7 +199,7 @@ def _terms(rows: DataFrame) -> DataFrame:
 def learn_terms(rows: DataFrame, terms: int = LEXICON_TERMS) -> tuple[dict[str, float], dict[str, float]]:
     """Weights of words and stems: log odds of a toxic label, counted in groups of like documents.
 
-    Documents whose least word hash is the same are one group, so that copies do not vouch for each other. A weight
+    Documents whose least hash of three words is the same are one group, so that copies do not vouch for each other. A weight
     must exceed its own error, too.
     """
     toxic, clean = _terms(rows.where("toxic = 1")), _terms(rows.where("toxic = 0"))
