@@ -8,7 +8,6 @@ SELF_TOLERANCE = 1e-6          # tolerance of the self-pair check
 DEFAULT_SEED = 42
 DEFAULT_KS = (10, 20, 50, 100, 1000, 10000)
 DEFAULT_TOP = 10
-MAX_PER_CATEGORY = 20
 REPORT_HEAD = 20
 KMER_LENGTH = 21
 SKETCH_DIM = 2048
@@ -18,7 +17,6 @@ ABSENT = -1                    # written for the value columns of an absent pair
 # Size bounds of everything that is handed to all executors.
 MAX_BROADCAST_BYTES = 64 << 20     # query vectors kept in memory by every task
 MAX_TILE_BYTES = 32 << 20          # one block of vectors, half of an all-pairs tile
-MAX_WIDE_COLUMNS = 10_000          # columns of a wide slice
 HOT_GROUP_ROWS = 100_000           # rows of one key per task before it is salted
 MAX_HOT_KEYS = 10_000              # keys treated one by one, by their share of all rows
 PAIR_GROUP_ROWS = 2_000            # rows of one key per task where pairs of them are formed

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmat.constants import DEFAULT_TOP, MAX_WIDE_COLUMNS
+from kinmat.constants import DEFAULT_TOP
 from kinmat.functions.similarity import dequantise
 from kinmat.model import StoredMatrix, VectorStore
 from kinmat.operators.allpairs import collapse_copies, self_join
@@ -65,13 +65,20 @@ def all_cells(matrix: StoredMatrix) -> DataFrame:
     return _members(rows, matrix.copies, "col").select("row_idx", "col_idx", "q")
 
 
-def _representatives(matrix: StoredMatrix, wanted: DataFrame, end: str) -> DataFrame:
-    """Wanted (idx, acc) with the representative each one is stored under."""
-    return wanted.join(matrix.copies.select("idx", "rep_idx"), "idx", "left").select(
+def _at_wanted(cells: DataFrame, matrix: StoredMatrix, wanted: DataFrame, end: str) -> DataFrame:
+    """Cells whose ``end`` is a wanted (idx, acc), under its acc.
+
+    Cells are stored under representatives; those of hot groups are repeated once per salt, the
+    wanted members once in all, so no task gets all members of a group.
+    """
+    copies = F.coalesce("n_copies", F.lit(1))
+    named = wanted.join(matrix.copies.select("idx", "rep_idx", "n_copies"), "idx", "left").select(
         F.coalesce("rep_idx", "idx").alias(f"{end}_idx"),
-        F.col("idx").alias(f"{end}_self"),
+        own_salt("idx", salts_for(copies)).alias("salt"),
         F.col("acc").alias(f"{end}_acc"),
     )
+    spread = cells.withColumn("salt", every_salt(salts_for(F.col(f"{end}_copies"))))
+    return spread.join(named, [f"{end}_idx", "salt"]).drop("salt")
 
 
 def decoded_rows(matrix: StoredMatrix, wanted: DataFrame | None = None) -> DataFrame:
@@ -84,8 +91,7 @@ def decoded_rows(matrix: StoredMatrix, wanted: DataFrame | None = None) -> DataF
     if wanted is None:
         cells = all_cells(matrix).join(matrix.ids.toDF("row_idx", "row_acc"), "row_idx")
     else:
-        rows = _representatives(matrix, wanted, "row")
-        cells = _members(matrix.cells.join(rows, "row_idx"), matrix.copies, "col")
+        cells = _members(_at_wanted(matrix.cells, matrix, wanted, "row"), matrix.copies, "col")
     return cells.join(names, "col_idx").select(
         "row_acc", "col_idx", "id", dequantise(F.col("q")).alias("jaccard")
     )
@@ -93,35 +99,28 @@ def decoded_rows(matrix: StoredMatrix, wanted: DataFrame | None = None) -> DataF
 
 def slice_cells(matrix: StoredMatrix, rows: DataFrame, cols: DataFrame) -> DataFrame:
     """J-5, stored cells only: (row_acc, col_acc, cell) between two id lists."""
-    row_ids = _representatives(matrix, rows, "row")
-    col_ids = _representatives(matrix, cols, "col")
-    return (
-        matrix.cells.join(row_ids, "row_idx").join(col_ids, "col_idx")
-        .select("row_acc", "col_acc", dequantise(F.col("q")).alias("cell"))
-    )
-
-
-def _column_names(cols: DataFrame) -> list[str]:
-    names = [r["acc"] for r in cols.select("acc").distinct().limit(MAX_WIDE_COLUMNS + 1).collect()]
-    if len(names) > MAX_WIDE_COLUMNS:
-        raise ValueError(f"a dense slice has at most {MAX_WIDE_COLUMNS} columns")
-    return sorted(names)
+    found = _at_wanted(_at_wanted(matrix.cells, matrix, rows, "row"), matrix, cols, "col")
+    return found.select("row_acc", "col_acc", dequantise(F.col("q")).alias("cell"))
 
 
 def slice_long(matrix: StoredMatrix, rows: DataFrame, cols: DataFrame) -> DataFrame:
-    """J-5, dense: one row per (row_acc, col_acc), 0 where nothing is stored."""
-    names = _column_names(cols)
-    grid = rows.select(
-        F.col("acc").alias("row_acc"), F.explode(F.array(*map(F.lit, names))).alias("col_acc")
-    )
+    """J-5, dense: one row per (row_acc, col_acc), 0 where nothing is stored.
+
+    The grid of the two id lists is the result itself, of any size.
+    """
+    names = cols.select(F.col("acc").alias("col_acc")).distinct()
+    grid = rows.select(F.col("acc").alias("row_acc")).crossJoin(names)
     return grid.join(slice_cells(matrix, rows, cols), ["row_acc", "col_acc"], "left").select(
         "row_acc", "col_acc", F.coalesce("cell", F.lit(0.0)).alias("cell")
     )
 
 
 def slice_wide(matrix: StoredMatrix, rows: DataFrame, cols: DataFrame) -> DataFrame:
-    """SNK-8 layout: one row per row_acc, one column per col_acc."""
-    names = _column_names(cols)
+    """SNK-8 layout: one row per row_acc, one column per col_acc.
+
+    The column names are the schema of the result, so they come to the driver.
+    """
+    names = sorted(r["acc"] for r in cols.select("acc").distinct().collect())
     cells = slice_cells(matrix, rows, cols)
     pivoted = cells.groupBy("row_acc").pivot("col_acc", names).agg(F.first("cell"))
     return (

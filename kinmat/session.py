@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import pathlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,6 +56,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def _run_folder(spark: SparkSession) -> str:
+    """Where this application's settled tables lie."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/kinmat-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this application has settled; results that still read them become invalid."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def released(spark: SparkSession) -> Iterator[SparkSession]:
+    """A block after which the settled tables are deleted; write results before it ends."""
+    try:
+        yield spark
+    finally:
+        release(spark)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, as a table in the shared folder, and read it back.
 
@@ -61,7 +83,7 @@ def settle(df: DataFrame) -> DataFrame:
     is neither computed twice nor lost with an executor. An eager checkpoint
     would evaluate the plan twice and lose column pruning.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/kinmat-{uuid.uuid4().hex}"
+    path = f"{_run_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinmat.constants import ABSENT, PRINTED_PREAMBLE
 from kinmat.model import MANIFEST_SCHEMA, PAIR_TRUTH_SCHEMA
+from kinmat.session import settle
 
 # Column layouts of one-file-per-row lists.
 LIST_LAYOUTS = {
@@ -19,29 +20,30 @@ LIST_LAYOUTS = {
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of the non-blank lines of one file, counted from 0.
+    """(line, value) of the non-blank lines of one file, or of the files of a folder by name, counted from 0.
 
-    Positions inside a split come from the scan; only the line count of each
-    split is gathered to turn them into line numbers.
+    Positions inside a split come from one scan, which is settled, as a second scan may be
+    split in another way. Only the line count of each split is gathered to turn them into line numbers.
     """
-    placed = (
+    placed = settle(
         spark.read.text(path)
         .where("trim(value) <> ''")
         .select(
             "value",
+            F.col("_metadata.file_name").alias("file"),
             F.col("_metadata.file_block_start").alias("split_start"),
             F.monotonically_increasing_id().alias("position"),
         )
     )
     # One row per file split.
-    splits = placed.groupBy("split_start").agg(
+    splits = placed.groupBy("file", "split_start").agg(
         F.count(F.lit(1)).alias("lines"), F.min("position").alias("first")
     )
     before = F.sum("lines").over(
-        Window.orderBy("split_start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.orderBy("file", "split_start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ) - F.col("lines")
-    offsets = splits.select("split_start", (before - F.col("first")).alias("shift"))
-    return placed.join(F.broadcast(offsets), "split_start").select(
+    offsets = splits.select("file", "split_start", (before - F.col("first")).alias("shift"))
+    return placed.join(offsets, ["file", "split_start"]).select(
         (F.col("position") + F.col("shift")).alias("line"), "value"
     )
 
@@ -85,6 +87,20 @@ def list_rows(spark: SparkSession, folder: str, suffix: str = ".csv") -> DataFra
     )
 
 
+def read_exported_lists(spark: SparkSession, path: str, layout: str = "decoded") -> tuple[DataFrame, DataFrame]:
+    """(entries, rows) of an export by ``sinks.tables.write_lists_by_row``.
+
+    Entries are keyed by the folder of their row; rows (row_acc) also has those whose list is empty.
+    """
+    entries = (
+        spark.read.schema(f"{LIST_LAYOUTS[layout]}, row_acc string")
+        .option("basePath", f"{path}/lists")
+        .csv(f"{path}/lists", header=True)
+    )
+    order = ["row_acc", *[c for c in entries.columns if c != "row_acc"]]
+    return entries.select(*order), spark.read.schema("row_acc string").csv(f"{path}/rows", header=True)
+
+
 def read_slice(spark: SparkSession, path: str) -> DataFrame:
     """SRC-7: wide CSV slice to (row_acc, col_acc, cell).
 

@@ -25,7 +25,7 @@ from pyspark.sql.datasource import (
 
 from kinmat.functions.similarity import norm_of, squared
 from kinmat.model import VectorStore
-from kinmat.session import ship_package
+from kinmat.session import settle, ship_package
 from kinmat.sources.text import numbered_lines
 
 _VALUE_BYTES = 4
@@ -112,8 +112,14 @@ class Int32VectorReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         step = max(1, _PARTITION_BYTES // (_VALUE_BYTES * self.dim))
         if self.wanted is not None:
-            inside = sorted(i for i in self.wanted if self.low <= i < self.high)
-            return [IndexRange(i, i + 1) for i in inside]
+            # Near ids share a range; what lies between is read and filtered away.
+            ranges: list[list[int]] = []
+            for i in sorted(i for i in self.wanted if self.low <= i < self.high):
+                if ranges and i - ranges[-1][1] < _BATCH_ROWS and i - ranges[-1][0] < step:
+                    ranges[-1][1] = i + 1
+                else:
+                    ranges.append([i, i + 1])
+            return [IndexRange(*r) for r in ranges]
         return [
             IndexRange(start, min(start + step, self.high))
             for start in range(self.low, self.high, step)
@@ -167,7 +173,10 @@ def read_dimension(spark: SparkSession, path: str) -> int:
 
 
 def open_store(spark: SparkSession, folder: str, derived_norms: bool = False) -> VectorStore:
-    """A folder with dimension.txt, vector_norms.txt and vectors.bin."""
+    """A folder with dimension.txt, vector_norms.txt and vectors.bin.
+
+    Vectors and norms are joined once and settled in ranges of idx, so that later scans shuffle nothing.
+    """
     folder = folder.rstrip("/")
     dim = read_dimension(spark, f"{folder}/dimension.txt")
     norms = read_norms(spark, f"{folder}/vector_norms.txt")
@@ -178,7 +187,8 @@ def open_store(spark: SparkSession, folder: str, derived_norms: bool = False) ->
     if lines != records:
         raise ValueError(f"{folder}: {lines} norms but {records} vectors")
     vectors = read_vectors(spark, f"{folder}/vectors.bin", dim).join(norms, "idx")
-    return VectorStore(vectors.select("idx", "acc", "norm", "norm_sq", "v"), dim, derived_norms)
+    ordered = vectors.select("idx", "acc", "norm", "norm_sq", "v").repartitionByRange("idx").sortWithinPartitions("idx")
+    return VectorStore(settle(ordered), dim, derived_norms)
 
 
 def store_from_vectors(vectors: DataFrame, dim: int) -> VectorStore:

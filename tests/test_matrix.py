@@ -165,3 +165,40 @@ def test_vectors_of_the_wrong_length_fail(spark, store):
     broken = store.restrict(store.vectors.withColumn("v", F.slice("v", 1, 63)))
     with pytest.raises(Exception, match="64 values"):
         scoring.full_rows(sampling.sample_rows(store.vectors, 2), broken).count()
+
+
+def test_slices_and_pair_truth_have_no_bound(spark, embeddings):
+    store = vectors_from_embeddings(embeddings, 1000)
+    rows, cols = sampling.sample_disjoint(store.vectors, 30, 40)
+    whole = scoring.pair_truth(rows, cols, store.dim)
+    tiled = scoring.pair_truth(rows, cols, store.dim, max_broadcast_bytes=4 * store.dim * 7)
+    assert tiled.count() == 1200 and tiled.exceptAll(whole).isEmpty() and whole.exceptAll(tiled).isEmpty()
+
+
+def test_a_hot_vector_goes_through_wanted_rows_and_slices(spark, embeddings, monkeypatch):
+    from kinmat.operators import skew
+
+    monkeypatch.setattr(skew.salts_for, "__defaults__", (10,))
+    first = embeddings.orderBy("vec_id").select("embedding").first()["embedding"]
+    same = F.when(F.col("vec_id") % 3 == 0, F.array(*map(F.lit, first))).otherwise(F.col("embedding"))
+    store = vectors_from_embeddings(embeddings.where("vec_id < 120").withColumn("embedding", same), 1000)
+    matrix = mx.keep_matrix(mx.build_matrix(store))
+    wanted = store.ids.where("idx % 2 = 0")
+    decoded = mx.decoded_rows(matrix, wanted)
+    everything = mx.decoded_rows(matrix)
+    expected = everything.join(wanted.select(F.col("acc").alias("row_acc")), "row_acc", "left_semi").select(*decoded.columns)
+    assert decoded.count() == expected.count() > 0 and decoded.exceptAll(expected).isEmpty()
+    cells = mx.slice_cells(matrix, wanted, store.ids.where("idx % 3 = 0"))
+    inside = expected.where("cast(id as int) % 3 = 0").select("row_acc", F.col("id").alias("col_acc"), F.col("jaccard").alias("cell"))
+    assert cells.count() == inside.count() > 0 and cells.exceptAll(inside).isEmpty()
+
+
+def test_settled_tables_are_released(spark, embeddings):
+    import os
+
+    from kinmat.session import _run_folder, released, settle
+
+    with released(spark):
+        settled = settle(embeddings.limit(3))
+        assert settled.count() == 3 and os.listdir(_run_folder(spark).removeprefix("file:"))
+    assert not os.path.exists(_run_folder(spark).removeprefix("file:"))
