@@ -47,13 +47,13 @@ def votes(texts: DataFrame, keys: list[str]) -> DataFrame:
     counted = hashed.groupBy(*keys).agg(*sums, F.count(F.lit(1)).alias("n"))
 
     def bits(half: str) -> Column:
-        value = F.lit(0).cast("long")
-        for i in range(32):
-            both = F.col(f"{half}_{i}")
-            for count, place in ((both.bitwiseAND(F.lit(_LOW)), i), (F.shiftrightunsigned(both, 32), i + 32)):
-                bit = F.lit((1 << place) - ((1 << 64) if place == 63 else 0)).cast("long")
-                value = value.bitwiseOR(F.when(2 * count > F.col("n"), bit).otherwise(F.lit(0).cast("long")))
-        return value
+        # The highest bit first: the upper counters from 31 down, then the lower ones.
+        sums = F.array(*[F.col(f"{half}_{i}") for i in reversed(range(32))])
+        counts = F.concat(
+            F.transform(sums, lambda s: F.shiftrightunsigned(s, 32)), F.transform(sums, lambda s: s.bitwiseAND(F.lit(_LOW)))
+        )
+        digits = F.transform(counts, lambda c: F.when(2 * c > F.col("n"), "1").otherwise("0"))
+        return F.conv(F.array_join(digits, ""), 2, -10).cast("long")
 
     return counted.select(*keys, bits("high").alias("fp_high"), bits("low").alias("fp_low"))
 
