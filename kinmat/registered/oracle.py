@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from kinmat.constants import DEFAULT_KS, DEFAULT_SEED
 from kinmat.registered.queries import (
+    CAP,
     COARSE,
+    FAULTS,
     FINE,
     N_COLS,
     N_EXTREME,
@@ -12,6 +14,7 @@ from kinmat.registered.queries import (
     N_FULL_EXTREME,
     N_ROWS,
     SKETCH,
+    SKETCH_BLOCKS,
     TINY,
 )
 
@@ -76,7 +79,7 @@ select row_idx, col_idx, row_acc, col_acc, found::int should_exist,
   case when found then round(j * 255)::int else -1 end jaccard_quantized from {name}_all"""
 
 
-_SLICE = f"""with {_TRUTH_RANDOM}, {_COARSE},{_decoded('dec', 'coarse')}, {_TARGETS},
+_SLICE_CHECK = """
 verdicts as (select p.row_acc, p.col_acc, p.found::int should_exist,
   case when p.found then round(p.j * 255)::int end jaccard_quantized,
   case when t.acc is not null then coalesce(d.jaccard, 0) end cell,
@@ -88,8 +91,19 @@ verdicts as (select p.row_acc, p.col_acc, p.found::int should_exist,
   from pt_all p left join dec d on d.row_acc = p.row_acc and d.id = p.col_acc
   left join targets t on t.acc = p.col_acc)
 """
+_SLICE = f"with {_TRUTH_RANDOM}, {_COARSE},{_decoded('dec', 'coarse')}, {_TARGETS},{_SLICE_CHECK}"
+_STAGE_PAIRS = f"with {_TRUTH_RANDOM}, {_COARSE},{_decoded('dec', 'coarse')}, targets as (select * from scols),{_SLICE_CHECK}"
+_STAGE_EXTREME = f"""with {_FINE},{_extreme('s', 'fine', N_EXTREME)},{_pairs('pt', 's', 's')}, {_COARSE},{_decoded('dec', 'coarse')},
+targets as (select * from s),{_SLICE_CHECK}"""
+_PROBLEMS = """select row_acc, col_acc, verdict issue from verdicts
+where verdict not in ('match', 'both_absent_ok')"""
+_SLICE_COUNTS = """select count(*) filter (verdict = 'should_exist_but_missing') should_exist_but_missing,
+count(*) filter (verdict = 'should_not_exist_but_found') should_not_exist_but_found, count(*) filter (verdict = 'value_mismatch') value_mismatch,
+count(*) filter (verdict = 'match') "match", count(*) filter (verdict = 'both_absent_ok') both_absent_ok,
+count(*) filter (verdict = 'row_or_col_not_in_slice') row_or_col_not_in_slice, count(*) total_pairs,
+count(*) filter (verdict not in ('match', 'both_absent_ok')) total_problems from verdicts"""
 
-_ROW_MISMATCHES = f"""with {_TRUTH_ALL}, {_COARSE},{_decoded('dec', 'coarse')},
+_ROW_CHECK = """
 present as (select distinct row_acc from dec),
 others as (select * from dec where id <> row_acc),
 joined as (select coalesce(t.row_acc, d.row_acc) accession, coalesce(t.col_acc, d.id) neighbor,
@@ -102,13 +116,39 @@ mm as (select accession, neighbor, case when actual is null then 'missing' when
   union all select distinct row_acc, null, 'row_missing', null::double, null::double from truth
   where row_acc not in (select row_acc from present))
 """
+_ROW_MISMATCHES = f"with {_TRUTH_ALL}, {_COARSE},{_decoded('dec', 'coarse')},{_ROW_CHECK}"
+
+
+def _faulty(name: str, run: int) -> str:
+    """The fine decoded rows ``dec0`` with the faults of a run."""
+    return f"""
+{name}_n as (select row_acc, id, jaccard, row_acc::bigint r, id::bigint c from dec0),
+{name} as (select row_acc, id, case when (r * 5 + c * 3) % 53 = {run} then jaccard + 3::double / 255::double else jaccard end jaccard
+    from {name}_n where not (r % {FAULTS[run]} = 1 or (r = c and r % 19 = 3) or (r * 7 + c) % 41 = {run})
+  union all select acc, ((select max(idx) from fine) - idx)::varchar, 0.5::double from fine
+    where idx % 11 = {run} and idx % {FAULTS[run]} <> 1
+      and (acc, ((select max(idx) from fine) - idx)::varchar) not in (select row_acc, id from dec0))"""
+
 
-_SELF = f"""with {_store('tiny', TINY, True)},{_decoded('dec', 'tiny')},
+_FAULTY = f"{_TRUTH_ALL},{_decoded('dec0', 'fine')},{_faulty('dec', 0)}"
+_FAULTY_ROWS = f"with {_FAULTY},{_ROW_CHECK}"
+
+_DIFFERENCES = """
+has as (select s.acc, s.acc in (select row_acc from a) has_a, s.acc in (select row_acc from b) has_b from fine s),
+j as (select coalesce(a.row_acc, b.row_acc) accession, coalesce(a.id, b.id) neighbor, a.jaccard value_a, b.jaccard value_b
+  from a full outer join b on a.row_acc = b.row_acc and a.id = b.id)
+select accession, neighbor, case when value_b is null then 'only_a' when value_a is null then 'only_b' else 'value_differs' end issue,
+  value_a, value_b from j join has on has.acc = j.accession
+  where has_a and has_b and value_a is distinct from value_b
+union all select acc, null, case when has_a then 'row_only_a' else 'row_only_b' end, null, null from has where has_a <> has_b"""
+
+_SELF_CHECK = """
 rows_of as (select row_acc, max(case when id = row_acc then jaccard end) self_jaccard from dec group by 1),
 status as (select s.acc accession, r.self_jaccard, case when r.row_acc is null then 'no_row'
   when r.self_jaccard is null then 'self_missing' when abs(r.self_jaccard - 1) > 1e-6::double then 'self_not_one' else 'ok' end status
-  from tiny s left join rows_of r on r.row_acc = s.acc)
+  from {store} s left join rows_of r on r.row_acc = s.acc)
 """
+_SELF = f"with {_store('tiny', TINY, True)},{_decoded('dec', 'tiny')},{_SELF_CHECK.format(store='tiny')}"
 
 _LISTS_CHECK = """lists as (select row_acc, k, id, jaccard from (select *, row_number() over (
   partition by row_acc order by jaccard desc, id) rd from dec where id <> row_acc) join ks on rd <= k),
@@ -119,8 +159,8 @@ lists as (select * from tops where id <> row_acc),
 present as (select distinct row_acc, k from tops)"""
 
 
-def _topk(lists: str) -> str:
-    return f"""with {_TRUTH_ALL}, {_COARSE},{_decoded('dec', 'coarse')},
+def _topk(lists: str, sides: str = f"{_TRUTH_ALL}, {_COARSE},{_decoded('dec', 'coarse')}", wanted: str = "fine") -> str:
+    return f"""with {sides},
 ks(k) as (values {_KS}), {lists},
 t as (select *, row_number() over (partition by row_acc order by jaccard_quantized desc, jaccard_raw desc, col_idx) rn,
   count(*) over (partition by row_acc) n_gt from truth),
@@ -142,7 +182,7 @@ reasons as (select s.acc accession, ks.k, pr.row_acc is not null present, coales
     when coalesce(miss, 0) > 0 then 'required_missing'
     when coalesce(n_gt, 0) <= ks.k and coalesce(n_dec, 0) > coalesce(n_gt, 0) then 'too_many'
     when coalesce(leak, 0) > 0 then 'below_boundary' when coalesce(bad, 0) > 0 then 'value_mismatch' else 'none' end reason
-  from fine s cross join ks left join present pr on pr.row_acc = s.acc and pr.k = ks.k
+  from {wanted} s cross join ks left join present pr on pr.row_acc = s.acc and pr.k = ks.k
   left join g on g.row_acc = s.acc and g.k = ks.k),
 status as (select accession, k, case when reason <> 'none' then 'fail'
     when not present or (n_dec = n_hit and n_own = n_hit) then 'exact' else 'tie' end status,
@@ -169,20 +209,26 @@ dp as (select h.a, h.b, h.inter, x.size size_a, y.size size_b from hits h join s
   where h.inter::double > 0.05::double * (x.size + y.size)::double)"""
 _DEGREE = f"""{_DOC_PAIRS},
 deg as (select d.doc_id idx, d.doc_id::varchar acc, count(p.a) degree from documents d left join dp p on p.a = d.doc_id group by 1, 2)"""
-_EDGES = f"""{_DEGREE},
+_REPORT = """
 report as (select acc accession, category from (select *, row_number() over (partition by category order by idx) nth from
     (select *, case degree when 0 then 'zero_neighbor' when 1 then 'single_neighbor' end category from deg) where category is not null)
-  where nth <= 20
+  where nth <= {cap}
   union all select min_by(acc, idx), 'row0' from deg union all select max_by(acc, idx), 'last_row' from deg)"""
+_ALL = 1 << 60
+_EDGES = f"{_DEGREE},{_REPORT.format(cap=_ALL)}"
+_MATRIX_DEGREE = f"""{_TINY},{_decoded('dec', 'tiny')},
+deg as (select s.idx, s.acc, count(d.id) degree from tiny s left join dec d on d.row_acc = s.acc and d.id <> s.acc group by 1, 2)"""
+_SAMPLED = f"{_FINE},{_sample('wanted', 'fine', 0, N_FULL)},{_pairs('truth', 'wanted', 'fine')}, {_COARSE},{_decoded('dec_all', 'coarse')}, dec as (select * from dec_all where row_acc in (select acc from wanted))"
 
-_EXPECTATIONS = f"""with {_DEGREE},
+_MANIFEST = """
 eq as (select min(doc_id) low, max(doc_id) high, count(*) n from documents where length(text) > 20 group by text having count(*) > 1),
 sl as (select min(doc_id) low, max(doc_id) high from documents group by length(text)
   having count(*) = 2 and min(text) <> max(text)),
 pr as (select case when n = 2 then 'near_identical' else 'background' end grp, low, high from eq
   union all select 'boundary_threshold', low, high from sl),
 man as (select grp, low acc, 'base' role, high partner from pr union all select grp, high, 'mutant', low from pr
-  union all select 'zero_neighbor', doc_id, 'single', null from documents where length(text) < 21),
+  union all select 'zero_neighbor', doc_id, 'single', null from documents where length(text) < 21)"""
+_EXPECTATIONS = f"""with {_DEGREE},{_MANIFEST},
 known as (select m.*, g.degree, case grp when 'boundary_threshold' then null when 'zero_neighbor' then 0 else 1 end expected,
   p.a is not null paired from man m join deg g on g.idx = m.acc left join dp p on p.a = m.acc and p.b = m.partner)
 select grp "check", acc::varchar accession, expected::varchar expected, degree::varchar "found",
@@ -195,8 +241,8 @@ union all select 'row0_marker', min(doc_id)::varchar, min(doc_id)::varchar, min(
 union all select 'last_row_marker', max(doc_id)::varchar, max(doc_id)::varchar, max(doc_id)::varchar, 'OK' from documents"""
 
 
-def _sketch() -> str:
-    dim, limit = SKETCH["dim"], (1 << 32) // SKETCH["scaled"]
+def _sketch(shape: dict[str, int]) -> str:
+    dim, limit = shape["dim"], (1 << 32) // shape["scaled"]
     return f"""with {_KMERS},
 kept as (select doc_id, kmer from km where ('0x' || substr(md5(kmer), 1, 8))::bigint < {limit}),
 marks as (select doc_id, block, md5(kmer || '|' || block::varchar) h from kept cross join range(0, {dim // 64}) r(block)),
@@ -267,13 +313,10 @@ select row_acc, n_gt, k, q_b, raw_b, count(*) filter (not bounded or (above and
   count(*) filter (bounded and not (above and not amb) and (lev or amb)) n_tie, count(*) filter (bounded and amb) n_ambiguous
 from f group by row_acc, n_gt, k, q_b, raw_b""",
     "compare_slice_verdicts": _SLICE + "select * from verdicts",
-    "compare_slice_mismatches": _SLICE + """select row_acc, col_acc, verdict issue from verdicts
-where verdict not in ('match', 'both_absent_ok')""",
-    "compare_slice_summary": _SLICE + """select count(*) filter (verdict = 'should_exist_but_missing') should_exist_but_missing,
-count(*) filter (verdict = 'should_not_exist_but_found') should_not_exist_but_found, count(*) filter (verdict = 'value_mismatch') value_mismatch,
-count(*) filter (verdict = 'match') "match", count(*) filter (verdict = 'both_absent_ok') both_absent_ok,
-count(*) filter (verdict = 'row_or_col_not_in_slice') row_or_col_not_in_slice, count(*) total_pairs,
-count(*) filter (verdict not in ('match', 'both_absent_ok')) total_problems from verdicts""",
+    "compare_slice_mismatches": _SLICE + _PROBLEMS,
+    "compare_slice_summary": _SLICE + _SLICE_COUNTS,
+    "stage_random_pairs": _STAGE_PAIRS + _SLICE_COUNTS,
+    "stage_extreme_pairs": _STAGE_EXTREME + _PROBLEMS,
     "compare_rows_mismatches": _ROW_MISMATCHES + "select * from mm",
     "compare_rows_summary": _ROW_MISMATCHES + """select (select count(*) from fine) rows_checked,
 (select count(*) from truth) truth_entries, count(*) mismatches, count(*) filter (issue = 'row_missing') n_row_missing,
@@ -287,14 +330,8 @@ select acc accession from tiny where acc not in (select row_acc from dec)""",
     "topk_check_summary": _topk(_LISTS_CHECK) + _TOPK_SUMMARY,
     "topk_function_status": _topk(_LISTS_FUNCTION) + _STATUS,
     "topk_function_summary": _topk(_LISTS_FUNCTION) + _TOPK_SUMMARY,
-    "diff_runs_mismatches": f"""with {_FINE},{_decoded('a', 'fine')}, {_TINY},{_decoded('b', 'tiny')},
-has as (select s.acc, s.acc in (select row_acc from a) has_a, s.acc in (select row_acc from b) has_b from fine s),
-j as (select coalesce(a.row_acc, b.row_acc) accession, coalesce(a.id, b.id) neighbor, a.jaccard value_a, b.jaccard value_b
-  from a full outer join b on a.row_acc = b.row_acc and a.id = b.id)
-select accession, neighbor, case when value_b is null then 'only_a' when value_a is null then 'only_b' else 'value_differs' end issue,
-  value_a, value_b from j join has on has.acc = j.accession
-  where has_a and has_b and value_a is distinct from value_b
-union all select acc, null, case when has_a then 'row_only_a' else 'row_only_b' end, null, null from has where has_a <> has_b""",
+    "diff_runs_mismatches": f"with {_FINE},{_decoded('dec0', 'fine')},{_faulty('a', 0)},{_faulty('b', 1)},{_DIFFERENCES}",
+    "stage_subset_differences": f"with {_store('fine', TINY)},{_decoded('a', 'fine')}, {_COARSE},{_decoded('b', 'coarse')},{_DIFFERENCES}",
     "split_rows_with_empty": f"""with {_TRUTH_RANDOM}
 select i.acc row_acc, p.col_acc, p.jaccard_raw from (select acc from srows union select acc from scols) i
 left join pt p on p.row_acc = i.acc""",
@@ -308,10 +345,45 @@ select p.a id_a, p.b id_b, p.size_a::int size_a, p.size_b::int size_b, x.copies
 from dp p join cg x on x.doc_id = p.a and x.rep_id = p.a join cg y on y.doc_id = p.b and y.rep_id = p.b where p.a < p.b""",
     "neighbour_degree": f"with {_DEGREE} select idx, acc, degree from deg",
     "edge_case_report": f"with {_EDGES} select accession, category from report",
+    "edge_case_report_capped": f"with {_DEGREE},{_REPORT.format(cap=CAP)} select accession, category from report",
     "edge_case_targets": f"with {_EDGES} select distinct accession acc from report",
     "edge_category_counts": f"""with {_DEGREE}
 select case degree when 0 then 'zero_neighbor' else 'single_neighbor' end category, count(*) "count"
 from deg where degree < 2 group by 1""",
     "expectation_status": _EXPECTATIONS,
-    "sketch_vectors": _sketch(),
+    "sketch_vectors": _sketch(SKETCH),
+    "sketch_vectors_blocks": _sketch(SKETCH_BLOCKS),
+    "faulty_rows_mismatches": _FAULTY_ROWS + "select * from mm",
+    "faulty_self_status": f"with {_FAULTY},{_SELF_CHECK.format(store='fine')}" + _STATUS,
+    "faulty_topk_status": _topk(_LISTS_CHECK, _FAULTY) + _STATUS,
+    "decoded_degree": f"with {_MATRIX_DEGREE} select idx, acc, degree from deg",
+    "matrix_edge_cases": f"with {_MATRIX_DEGREE},{_REPORT.format(cap=_ALL)} select accession, category from report",
+    "category_report_round_trip": f"with {_MATRIX_DEGREE},{_REPORT.format(cap=_ALL)} select accession, category from report",
+    "report_head": _ROW_MISMATCHES + "select * from mm order by accession, neighbor limit 20",
+    "sorted_lists": f"""with {_TRUTH_ALL}
+select row_idx, col_idx, (row_number() over (partition by row_idx order by jaccard_raw desc, col_idx))::int "position" from truth""",
+    "accessions_round_trip": f"with {_FINE} select acc from fine",
+    "norms_round_trip": f"with {_FINE} select idx, acc, norm from fine",
+    "pair_truth_round_trip": f"""with {_TRUTH_RANDOM}
+select row_idx, col_idx, row_acc, col_acc, found::int should_exist, case when found then j end jaccard_raw,
+  case when found then round(j * 255)::int end jaccard_quantized from pt_all""",
+    "row_lists_round_trip": f"""with {_FINE},{_sample('s', 'fine', 0, N_FULL)},{_pairs('t', 's', 'fine')}
+select {_TRUTH_COLUMNS} from t""",
+    "split_lists_round_trip": f"""with {_TRUTH_RANDOM}
+select i.acc row_acc, p.col_acc, p.jaccard_raw from (select acc from srows union select acc from scols) i
+left join pt p on p.row_acc = i.acc""",
+    "decoded_round_trip": f"""with {_FINE}, {_COARSE},{_decoded('dec', 'coarse')},{_sample('s', 'fine', 0, N_FULL)},
+top as (select *, row_number() over (partition by row_acc order by id = row_acc desc, jaccard desc, col_idx) rank from dec
+  where row_acc in (select acc from s))
+select row_acc, id, jaccard from top where rank <= 10""",
+    "slice_round_trip": f"""with {_COARSE},{_decoded('dec', 'coarse')}
+select s.acc row_acc, c.acc col_acc, coalesce(d.jaccard, 0::double) cell from coarse s
+cross join (select acc from coarse where acc in (select n_nationkey::varchar from nation)) c
+left join dec d on d.row_acc = s.acc and d.id = c.acc""",
+    "mismatch_report_round_trip": _SLICE + _PROBLEMS,
+    "manifest_round_trip": f"""with {_MANIFEST} select acc::varchar accession, grp, role, partner::varchar paired_with from man
+union all select min(doc_id)::varchar, 'row0_marker', 'single', null from documents
+union all select max(doc_id)::varchar, 'last_row_marker', 'single', null from documents""",
+    "stage_full_rows_mismatches": f"with {_SAMPLED},{_ROW_CHECK}select * from mm",
+    "stage_full_rows_topk": _topk(_LISTS_CHECK, _SAMPLED, "wanted") + _STATUS,
 }

@@ -7,9 +7,10 @@ lists, values and ties disagree by themselves in all the ways a check knows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinmat.constants import DEFAULT_KS, DEFAULT_SEED
@@ -25,15 +26,21 @@ from kinmat.operators.kmer_pairs import (
     kmer_neighbours,
     lookup_pairs,
 )
-from kinmat.plans import edge_cases, row_check, slice_check, topk_check
-from kinmat.session import settle, spread
-from kinmat.sources.vectors import vectors_from_embeddings
+from kinmat.plans import edge_cases, row_check, slice_check, stages, topk_check
+from kinmat.session import ensure_checkpoint_dir, settle, spread
+from kinmat.sinks import tables
+from kinmat.sources import text
+from kinmat.sources.vectors import read_norms, vectors_from_embeddings
 
 FINE, COARSE, TINY = 1000, 250, 8
 N_ROWS = N_COLS = 100
 N_EXTREME = 50
 N_FULL, N_FULL_EXTREME = 50, 25
 SKETCH = {"dim": 64, "scaled": 16}
+SKETCH_BLOCKS = {"dim": 256, "scaled": 16}
+CAP = 20
+# Every so many rows one of two faulty runs lacks a row.
+FAULTS = (17, 23)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -243,10 +250,174 @@ def q_topk_function_summary(spark, folder):
     return topk_check.topk_summary(q_topk_function_status(spark, folder))
 
 
+def _faulty(decoded: DataFrame, ids: DataFrame, run: int) -> DataFrame:
+    """Decoded rows with faults that follow from the ids: rows, self entries and cells lost, cells added and shifted."""
+    row, col = F.col("row_acc").cast("bigint"), F.col("id").cast("bigint")
+    lost = (row % FAULTS[run] == 1) | ((row == col) & (row % 19 == 3)) | ((row * 7 + col) % 41 == run)
+    moved = F.when((row * 5 + col * 3) % 53 == run, F.col("jaccard") + 3 / 255).otherwise(F.col("jaccard"))
+    kept = decoded.where(~lost).select("row_acc", "id", moved.alias("jaccard"))
+    # A cell to the other end of the store, where neither run has one.
+    number = F.col("idx").cast("bigint")
+    other = ids.agg(F.max("idx").alias("last"))
+    added = (
+        ids.where((number % 11 == run) & (number % FAULTS[run] != 1))
+        .join(F.broadcast(other))
+        .select(F.col("acc").alias("row_acc"), (F.col("last") - number).cast("string").alias("id"), F.lit(0.5).alias("jaccard"))
+        .join(decoded.select("row_acc", "id"), ["row_acc", "id"], "left_anti")
+    )
+    return kept.unionByName(added)
+
+
+def _faulty_runs(spark, folder) -> tuple[StoredMatrix, DataFrame, DataFrame]:
+    matrix = _matrix(spark, folder, FINE)
+    decoded = settle(mx.decoded_rows(matrix))
+    return matrix, settle(_faulty(decoded, matrix.ids, 0)), settle(_faulty(decoded, matrix.ids, 1))
+
+
 def q_diff_runs_mismatches(spark, folder):
-    fine, coarse = _matrix(spark, folder, FINE), _matrix(spark, folder, TINY)
-    a, b = settle(mx.decoded_rows(fine)), settle(mx.decoded_rows(coarse))
-    return row_check.diff_runs(fine.ids, a, b)
+    matrix, a, b = _faulty_runs(spark, folder)
+    return row_check.diff_runs(matrix.ids, a, b)
+
+
+def q_faulty_rows_mismatches(spark, folder):
+    matrix, a, _ = _faulty_runs(spark, folder)
+    return row_check.compare_rows(matrix.ids, _truth(spark, folder), a)
+
+
+def q_faulty_self_status(spark, folder):
+    matrix, a, _ = _faulty_runs(spark, folder)
+    return row_check.check_self_pairs(matrix.ids, a)
+
+
+def q_faulty_topk_status(spark, folder):
+    matrix, a, _ = _faulty_runs(spark, folder)
+    return topk_check.check_topk(matrix.ids, _truth(spark, folder), a, DEFAULT_KS)
+
+
+def q_decoded_degree(spark, folder):
+    matrix = _matrix(spark, folder, TINY)
+    return edge_cases.neighbour_degree(matrix.ids, mx.decoded_rows(matrix))
+
+
+def q_matrix_edge_cases(spark, folder):
+    return edge_cases.find_edge_cases(settle(q_decoded_degree(spark, folder))).select("accession", "category")
+
+
+def q_stage_random_pairs(spark, folder):
+    return stages.check_random_pairs(_store(spark, folder), _matrix(spark, folder), N_ROWS, N_COLS).summary
+
+
+def q_stage_extreme_pairs(spark, folder):
+    return stages.check_extreme_pairs(_store(spark, folder), _matrix(spark, folder), N_EXTREME).mismatches.select(
+        "row_acc", "col_acc", "issue"
+    )
+
+
+def _stage_rows(spark, folder):
+    store = _store(spark, folder)
+    return stages.check_full_rows(sampling.sample_rows(store.vectors, N_FULL), store, _matrix(spark, folder))
+
+
+def q_stage_full_rows_mismatches(spark, folder):
+    return _stage_rows(spark, folder).mismatches
+
+
+def q_stage_full_rows_topk(spark, folder):
+    return _stage_rows(spark, folder).topk
+
+
+def q_stage_subset_differences(spark, folder):
+    runs = _matrix(spark, folder, TINY), _matrix(spark, folder, COARSE)
+    return stages.check_subset(_store(spark, folder, TINY), *runs).run_differences
+
+
+def q_report_head(spark, folder):
+    return tables.report_head(q_compare_rows_mismatches(spark, folder), ["accession", "neighbor"])
+
+
+def q_sorted_lists(spark, folder):
+    placed = ranking.sorted_lists(_truth(spark, folder)).select("row_idx", "col_idx", "jaccard_raw")
+    # Where each entry stands among the entries of its row in the written order.
+    return placed.select("row_idx", "col_idx", F.row_number().over(
+        Window.partitionBy("row_idx").orderBy(F.desc("jaccard_raw"), "col_idx")
+    ).alias("position"))
+
+
+def _exchange(spark: SparkSession) -> str:
+    """A new folder beside the settled tables, for files that are written and read back."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def q_accessions_round_trip(spark, folder):
+    path = _exchange(spark)
+    tables.write_accessions(_store(spark, folder).ids, path)
+    return text.read_accessions(spark, path)
+
+
+def q_norms_round_trip(spark, folder):
+    path = _exchange(spark)
+    norms = _store(spark, folder).vectors.select("idx", "acc", "norm")
+    norms.repartitionByRange("idx").sortWithinPartitions("idx").select(
+        F.concat_ws(" ", "acc", F.col("norm").cast("string"))
+    ).write.text(path)
+    return read_norms(spark, path).select("idx", "acc", "norm")
+
+
+def q_pair_truth_round_trip(spark, folder):
+    path = _exchange(spark)
+    tables.write_pair_truth(_random_truth(spark, folder), path, csv=True)
+    return text.read_pair_truth(spark, path)
+
+
+def q_row_lists_round_trip(spark, folder):
+    path = _exchange(spark)
+    store = _store(spark, folder)
+    wanted = sampling.sample_rows(store.vectors, N_FULL)
+    tables.write_row_lists(scoring.full_rows(wanted, store), wanted, path)
+    return spark.read.parquet(f"{path}/lists")
+
+
+def q_split_lists_round_trip(spark, folder):
+    path = _exchange(spark)
+    tables.write_lists_by_row(edge_cases.split_rows(_random_truth(spark, folder)), path)
+    entries, rows = text.read_exported_lists(spark, path, "truth_raw")
+    return rows.join(entries, "row_acc", "left")
+
+
+def q_decoded_round_trip(spark, folder):
+    path = _exchange(spark)
+    matrix = _matrix(spark, folder)
+    rows = sampling.sample_rows(matrix.ids, N_FULL)
+    tables.write_decoded(mx.neighbour_records(settle(mx.decoded_rows(matrix, rows)), 10), path)
+    return text.read_exported_lists(spark, path)[0]
+
+
+def q_slice_round_trip(spark, folder):
+    path = _exchange(spark)
+    tables.write_slice(q_slice_wide(spark, folder), path)
+    return text.read_slice(spark, path)
+
+
+def q_manifest_round_trip(spark, folder):
+    path = _exchange(spark)
+    manifest = document_manifest(_docs(spark, folder)).select(
+        "accession", "group", "role", *[F.lit(None).cast("double").alias(c) for c in ("target_jaccard", "indel_rate", "achieved_true_kmer_jaccard")], "paired_with"
+    )
+    manifest.write.csv(path, header=True)
+    return text.read_manifest(spark, path).select("accession", F.col("group").alias("grp"), "role", "paired_with")
+
+
+def q_mismatch_report_round_trip(spark, folder):
+    path = _exchange(spark)
+    report = q_compare_slice_mismatches(spark, folder)
+    tables.write_mismatches(report, path)
+    return spark.read.schema("row_acc string, col_acc string, issue string").csv(path, header=True)
+
+
+def q_category_report_round_trip(spark, folder):
+    path = _exchange(spark)
+    tables.write_category_report(q_matrix_edge_cases(spark, folder), path)
+    return spark.read.schema("accession string, category string").csv(path, header=True)
 
 
 def q_split_rows_with_empty(spark, folder):
@@ -284,6 +455,10 @@ def q_edge_case_report(spark, folder):
     return edge_cases.find_edge_cases(q_neighbour_degree(spark, folder)).select("accession", "category")
 
 
+def q_edge_case_report_capped(spark, folder):
+    return edge_cases.find_edge_cases(q_neighbour_degree(spark, folder), CAP).select("accession", "category")
+
+
 def q_edge_case_targets(spark, folder):
     return edge_cases.edge_targets(q_edge_case_report(spark, folder))
 
@@ -301,7 +476,7 @@ def document_manifest(docs: DataFrame) -> DataFrame:
     that breaks its promise, texts below 21 characters have none, and two
     different texts of a length nobody else has may fall on either side.
     """
-    text = lambda c: F.col(c).cast("string")
+    name = lambda c: F.col(c).cast("string")
     keyed = docs.select("id", F.sha2("text", 256).alias("digest"), F.char_length("text").alias("length"))
     pair = (F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n"))
     equal = keyed.groupBy("digest").agg(*pair, F.first("length").alias("length")).where("n > 1 and length > 20")
@@ -314,12 +489,12 @@ def document_manifest(docs: DataFrame) -> DataFrame:
         same_length.select(F.lit("boundary_threshold").alias("group"), "low", "high")
     )
     members = F.array(
-        F.struct(text("low").alias("accession"), F.lit("base").alias("role"), text("high").alias("paired_with")),
-        F.struct(text("high").alias("accession"), F.lit("mutant").alias("role"), text("low").alias("paired_with")),
+        F.struct(name("low").alias("accession"), F.lit("base").alias("role"), name("high").alias("paired_with")),
+        F.struct(name("high").alias("accession"), F.lit("mutant").alias("role"), name("low").alias("paired_with")),
     )
     paired = pairs.select("group", F.explode(members).alias("m")).select("group", "m.*")
-    lone = lambda df, column, name: df.select(
-        F.lit(name).alias("group"), text(column).alias("accession"), F.lit("single").alias("role"),
+    lone = lambda df, column, kind: df.select(
+        F.lit(kind).alias("group"), name(column).alias("accession"), F.lit("single").alias("role"),
         F.lit(None).cast("string").alias("paired_with"),
     )
     ends = keyed.agg(F.min("id").alias("first"), F.max("id").alias("last"))
@@ -343,12 +518,20 @@ def q_expectation_status(spark, folder):
     return edge_cases.check_expectations(manifest, _doc_degrees(found), partners)
 
 
-def q_sketch_vectors(spark, folder):
-    return sketch_vectors(_docs(spark, folder), **SKETCH).select(
+def _sketches(spark, folder, shape: dict[str, int]) -> DataFrame:
+    return sketch_vectors(_docs(spark, folder), **shape).select(
         F.col("id").alias("doc_id"), "n_kept", F.array_join("v", ",").alias("vector")
     )
 
 
+def q_sketch_vectors(spark, folder):
+    return _sketches(spark, folder, SKETCH)
+
+
+def q_sketch_vectors_blocks(spark, folder):
+    return _sketches(spark, folder, SKETCH_BLOCKS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: function for name, function in sorted(globals().items()) if name.startswith("q_")
 }
