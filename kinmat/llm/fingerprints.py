@@ -105,21 +105,25 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     one with the least hash of its text is the next document of others. One document is its own next one.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY).cast("long"))
-    keyed = docs.select(key.alias("k"), "doc_id", text_or_empty().alias("text"))
+    # Both joins below read the same shuffle of this table.
+    keyed = docs.select(key.alias("k"), text_or_empty().alias("text"))
     longest = settle(keyed.groupBy("k").agg(F.max(F.length("text")).alias("n")))
     wanted = settle(next_keys(longest.select("k")).join(longest, "k").select("k", "next_k", F.floor(F.col("n") / 2).alias("half")))
-    following = keyed.select(F.col("k").alias("next_k"), "text").join(wanted, "next_k")
-    starts = following.select("k", F.xxhash64("text").alias("hash"), F.col("text").substr(F.lit(1), F.col("half").cast("int")).alias("start"))
+    before = wanted.select(F.col("k").alias("before_k"), "next_k", F.col("half").cast("int").alias("half"))
+    following = keyed.join(before, F.col("k") == F.col("next_k"))
+    starts = following.select(
+        F.col("before_k").alias("k"), F.xxhash64("text").alias("hash"), F.col("text").substr(F.lit(1), F.col("half")).alias("start")
+    )
     starts = starts.groupBy("k").agg(F.min_by("start", "hash").alias("start"))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("start", F.lit(1), half))
     both = (
         keyed.join(starts, "k")
-        .select("k", "doc_id", "text", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"))
+        .select("k", "text", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"))
         .withColumn("row", F.monotonically_increasing_id())
         .select("*", F.xxhash64("text").alias("text_hash"), F.sha2("edited", 256).alias("edited_sha256"))
     )
-    keys = ["k", "row", "doc_id", "n_chars", "text_hash", "edited_sha256"]
+    keys = ["k", "row", "n_chars", "text_hash", "edited_sha256"]
     sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), "text"), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text"))))
     voted = votes(both.select(*keys, sides.alias("x")).select(*keys, "x.side", "x.text"), [*keys, "side"])
 
@@ -132,7 +136,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         of(1, "fp_high").alias("edited_high"),
         of(1, "fp_low").alias("edited_low"),
     )
-    return settle(found.drop("row")).join(wanted.select("k", "next_k"), "k")
+    own_id = F.nullif(F.col("k"), F.lit(NULL_KEY).cast("long"))
+    return settle(found.drop("row").withColumn("doc_id", own_id)).join(wanted.select("k", "next_k"), "k")
 
 
 def with_next(found: DataFrame) -> DataFrame:

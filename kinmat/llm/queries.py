@@ -118,4 +118,4 @@ QUERIES = {
     )
 }
 
-ORACLE: dict[str, str] = {"op4_license_scan": licenses.scan_sql()}
+ORACLE: dict[str, str] = {"op4_license_scan": licenses.scan_sql(), "op9_url_filter": url_filter.judge_sql()}

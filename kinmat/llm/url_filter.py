@@ -188,3 +188,69 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     judged = match_rules(addressed.select("page_id", "host", "path", "address"), rules)
     verdict = F.coalesce("rule_verdict", "alias_verdict", F.lit("allow"))
     return judged.join(by_alias, "address", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+
+
+def judge_sql(rules: list[tuple[str, str, str]] = RULES) -> str:
+    """The same for DuckDB over the table pages, with components by recursion."""
+    quote = lambda text: "'" + text.replace("'", "''") + "'"
+
+    def after(url: str) -> str:
+        return f"case when instr({url}, '://') > 0 then substr({url}, instr({url}, '://') + 3) end"
+
+    def host(url: str) -> str:
+        return f"coalesce(translate(regexp_extract({after(url)}, '^[^/?#]*'), '{_UPPER}', '{_LOWER}'), '')"
+
+    def path(url: str) -> str:
+        return f"coalesce(regexp_extract({after(url)}, '^[^/?#]*([^?#]*)', 1), '')"
+
+    def query(url: str) -> str:
+        told = f"list_filter(string_split(regexp_extract({after(url)}, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' and not regexp_matches(p, '^(?:{TRACKING})(?:=|$)'))"
+        return f"case when len({told}) > 0 then '?' || array_to_string({told}, '&') else '' end"
+
+    def known(url: str) -> str:
+        return f"case when {host(url)} <> '' then {host(url)} || {path(url)} || {query(url)} end"
+
+    def attribute(tag: str, name: str) -> str:
+        pattern = quote(rf"(?is)\s{name}{_VALUE}")
+        return " || ".join(f"regexp_extract({tag}, {pattern}, {i})" for i in (1, 2, 3))
+
+    canonical = "regexp_extract(html, " + quote(r"""(?is)<link\b[^>]*\srel\s*=\s*["']?canonical\b[^>]*>""") + ")"
+    refresh = "regexp_extract(html, " + quote(r"""(?is)<meta\b[^>]*\shttp-equiv\s*=\s*["']?refresh\b[^>]*>""") + ")"
+    content = f"regexp_extract({attribute(refresh, 'content')}, " + quote(r"(?is)^\s*[0-9.]*\s*[;,]?\s*url\s*=\s*['\"]?([^'\"]*)") + ", 1)"
+    scheme, folder = "regexp_extract(url, '^([^/?#]*)://', 1)", f"regexp_extract({path('url')}, '^(.*/)', 1)"
+    whole = f"""case when link = '' then null when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') then link
+      when starts_with(link, '//') then {scheme} || ':' || link when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') then null
+      when starts_with(link, '/') then {scheme} || '://' || {host("url")} || link
+      when regexp_matches(link, '^[?#]') then {scheme} || '://' || {host("url")} || {path("url")} || link
+      else {scheme} || '://' || {host("url")} || case when {folder} = '' then '/' else {folder} end || link end"""
+    values = ", ".join(f"({', '.join(map(quote, r))})" for r in rules)
+    labels = "|".join(ALIAS_LABELS)
+    return f"""
+        WITH RECURSIVE rules AS (SELECT *, host || path AS rule FROM (VALUES {values}) AS r(verdict, host, path)),
+        given AS (SELECT page_id, url, html, {host("url")} AS host, {path("url")} AS path, {known("url")} AS a FROM pages),
+        raw AS (
+            SELECT url, a, trim(replace({attribute(canonical, "href")}, '&amp;', '&')) AS link FROM given
+            UNION ALL SELECT url, a, trim(replace({content}, '&amp;', '&')) FROM given
+        ), targets AS (SELECT a, {whole} AS b_url FROM raw),
+        plain AS (
+            SELECT DISTINCT a, CASE WHEN regexp_matches(a, '^(?:{labels})\\.[^./?#]+\\.[^/?#]') THEN regexp_replace(a, '^(?:{labels})\\.', '') ELSE a END AS b FROM given
+        ), links AS (
+            SELECT DISTINCT a, b, b_url FROM (
+                SELECT a, {known("b_url")} AS b, b_url FROM targets UNION ALL SELECT a, b, 'http://' || b FROM plain
+            ) WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b
+        ), sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach(a, b) AS (SELECT a, b FROM sides UNION SELECT r.a, e.b FROM reach r JOIN sides e ON r.b = e.a),
+        nodes AS (
+            SELECT a, host, path FROM given WHERE a IS NOT NULL
+            UNION SELECT b, {host("b_url")}, {path("b_url")} FROM links
+        ), fits AS (
+            SELECT n.a, n.host, n.path, r.rule, r.verdict,
+                row_number() OVER (PARTITION BY n.a, n.host, n.path ORDER BY length(r.rule) DESC, r.rule DESC) AS place
+            FROM nodes n JOIN rules r ON (n.host = r.host OR ends_with(n.host, '.' || r.host)) AND starts_with(n.path, r.path)
+        ), told AS (
+            SELECT reach.a, min(f.verdict) AS verdict FROM reach JOIN fits f ON f.a = reach.b AND f.place = 1 GROUP BY reach.a
+        )
+        SELECT page_id, g.host, g.path, f.rule, coalesce(f.verdict, t.verdict, 'allow') AS verdict
+        FROM given g LEFT JOIN fits f ON f.a = g.a AND f.host = g.host AND f.path = g.path AND f.place = 1
+        LEFT JOIN told t ON t.a = g.a
+    """

@@ -176,3 +176,11 @@ def test_verdicts_reach_aliases(spark):
     without = pages.where("page_id <> 3")
     assert {r["verdict"] for r in url_filter.judge(without, rules).where("page_id in (1, 2)").collect()} == {"block"}
     assert url_filter.judge(pages.limit(0), rules).collect() == []
+    import duckdb
+
+    with duckdb.connect() as con:
+        con.execute("create table pages (page_id bigint, url varchar, html varchar)")
+        con.executemany("insert into pages values (?, ?, ?)", [list(r) for r in rows])
+        listed = [("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+        by_sql = [(p, rule, verdict) for p, _, _, rule, verdict in con.execute(url_filter.judge_sql(listed)).fetchall()]
+    assert sorted(by_sql, key=key) == sorted(expected, key=key)
