@@ -48,7 +48,9 @@ def shared_classes(sets: DataFrame) -> DataFrame:
     The marks are two 64-bit hashes over the ids of all texts with the k-mer;
     equal marks and counts mean the same texts.
     """
-    postings = exploded(sets.select("id", "size", "kmers"))
+    # K-mers go on as two 64-bit hashes, half their bytes; only equality matters from here.
+    hashed = F.struct(F.xxhash64("kmer"), F.xxhash64(F.lit(1), F.col("kmer")))
+    postings = exploded(sets.select("id", "size", "kmers")).withColumn("kmer", hashed)
     mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), F.col("id")))
     occurrence = settle(
         postings.groupBy("kmer")
@@ -56,8 +58,7 @@ def shared_classes(sets: DataFrame) -> DataFrame:
         .where("df > 1")
     )
     return (
-        # K-mers are unique on the small side, so its hash tables are even and no sort is needed.
-        join_grouped(postings, occurrence.hint("shuffle_hash"), "kmer", "df", "id")
+        join_grouped(postings, occurrence, "kmer", "df", "id")
         .groupBy("id", "size", *CLASS)
         .agg(F.count(F.lit(1)).alias("weight"))
     )
