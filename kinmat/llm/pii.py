@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmat.llm.frames import text_or_empty
+from kinmat.llm.frames import apart, text_or_empty
 from kinmat.session import settle
 
 #: Words on either side of a value that count as beside it, and the characters they are looked for in.
@@ -104,7 +104,7 @@ def _words(text: Column) -> Column:
 
 
 def _text_key() -> list[Column]:
-    return [F.xxhash64("text").alias("key_1"), F.xxhash64(F.lit("second"), "text").alias("key_2")]
+    return [F.xxhash64("text").alias("__key_1__"), F.xxhash64(F.lit("second"), "text").alias("__key_2__")]
 
 
 def co_occurrences(texts: DataFrame) -> DataFrame:
@@ -163,15 +163,15 @@ def find_spans(docs: DataFrame) -> DataFrame:
     held = (
         texts.select(*_text_key(), F.explode(_words(F.col("text"))).alias("found"))
         .join(terms, (F.xxhash64("found") == F.col("word")) & (F.col("found") == F.col("term")))
-        .groupBy("key_1", "key_2")
+        .groupBy("__key_1__", "__key_2__")
         .agg(
-            F.collect_set(F.when(F.col("share") >= REMOVE_FROM, F.col("term"))).alias("removed"),
-            F.collect_set(F.when(F.col("share") < REMOVE_FROM, F.col("term"))).alias("general"),
+            F.collect_set(F.when(F.col("share") >= REMOVE_FROM, F.col("term"))).alias("__removed__"),
+            F.collect_set(F.when(F.col("share") < REMOVE_FROM, F.col("term"))).alias("__general__"),
         )
     )
     held = settle(held)
     keyed = docs.select(*[F.col(f"`{c}`") for c in kept], body.alias("text")).select("*", *_text_key())
-    joined = keyed.join(held, ["key_1", "key_2"], "left")
+    joined = keyed.join(held, ["__key_1__", "__key_2__"], "left")
 
     def term_spans(column: str, rank: int) -> Column:
         pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(column, "|"), F.lit(r")(?!\p{L})"))
@@ -179,7 +179,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
         return F.when(F.size(column) > 0, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
     rank = KINDS.index("term")
-    added = F.concat(term_spans("general", rank), term_spans("removed", rank + 1))
+    added = F.concat(term_spans("__general__", rank), term_spans("__removed__", rank + 1))
     based = joined.withColumn("base_spans", base_spans(F.col("text")))
     return based.withColumn("spans", F.array_sort(F.concat("base_spans", added))).select(*kept, "text", "base_spans", "spans")
 
@@ -190,7 +190,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     Columns and rows stay; where spans overlap, the first one's mask stands for all of them. A text without a span is
     as it was, a null text too.
     """
-    found = find_spans(docs.withColumn("__null__", F.col("text").isNull()))
+    plain, named = apart(docs, ("text",))
+    found = find_spans(plain.withColumn("__null__", F.col("text").isNull()))
     rank = KINDS.index("term")
     mask = F.create_map(*[F.lit(x) for pair in MASKS.items() for x in pair])
 
@@ -204,4 +205,4 @@ def sanitise(docs: DataFrame) -> DataFrame:
     end = F.aggregate("spans", start, step)
     rest = F.substring(F.col("text"), end["at"] + 1, F.length("text"))
     masked = F.when(F.size("spans") > 0, F.concat(end["out"], rest)).when(~F.col("__null__"), F.col("text"))
-    return found.withColumn("text", masked).select(*docs.columns)
+    return named(found.withColumn("text", masked))

@@ -140,7 +140,7 @@ def score(docs: DataFrame, grammar: Grammar, keep: list[str] | None = None, thre
     """Add score (0 to 1) and predicted (1 from ``threshold``) of each whole text.
 
     Null and empty texts have the score of a text without a match. Other columns stay, repeated rows too;
-    columns named score, predicted or like a feature are replaced.
+    columns named score or predicted are replaced, those named like a feature left out.
     """
     measured = features(docs, grammar, keep)
     line = F.lit(float(grammar.curve[0]))

@@ -72,7 +72,7 @@ def test_disclosing_terms(spark):
 
 def test_sanitise_keeps_what_is_not_personal(spark):
     rows = [(1, "mail a@b.cd now", "x"), (2, None, "x"), (3, "", None), (None, "é🙂 +1 (017) 555-7713, 4111111111111111", "x"), (1, "mail a@b.cd now", "x"), (4, "+1 (017) 555-7713@x.org tail", "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, spans string, __key_1__ int, base_spans int")
     out = pii.sanitise(docs)
     assert out.columns == docs.columns
     got = sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect())
