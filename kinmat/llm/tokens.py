@@ -9,8 +9,8 @@ import struct
 from collections.abc import Callable
 from functools import lru_cache
 
-#: Entries of the younger half of a memory of words; both halves together stay below 200 MB.
-MEMORY_WORDS = 400_000
+#: Entries of the younger half of a memory of words; both halves together stay below 100 MB.
+MEMORY_WORDS = 200_000
 #: Longer chunks are encoded each time and never remembered.
 LONGEST_REMEMBERED = 64
 
