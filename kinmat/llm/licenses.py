@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinmat.session import settle
+
 #: Texts and notices of public licences, by SPDX identifier. Longer texts may be given as a table.
 KNOWN = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -69,9 +71,12 @@ def digest(text: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(license, digest) of known texts; a text listed twice counts once."""
+    """(license, digest) of known texts; a text listed twice counts once.
+
+    Settled, so that Spark knows its size and can send a small table to all tasks.
+    """
     frame = spark.createDataFrame(texts, "license string, body string")
-    return frame.groupBy(digest(F.col("body")).alias("digest")).agg(F.min("license").alias("license"))
+    return settle(frame.groupBy(digest(F.col("body")).alias("digest")).agg(F.min("license").alias("license")))
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -79,8 +84,8 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 
     The digest of each whole text (unit text) and of each of its lines (unit line) is joined to the known digests;
     parts of lines do not count. A null or empty text, and one of which only copyright lines are left, has no
-    row. Rows with the same doc_id, null included, are counted together; other columns are left out. Only what has
-    matched is shuffled, and it is counted before.
+    row. Rows with the same doc_id, null included, are counted together; other columns are left out. While the known
+    digests are few, only what has matched is shuffled, and it is counted before.
     """
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     whole = docs.select("doc_id", F.lit("text").alias("unit"), body.alias("body"))
