@@ -24,13 +24,20 @@ from kinmat.session import settle, ship_package
 BLOCK_ROWS = 1024
 #: Rows that a task compares at a time, in many small buckets or a few blocks.
 BATCH_ROWS = 20_000
+#: The same where rows have their sets of shingles.
+EXACT_BLOCK_ROWS, EXACT_BATCH_ROWS = 256, 1000
+#: Rows with the same of these meet.
+BUCKET = ("segment", "value", "low_block", "high_block")
 #: Shingles whose bits are counted at a time, and those whose counts fit one byte.
 VOTE_ROWS, BYTE_ROWS = 255 * 128, 255
-#: Fixed values of the stage on texts: words of a shingle, longs of the two fingerprints, segments and radii. Texts whose
-#: shingles are alike by 0.8 (Jaccard) differ in 25 of 384 and 145 of 1024 bits on average.
-STAGE_SHINGLE = 5
-RING_LONGS, RING_SEGMENTS, RING_RADIUS = 6, 18, 48
-CHECK_LONGS, CHECK_RADIUS = 16, 168
+#: Fixed values of the stage on texts: words of a shingle, and the likeness (Jaccard) from which texts are near copies.
+STAGE_SHINGLE, STAGE_LIKENESS = 5, 0.8
+#: Tables in which candidates meet and least hashes of shingles that make up a key there: of pairs that are alike by
+#: 0.8, a share of (1 - 0.8 ** 4) ** 20, 3 in 100,000, meets in none.
+TABLES, TABLE_HASHES = 20, 4
+#: Longs of the fingerprint of shingles, and the radii in which a pair is surely alike by 0.8, and may be. A pair at 0.8
+#: differs in 145 to 155 of 1024 bits on average, with a standard error of 12.
+CHECK_LONGS, SURE_RADIUS, MAYBE_RADIUS = 16, 95, 210
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -119,6 +126,56 @@ def _matrix(table: pa.Table, column: str) -> np.ndarray:
     return flat.view(np.uint64).reshape(table.num_rows, -1)
 
 
+def _spanning(
+    table: pa.Table, accept: Callable[[np.ndarray, np.ndarray], np.ndarray], root: np.ndarray | None = None
+) -> np.ndarray:
+    """The root of every row, over pairs of a bucket or pair of blocks that ``accept`` gives the places of.
+
+    Rows must be in the order of ``_in_order``; those with an equal ``root`` are tied from the beginning.
+    """
+    column = {n: table.column(n).to_numpy() for n in BUCKET}
+    block = table.column("block").to_numpy()
+    rows = table.num_rows
+    fresh = np.ones(rows, dtype=bool)
+    fresh[1:] = False
+    for n in BUCKET:
+        fresh[1:] |= column[n][1:] != column[n][:-1]
+    starts = np.flatnonzero(fresh)
+    ends = np.repeat(np.append(starts[1:], rows), np.diff(np.append(starts, rows)))
+    # In a pair of two blocks, members of the same block have met elsewhere.
+    alone = column["low_block"] == column["high_block"]
+    root = np.arange(rows) if root is None else root.copy()
+    left = np.flatnonzero(ends - np.arange(rows) > 1)
+    step = 1
+    while left.size:
+        right = left + step
+        apart = (root[left] != root[right]) & (alone[left] | (block[left] != block[right]))
+        i, j = left[apart], right[apart]
+        if i.size:
+            near = accept(i, j)
+            i, j = i[near], j[near]
+        while i.size:
+            low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+            np.minimum.at(root, high, low)
+            while (root != root[root]).any():
+                root = root[root]
+            open_ = root[i] != root[j]
+            i, j = i[open_], j[open_]
+        step += 1
+        left = left[ends[left] - left > step]
+    return root
+
+
+def _in_order(table: pa.Table) -> pa.Table:
+    names = ("node", *reversed(BUCKET))
+    return table.take(pa.array(np.lexsort([table.column(n).to_numpy() for n in names])))
+
+
+def _tied(node: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    tied = np.flatnonzero(root != np.arange(len(root)))
+    return node[tied], node[root[tied]]
+
+
 def _comparer(
     masks: list[tuple[int, int, int]], radius: int, check_radius: int | None
 ) -> Callable[[pa.Table], pa.Table]:
@@ -141,50 +198,41 @@ def _comparer(
         return at
 
     def compare(table: pa.Table) -> pa.Table:
-        names = ("segment", "value", "low_block", "high_block", "block", "node")
-        column = {n: table.column(n).to_numpy() for n in names}
-        order = np.lexsort([column[n] for n in ("node", "high_block", "low_block", "value", "segment")])
-        column = {n: v[order] for n, v in column.items()}
-        bits = _matrix(table, "bits")[order]
-        check = _matrix(table, "check_bits")[order] if check_radius is not None else None
-        rows = len(order)
-        fresh = np.ones(rows, dtype=bool)
-        fresh[1:] = False
-        for n in ("segment", "value", "low_block", "high_block"):
-            fresh[1:] |= column[n][1:] != column[n][:-1]
-        starts = np.flatnonzero(fresh)
-        ends = np.repeat(np.append(starts[1:], rows), np.diff(np.append(starts, rows)))
-        # In a pair of two blocks, members of the same block have met elsewhere.
-        alone = column["low_block"] == column["high_block"]
-        root = np.arange(rows)
-        left = np.flatnonzero(ends - np.arange(rows) > 1)
-        step = 1
-        while left.size:
-            right = left + step
-            apart = (root[left] != root[right]) & (alone[left] | (column["block"][left] != column["block"][right]))
-            i, j = left[apart], right[apart]
-            if i.size:
-                near = close(bits[i] ^ bits[j], column["segment"][i])
-                i, j = i[near], j[near]
-                if check is not None and i.size:
-                    near = np.bitwise_count(check[i] ^ check[j]).sum(axis=1) <= check_radius
-                    i, j = i[near], j[near]
-            while i.size:
-                low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
-                np.minimum.at(root, high, low)
-                while (root != root[root]).any():
-                    root = root[root]
-                open_ = root[i] != root[j]
-                i, j = i[open_], j[open_]
-            step += 1
-            left = left[ends[left] - left > step]
-        tied = np.flatnonzero(root != np.arange(rows))
-        node = column["node"]
-        return pa.table({"a": pa.array(node[tied], pa.int64()), "b": pa.array(node[root[tied]], pa.int64())})
+        table = _in_order(table)
+        segment = table.column("segment").to_numpy()
+        bits = _matrix(table, "bits")
+        check = _matrix(table, "check_bits") if check_radius is not None else None
+
+        def accept(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            near = close(bits[i] ^ bits[j], segment[i])
+            if check is not None and near.size:
+                near = near[np.bitwise_count(check[i[near]] ^ check[j[near]]).sum(axis=1) <= check_radius]
+            return near
+
+        a, b = _tied(table.column("node").to_numpy(), _spanning(table, accept))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return compare
 
 
+def _members(keys: DataFrame, nodes: DataFrame, block_rows: int, batch_rows: int | None = None) -> DataFrame:
+    """``nodes`` in every bucket (segment, value) of ``keys`` that has others, once for each pair of blocks; with batch."""
+    sizes = settle(keys.groupBy("segment", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    blocks = F.ceil(F.col("n") / F.lit(block_rows)).cast("int")
+    work = sizes.agg(F.sum(F.col("n") * blocks).alias("rows")).first()["rows"] or 0
+    batches = max(1, -(-work // (batch_rows or BATCH_ROWS)))
+    return (
+        keys.join(sizes, ["segment", "value"])
+        .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .withColumn("low_block", F.least("block", "other"))
+        .withColumn("high_block", F.greatest("block", "other"))
+        .drop("n", "other")
+        .join(nodes, "node")
+        .withColumn("batch", F.pmod(F.xxhash64(*BUCKET), F.lit(batches)))
+    )
+
+
 def links(
     nodes: DataFrame,
     radius: int,
@@ -207,20 +255,7 @@ def links(
     longs = first["n"] if first else 1
     masks = segment_masks(longs, segments)
     keys = nodes.select("node", F.explode(_segment_values("bits", masks)).alias("key")).select("node", "key.*")
-    sizes = settle(keys.groupBy("segment", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    blocks = F.ceil(F.col("n") / F.lit(block_rows)).cast("int")
-    work = sizes.agg(F.sum(F.col("n") * blocks).alias("rows")).first()["rows"] or 0
-    batches = max(1, -(-work // BATCH_ROWS))
-    members = (
-        keys.join(sizes, ["segment", "value"])
-        .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumn("low_block", F.least("block", "other"))
-        .withColumn("high_block", F.greatest("block", "other"))
-        .drop("n", "other")
-        .join(nodes, "node")
-        .withColumn("batch", F.pmod(F.xxhash64("segment", "value", "low_block", "high_block"), F.lit(batches)))
-    )
+    members = _members(keys, nodes, block_rows)
     return members.groupBy("batch").applyInArrow(_comparer(masks, radius, check_radius), "a long, b long")
 
 
@@ -248,31 +283,132 @@ def hex_digits(column: str) -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
+def table_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each table from the least of the hashes under ``TABLE_HASHES`` orders; equal sets have equal keys."""
+    least = np.full(TABLES * TABLE_HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
+    orders = _mixed(np.arange(1, len(least) + 1, dtype=np.uint64), 1) | np.uint64(1)
+    for start in range(0, len(hashes), VOTE_ROWS):
+        np.minimum(least, (hashes[start : start + VOTE_ROWS, None] * orders).min(axis=0), out=least)
+    keys = np.zeros(TABLES, dtype=np.uint64)
+    for part in least.reshape(TABLES, TABLE_HASHES).T:
+        keys = _mixed(keys ^ part, 1)
+    return keys
+
+
 def wide_fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Add bits, of a text's different words, and check_bits, of its shingles of five words, as arrays of longs."""
+    """Add table_keys and bits, both of a text's different shingles of five words, as arrays of longs."""
 
     def make():
         def work(texts: list[str]) -> dict[str, Iterable]:
-            ring, check = [], []
+            keys, bits = [], []
             for text in texts:
-                words = words_of(text)
-                ring.append(vote(np.unique(shingle_hashes(words, 1)), RING_LONGS).view(np.int64))
-                check.append(vote(np.unique(shingle_hashes(words, STAGE_SHINGLE)), CHECK_LONGS).view(np.int64))
-            return {"bits": ring, "check_bits": check}
+                hashes = np.unique(shingle_hashes(words_of(text), STAGE_SHINGLE))
+                keys.append(table_keys(hashes).view(np.int64))
+                bits.append(vote(hashes, CHECK_LONGS).view(np.int64))
+            return {"table_keys": keys, "bits": bits}
 
         return work
 
-    fields = [("bits", pa.list_(pa.int64())), ("check_bits", pa.list_(pa.int64()))]
+    fields = [("table_keys", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))]
     return map_texts(docs, "text", make, pa.schema(fields), keep)
 
 
+def shingle_sets(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Add shingles: the hashes of a text's different shingles of five words, in order."""
+
+    def make():
+        def work(texts: list[str]) -> dict[str, Iterable]:
+            return {"shingles": [np.unique(shingle_hashes(words_of(t), STAGE_SHINGLE)).view(np.int64) for t in texts]}
+
+        return work
+
+    return map_texts(docs, "text", make, pa.schema([("shingles", pa.list_(pa.int64()))]), keep)
+
+
+def _stage_comparer(table: pa.Table) -> pa.Table:
+    """Links that span the surely alike of each bucket, and more links that span those that may be alike."""
+    table = _in_order(table)
+    bits, node = _matrix(table, "bits"), table.column("node").to_numpy()
+
+    def within(radius: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        def accept(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return np.flatnonzero(np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1) <= radius)
+
+        return accept
+
+    sure = _spanning(table, within(SURE_RADIUS))
+    maybe = _spanning(table, within(MAYBE_RADIUS), sure)
+    ends = [_tied(node, sure), _tied(node, np.where(maybe != sure, maybe, np.arange(len(node))))]
+    flags = np.repeat([True, False], [len(a) for a, _ in ends])
+    a, b = (np.concatenate([x[k] for x in ends]) for k in (0, 1))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sure": pa.array(flags)})
+
+
+def _exact_comparer(table: pa.Table) -> pa.Table:
+    """Links that span those of a bucket whose sets of shingles are alike by 0.8, where they are not tied for sure."""
+    table = _in_order(table)
+    bits, node, label = _matrix(table, "bits"), table.column("node").to_numpy(), table.column("sure_label").to_numpy()
+    listed = table.column("shingles").combine_chunks()
+    ends, flat = listed.offsets.to_numpy(), listed.values.to_numpy(zero_copy_only=False)
+
+    def alike(i: int, j: int) -> bool:
+        a, b = flat[ends[i] : ends[i + 1]], flat[ends[j] : ends[j + 1]]
+        if min(len(a), len(b)) < STAGE_LIKENESS * max(len(a), len(b)):
+            return False
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both > 0 and both >= STAGE_LIKENESS * (len(a) + len(b) - both) - 1e-9
+
+    def accept(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        near = np.flatnonzero(np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1) <= MAYBE_RADIUS)
+        return np.array([k for k in near if alike(i[k], j[k])], dtype=np.int64)
+
+    bucket = np.array([table.column(n).to_numpy() for n in BUCKET])
+    _, first = np.unique(np.vstack([bucket, label[None]]), axis=1, return_inverse=True)
+    least = np.full(first.max(initial=0) + 1, len(node))
+    np.minimum.at(least, first.ravel(), np.arange(len(node)))
+    a, b = _tied(node, _spanning(table, accept, least[first.ravel()]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def near_copy_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all nodes whose texts' shingles are alike by 0.8 or more, as far as a table has both.
+
+    ``nodes`` has node, table_keys and bits and ``texts`` node and text, once each. Within a bucket, pairs in the sure radius are
+    linked. What only may be alike is tied to larger groups; of those that are not connected for sure
+    already, members are compared by their sets of shingles, in pairs of blocks. So only links that span groups are written, and
+    the sets of few texts. No nodes give no links.
+    """
+    spark = nodes.sparkSession
+    ship_package(spark)
+    keys = nodes.select("node", F.posexplode("table_keys").alias("segment", "value"))
+    members = _members(keys, nodes.select("node", "bits"), BLOCK_ROWS)
+    found = settle(members.groupBy("batch").applyInArrow(_stage_comparer, "a long, b long, sure boolean"))
+    sure = found.where("sure").select("a", "b")
+    if not found.where("not sure").head(1):
+        return sure
+    ties = settle(components(sure))
+    wide = settle(components(found))
+    placed = wide.select("node", F.col("label").alias("value")).join(
+        ties.select("node", F.col("label").alias("sure_label")), "node", "left"
+    )
+    placed = settle(placed.withColumn("sure_label", F.coalesce("sure_label", "node")))
+    split = placed.groupBy("value").agg(F.min("sure_label").alias("x"), F.max("sure_label").alias("y")).where("x != y")
+    open_ = settle(placed.join(split.select("value"), "value", "left_semi"))
+    once = texts.join(open_.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    sets = shingle_sets(once, ["node"])
+    full = settle(open_.select("node", "sure_label").join(nodes.select("node", "bits"), "node").join(sets, "node"))
+    groups = open_.select("node", F.lit(0).alias("segment"), "value")
+    exact = _members(groups, full, EXACT_BLOCK_ROWS, EXACT_BATCH_ROWS).groupBy("batch")
+    return sure.union(exact.applyInArrow(_exact_comparer, "a long, b long"))
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The documents with one of each group of near copies: the one with the smallest doc_id.
 
     Texts whose shingles of five words are alike by 0.8 or more are near copies; a group is what is
-    reachable over near copies. Candidates share one of eighteen segments of the fingerprint of their words, stay
-    within the budgets of the chain from there, and within the radius of the fingerprint of their shingles, which
-    estimates the likeness with a standard error of 0.03. Equal texts (by a hash of 64 bits) are one class
+    reachable over near copies. Candidates share the key of one of twenty tables, made of least hashes of shingles, whatever
+    was edited or appended. Pairs within the sure radius of the fingerprint of their shingles are alike, others are compared
+    by their shingles (``near_copy_links``). Equal texts (by a hash of 64 bits) are one class
     throughout. Columns stay. Of repeated rows one stays; null and empty texts are copies of each other; a null doc_id comes
     last. An empty table gives no rows.
     """
@@ -281,10 +417,13 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     prints = settle(wide_fingerprints(keyed, keep=["__key__", "__node__"]))
     nodes = settle(
         prints.groupBy(F.col("__node__").alias("node")).agg(
-            F.min("__key__").alias("first_key"), F.min("bits").alias("bits"), F.min("check_bits").alias("check_bits")
+            F.min("__key__").alias("first_key"), F.min("table_keys").alias("table_keys"), F.min("bits").alias("bits")
         )
     )
-    found = components(links(nodes, RING_RADIUS, RING_SEGMENTS, CHECK_RADIUS))
+    firsts = nodes.select(F.col("first_key").alias("__key__"), F.col("node").alias("__node__"))
+    texts = keyed.select("__key__", "__node__", "text").join(firsts, ["__key__", "__node__"], "left_semi")
+    texts = texts.select(F.col("__node__").alias("node"), "text")
+    found = components(near_copy_links(nodes, texts))
     labelled = nodes.select("node", "first_key").join(found, "node", "left")
     kept = (
         labelled.groupBy(F.coalesce("label", "node").alias("label"))

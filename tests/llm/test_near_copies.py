@@ -152,3 +152,34 @@ def test_wide_votes_are_bits_over_half():
         part = hashes[:n]
         expected = sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in part) > n)
         assert int(simhash_dedup.vote(part)[0]) == expected
+
+
+def test_near_copies_with_text_appended_and_long_edited_ones(spark):
+    rng = random.Random(5)
+    vocabulary = ["w%d" % i for i in range(6000)]
+    rows, group = [], {}
+
+    def add(words, g):
+        group[len(rows)] = g
+        rows.append((len(rows), " ".join(words)))
+
+    def shingles(words):
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    for g in range(60):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(300, 600))]
+        add(words, g)
+        add(words + [rng.choice(vocabulary) for _ in range(round(len(words) * rng.choice([0.11, 0.16, 0.22, 0.24])))], g)
+    for g in range(60, 75):  # few different words, many scattered new ones
+        words = [rng.choice(vocabulary[:600]) for _ in range(3000)]
+        add(words, g)
+        add(["new%d" % rng.randrange(10**9) if i % 52 == 7 else w for i, w in enumerate(words)], g)
+    for g in range(75, 105, 2):  # alike by less than 0.8
+        words = [rng.choice(vocabulary) for _ in range(400)]
+        add(words, g)
+        add(words + [rng.choice(vocabulary) for _ in range(112)], g + 1)
+    for d in range(0, len(rows), 2):
+        a, b = (shingles(rows[k][1].split()) for k in (d, d + 1))
+        assert (len(a & b) >= 0.8 * len(a | b)) == (group[d] == group[d + 1])
+    kept = [r["doc_id"] for r in simhash_dedup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept) == sorted(min(d for d in group if group[d] == g) for g in set(group.values()))
