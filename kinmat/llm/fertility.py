@@ -2,7 +2,7 @@
 
 Characters per token, the share of byte-fallback tokens and the entropy of the tokens are measured on
 whole texts. Rejection bands come from all documents of the same language (or script, where no language is
-given) and of similar length, as entropy depends on length.
+given) and of similar length, as entropy depends on length; a group of copies weighs as much as one document.
 """
 
 from __future__ import annotations
@@ -30,6 +30,12 @@ BANDS = {"entropy": (3.0, 8.0), "chars_per_token": (6.0, 8.0), "byte_share": (No
 LEAST_SPREAD = {"entropy": 0.03, "chars_per_token": 0.02, "byte_share": 0.01}
 #: Measures are compared in these steps, which makes quartiles exact sums over a short list of values.
 STEP = 0.01
+#: Tokens of the runs whose least hash tells groups of copies, and the weight that each group has in a cell.
+COPY_RUN = 6
+GROUP_WEIGHT = 1 << 30
+#: Half octaves on either side that a cell takes in, as far as needed for this many groups; at last the whole language.
+REACHES = (0, 1, 2, 1000)
+LEAST_GROUPS = 20
 
 # First code points of blocks and the script of each block, up to the next one: fixed values.
 _BLOCKS = [
@@ -69,6 +75,16 @@ def repeated_words(words: list[bytes]) -> int:
     return int(inside.sum())
 
 
+def least_run(ids: np.ndarray) -> int:
+    """The least hash of all runs of ``COPY_RUN`` tokens, fewer tokens are one run; copies mostly share it."""
+    runs = np.zeros(max(1, len(ids) - COPY_RUN + 1), dtype=np.uint64)
+    for shift in range(min(COPY_RUN, len(ids))):
+        part = ids[shift : shift + len(runs)].astype(np.uint64)
+        runs = (runs + part + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        runs ^= runs >> np.uint64(29)
+    return int(runs.min().view(np.int64))
+
+
 def _base(text: str, words: list[bytes]) -> tuple[int, int, int, int, int]:
     lines = [x for x in text.split("\n") if x.strip(SPACES)]
     return (
@@ -81,7 +97,7 @@ def _base(text: str, words: list[bytes]) -> tuple[int, int, int, int, int]:
 
 
 def measure(docs: DataFrame, vocabulary: str, keep: list[str] | None = None) -> DataFrame:
-    """Add the base counts, base_failed, and the fertility measures of each whole text.
+    """Add the base counts, base_failed, copy_group, and the fertility measures of each whole text.
 
     Words are encoded one by one, each with the mark of a word's beginning, and remembered. A null text has no words;
     without tokens entropy, chars_per_token and byte_share are 0. Other columns stay; those
@@ -89,6 +105,7 @@ def measure(docs: DataFrame, vocabulary: str, keep: list[str] | None = None) ->
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_byte_tokens"]
     fields = [(n, pa.int64()) for n in names] + [("entropy", pa.float64()), ("script", pa.string())]
+    fields.append(("copy_group", pa.int64()))
 
     def make():
         processor = piece_processor(vocabulary)
@@ -103,7 +120,7 @@ def measure(docs: DataFrame, vocabulary: str, keep: list[str] | None = None) ->
                 counts = np.bincount(ids, minlength=len(is_byte))
                 share = counts[counts > 0] / max(1, len(ids))
                 entropy = float(-(share * np.log2(share)).sum())
-                rows.append((*_base(text, words), len(ids), int(counts[is_byte].sum()), entropy, script_of(text)))
+                rows.append((*_base(text, words), len(ids), int(counts[is_byte].sum()), entropy, script_of(text), least_run(ids)))
             return dict(zip([n for n, _ in fields], zip(*rows)))
 
         return work
@@ -134,13 +151,43 @@ def _steps(name: str) -> Column:
 def fit_bands(measured: DataFrame, group: str | None = "lang") -> DataFrame:
     """low and high of every measure by band_group and band_length, over all documents that pass the base rules.
 
-    Documents are first counted by value in steps of ``STEP``, so quartiles are exact, and no group
-    is gathered: what is sorted is a list of distinct values.
+    Documents with one copy_group, if there is such a column, share the weight of one document. A cell with
+    few groups takes in neighbouring lengths, at last the whole language or script. Documents are
+    first counted by value in steps of ``STEP``, so quartiles are exact, and no group is gathered: what is
+    sorted is a list of distinct values.
     """
     rows = _grouped(measured, group).where(~F.col("base_failed"))
-    values = F.explode(F.create_map(*[x for n in BANDS for x in (F.lit(n), _steps(n))])).alias("measure", "value")
-    keys = ["band_group", "band_length", "measure"]
-    counts = rows.select(*keys[:2], values).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    cell, each = ["band_group", "band_length"], F.lit(GROUP_WEIGHT)
+    if "copy_group" in measured.columns:
+        # Equal measures of one group are counted before they are weighed.
+        values = [_steps(n).alias(n) for n in BANDS]
+        rows = rows.select(*cell, "copy_group", *values).groupBy(*cell, "copy_group", *BANDS).agg(F.count(F.lit(1)).alias("n"))
+        copies = rows.groupBy(*cell, "copy_group").agg(F.sum("n").alias("copies"))
+        rows = rows.join(copies, [*cell, "copy_group"])
+        each = F.greatest(F.expr(f"{GROUP_WEIGHT} * n div copies"), F.lit(1))
+    else:
+        rows = rows.select(*cell, *[_steps(n).alias(n) for n in BANDS])
+    values = F.explode(F.create_map(*[x for n in BANDS for x in (F.lit(n), F.col(n))])).alias("measure", "value")
+    counts = settle(
+        rows.select(*cell, each.cast("long").alias("weight"), values)
+        .groupBy(*cell, "measure", "value")
+        .agg(F.sum("weight").alias("n"))
+    )
+    # Cells are as many as languages times some thirty lengths.
+    cells = counts.select("band_group", F.col("band_length").alias("of_length")).distinct()
+    reach = F.explode(F.array(*[F.lit(r) for r in REACHES])).alias("reach")
+    wide = counts.join(cells.select("*", reach), "band_group").where(F.abs(F.col("band_length") - F.col("of_length")) <= F.col("reach"))
+    sized = wide.groupBy("band_group", "of_length", "reach").agg(
+        F.sum(F.when(F.col("measure") == next(iter(BANDS)), F.col("n"))).alias("weight")
+    )
+    enough = F.when(F.col("weight") >= LEAST_GROUPS * GROUP_WEIGHT * 0.999, F.col("reach"))
+    taken = sized.groupBy("band_group", "of_length").agg(F.coalesce(F.min(enough), F.lit(max(REACHES))).alias("reach"))
+    keys = [*cell, "measure"]
+    counts = (
+        wide.join(taken, ["band_group", "of_length", "reach"])
+        .groupBy("band_group", F.col("of_length").alias("band_length"), "measure", "value")
+        .agg(F.sum("n").alias("n"))
+    )
     order = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     running = counts.withColumn("up_to", F.sum("n").over(order)).withColumn(
         "total", F.sum("n").over(Window.partitionBy(*keys))

@@ -99,3 +99,28 @@ def test_licenses(spark):
         (1, "line", "MIT"): 1,
     }
     assert licenses.scan(docs.limit(0), known).collect() == []
+
+
+def test_copies_do_not_narrow_the_bands(spark):
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choice("aeioustrnl") for _ in range(rng.randrange(2, 9))) for _ in range(2000)]
+    texts = [" ".join(rng.choice(vocabulary[: rng.randrange(60, 2000)]) for _ in range(200)) for _ in range(120)]
+    entropy = {r["doc_id"]: r["entropy"] for r in fertility.measure(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PIECES).collect()}
+    upper = sorted(entropy, key=entropy.get)[90]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(1000 + i, texts[upper], "en") for i in range(300)]
+
+    def kept(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        return {r["doc_id"] for r in fertility.judge(fertility.measure(docs, PIECES)).collect() if r["kept"] and r["doc_id"] < 1000}
+
+    assert kept(rows) == kept(rows[:120])
+    junk = " ".join(rng.choice(vocabulary) + "###$$$" for _ in range(200))
+    assert fertility.judge(fertility.measure(spark.createDataFrame(rows[:120] + [(5000 + i, junk, "en") for i in range(300)], "doc_id long, text string, lang string"), PIECES)).where("doc_id >= 5000 and kept").count() == 0
+
+
+def test_a_cell_of_few_texts_takes_in_its_neighbours(spark):
+    columns = "lang string, script string, n_words long, entropy double, chars_per_token double, byte_share double, base_failed boolean, copy_group long"
+    rows = [("en", "Latin", 100, 5.0 + i / 20, 2.0, 0.0, False, i) for i in range(40)]
+    rows += [("en", "Latin", 400, 6.0, 2.0, 0.0, False, 99)] * 500
+    bands = {r["band_length"]: r for r in fertility.fit_bands(spark.createDataFrame(rows, columns)).collect()}
+    assert bands[17]["entropy_low"] < 5.0 and bands[17]["entropy_high"] > 9.0 and bands[13]["entropy_low"] < 4.0
