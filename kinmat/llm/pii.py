@@ -17,11 +17,11 @@ from kinmat.session import settle
 WINDOW_WORDS = 8
 WINDOW_CHARS = 200
 #: Documents without a common least hash of three words in which a term must stand beside a value.
-LEAST_GROUPS = 3
+LEAST_GROUPS = 2
 #: Shares of a term's occurrences beside one value from which it is generalised, and removed.
 GENERALISE_FROM, REMOVE_FROM = 0.5, 0.8
-#: Letters a term has at least.
-LEAST_LETTERS = 4
+#: What a term is made of: letters and digits, however few.
+TERM_PART = r"[\p{L}\p{N}]"
 
 # The patterns of the four kinds. Where nothing but the quantified part can follow, quantifiers are
 # possessive, and a look-behind (or the end of the last match) bars starts inside a run, so long runs are read once.
@@ -100,7 +100,7 @@ def listed(spans: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?<!\p{{L}})\p{{L}}{{{LEAST_LETTERS},}}"), 0)
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?<!{TERM_PART}){TERM_PART}++"), 0)
 
 
 def _text_key() -> list[Column]:
@@ -174,7 +174,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     joined = keyed.join(held, ["__key_1__", "__key_2__"], "left")
 
     def term_spans(column: str, rank: int) -> Column:
-        pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(column, "|"), F.lit(r")(?!\p{L})"))
+        pattern = F.concat(F.lit(rf"(?iu)(?<!{TERM_PART})(?:"), F.array_join(column, "|"), F.lit(rf")(?!{TERM_PART})"))
         spans = F.transform(pattern_spans(F.col("text"), pattern, "term"), lambda s: s.withField("rank", F.lit(rank)))
         return F.when(F.size(column) > 0, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 

@@ -184,3 +184,19 @@ def test_verdicts_reach_aliases(spark):
         listed = [("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
         by_sql = [(p, rule, verdict) for p, _, _, rule, verdict in con.execute(url_filter.judge_sql(listed)).fetchall()]
     assert sorted(by_sql, key=key) == sorted(expected, key=key)
+
+
+def test_short_and_rare_terms_disclose(spark):
+    rng = random.Random(3)
+    filler = ["plain" + c * 3 for c in "abcdefghij"]
+
+    def around(*words):
+        left, right = [" ".join(rng.choice(filler) for _ in range(14)) for _ in range(2)]
+        return f"{left} {' '.join(words)} {right}"
+
+    rows = [(i, around("Li", "ann@x.org")) for i in range(2)] + [(10 + i, around("+1 (017) 555-7713", "AC77q")) for i in range(2)]
+    rows += [(20 + i, around("of", "bob@y.org")) for i in range(2)] + [(30 + i, around("of")) for i in range(9)] + [(50, around("once", "cy@z.org"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["term"]: r["share"] for r in pii.disclosing_terms(docs).collect()} == {"li": 1.0, "ac77q": 1.0}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert " Li " not in clean[0] and "AC77q" not in clean[10] and " of " in clean[20] and " once [EMAIL]" in clean[50]
