@@ -15,6 +15,8 @@ from kinmat.llm.frames import text_or_empty
 from kinmat.session import settle
 
 BITS = 128
+#: Bits within which the registered query looks for near fingerprints.
+SEARCH_RADIUS = 7
 #: What stands for a null doc_id, which comes before all others.
 NULL_KEY = -(1 << 63)
 #: Documents that a task puts in order by itself.
@@ -195,9 +197,10 @@ def within_radius(queries: DataFrame, prints: DataFrame, radius: int = 3) -> Dat
 
 
 def near_documents(found: DataFrame, asked: Column, radius: int = 3) -> DataFrame:
-    """fp_high, fp_low and n_near of the fingerprints of rows that are ``asked`` for: documents within ``radius``.
+    """fp_high, fp_low, n_near and near_prints of the fingerprints of rows that are ``asked`` for: what is within ``radius``.
 
-    Equal fingerprints are one class with its number of documents; the asking document is counted.
+    Equal fingerprints are one class with its number of documents; n_near counts documents, the asking one too.
+    near_prints lists the other classes as hexadecimal digits, in order; rows of ``found`` tell who is in a class.
     """
     classes = settle(
         found.groupBy("fp_high", "fp_low").agg(F.count(F.lit(1)).alias("n_docs"), F.max(asked.cast("int")).alias("asked"))
@@ -207,9 +210,12 @@ def near_documents(found: DataFrame, asked: Column, radius: int = 3) -> DataFram
     others = (
         pairs.join(classes.select("fp_high", "fp_low", "n_docs"), ["fp_high", "fp_low"])
         .groupBy("query_high", "query_low")
-        .agg(F.sum("n_docs").alias("others"))
-        .select(F.col("query_high").alias("fp_high"), F.col("query_low").alias("fp_low"), "others")
+        .agg(F.sum("n_docs").alias("others"), F.sort_array(F.collect_list(hex_digits("fp_high", "fp_low"))).alias("near_prints"))
+        .select(F.col("query_high").alias("fp_high"), F.col("query_low").alias("fp_low"), "others", "near_prints")
     )
     return queries.join(others, ["fp_high", "fp_low"], "left").select(
-        "fp_high", "fp_low", (F.col("n_docs") + F.coalesce("others", F.lit(0))).alias("n_near")
+        "fp_high",
+        "fp_low",
+        (F.col("n_docs") + F.coalesce("others", F.lit(0))).alias("n_near"),
+        F.coalesce("near_prints", F.array().cast("array<string>")).alias("near_prints"),
     )

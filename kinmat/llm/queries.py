@@ -45,7 +45,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprints.with_next(fingerprints.edited_fingerprints(documents(spark, sf_dir)))
     asked = F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))
-    near = fingerprints.near_documents(found, asked)
+    near = fingerprints.near_documents(found, asked, fingerprints.SEARCH_RADIUS)
     own, edited, following = [(F.col(f"{n}_high"), F.col(f"{n}_low")) for n in ("fp", "edited", "next")]
     return found.join(near, ["fp_high", "fp_low"], "left").select(
         "doc_id",
@@ -56,6 +56,7 @@ def op5_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.likeness(own, edited).alias("near_edited"),
         fingerprints.likeness(own, following).alias("near_next"),
         F.when(asked, F.col("n_near")).alias("n_near"),
+        F.when(asked, F.array_join("near_prints", ",")).alias("near_fingerprints"),
     )
 
 

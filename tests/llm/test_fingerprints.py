@@ -99,3 +99,18 @@ def test_likeness(spark):
     zero = (F.lit(0).cast("long"), F.lit(0).cast("long"))
     got = [r[0] for r in frame.select(fp.likeness((F.col("a"), F.col("b")), zero)).collect()]
     assert got == [1.0, 0.0, pytest.approx(0.0, abs=1e-12)]
+
+
+def test_registered_query_lists_near_classes(spark):
+    from kinmat.llm.queries import QUERIES
+
+    rows = QUERIES["op5_simhash_fingerprints"](spark, "/root/testdata/sf0.001").collect()
+    prints = [int(r["fingerprint"], 16) for r in rows]
+    for r in rows:
+        if r["doc_id"] % 50:
+            assert r["n_near"] is None and r["near_fingerprints"] is None
+            continue
+        own = int(r["fingerprint"], 16)
+        near = [p for p in prints if (p ^ own).bit_count() <= fp.SEARCH_RADIUS]
+        assert r["n_near"] == len(near)
+        assert r["near_fingerprints"] == ",".join(sorted({f"{p:032x}" for p in near if p != own}))
