@@ -7,7 +7,21 @@ from pyspark.sql import functions as F
 
 import public_tokenizers as vocabularies
 
-from kinmat.llm import byte_bpe, fertility, fingerprints, licenses, packing, pii, simhash_dedup, token_counts, toxicity, url_filter
+from kinmat.llm import (
+    alignment,
+    byte_bpe,
+    fertility,
+    filter_audit,
+    fingerprints,
+    language_model,
+    licenses,
+    packing,
+    pii,
+    simhash_dedup,
+    token_counts,
+    toxicity,
+    url_filter,
+)
 from kinmat.llm.frames import documents
 from kinmat.session import settle
 
@@ -103,6 +117,28 @@ def op10_information_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_bloom_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every text by the quantised n-gram counts of the texts that are not held out."""
+    docs, fifth = documents(spark, sf_dir), language_model.remainder()
+    model = language_model.fit(docs, language_model.in_training(fifth))
+    held_out = F.coalesce(fifth == 1, F.lit(False))
+    return language_model.score(docs, model, keep=["doc_id"]).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes at each step of every order, by source."""
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of tokens of two tokenizers with common ends, and how usual each text's linked tokens are."""
+    return alignment.correspondences(
+        documents(spark, sf_dir), vocabularies.path("byte_bpe_50k.json"), vocabularies.path("piece_bpe_32k.model"), keep=["doc_id"]
+    ).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -116,7 +152,14 @@ QUERIES = {
         op8_toxicity_grammar,
         op9_url_filter,
         op10_information_pii,
+        op11_bloom_language_model,
+        op12_filter_audit,
+        op13_token_alignment,
     )
 }
 
-ORACLE: dict[str, str] = {"op4_license_scan": licenses.scan_sql(), "op9_url_filter": url_filter.judge_sql()}
+ORACLE: dict[str, str] = {
+    "op4_license_scan": licenses.scan_sql(),
+    "op9_url_filter": url_filter.judge_sql(),
+    "op12_filter_audit": filter_audit.audit_sql(),
+}
