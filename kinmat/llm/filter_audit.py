@@ -130,7 +130,7 @@ def prefixes(parts: DataFrame, letters: str = LETTERS) -> DataFrame:
         "kept": _sum_of("n", "c.mask & (applied | bit) = 0"),
         "removed": _sum_of("n", removed),
         "redundant": _sum_of("n", "c.mask & applied != 0 AND c.mask & bit != 0"),
-        "unique_fails": _sum_of("n", "c.mask = bit"),
+        "unique_fails": _sum_of("n", f"c.mask & {sum(BITS[x] for x in letters)} = bit"),
         "good_lost": _sum_of("good", removed),
         "toxic_lost": _sum_of("toxic", removed),
     }
