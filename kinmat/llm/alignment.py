@@ -13,6 +13,7 @@ import hashlib
 import math
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from kinmat.llm.frames import apart, slices, small_batches, text_or_empty
-from kinmat.llm.tokens import WordMemory, byte_symbols, piece_processor
+from kinmat.llm.tokens import LONGEST_REMEMBERED, WordMemory, byte_symbols, piece_processor
 from kinmat.session import settle, ship_package
 
 #: Steps of the merge in each piece.
@@ -43,11 +44,11 @@ ADDED = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha
 
 @dataclasses.dataclass(frozen=True)
 class Pair:
-    """Both vocabularies in a task: bytes of every id, and the ids of a chunk (None where the bytes differ from it)."""
+    """Both vocabularies in a task: bytes of every id, and the ids of many chunks (None where the bytes differ from one)."""
 
     bytes_a: list[bytes]
     bytes_b: list[bytes]
-    encode: Callable[[str], tuple[bytes, bytes] | None]
+    encode: Callable[[list[str]], list[tuple[bytes, bytes] | None]]
 
 
 def _bytes_of_a(vocabulary: dict[str, int]) -> list[bytes]:
@@ -78,19 +79,24 @@ def vocabularies_of(path_a: str, path_b: str) -> Pair:
     def merged(pre_token: bytes) -> list[int]:
         return [t.id for t in model.tokenize("".join(map(symbols.__getitem__, pre_token)))]
 
-    def encode(chunk: str) -> tuple[bytes, bytes] | None:
-        """Ids of a space and the chunk, 32 bits each."""
-        plain, raw = _PLAIN.fullmatch(chunk), b" " + chunk.encode()
-        if plain is None:
-            a = tokenizer.encode(" " + chunk, add_special_tokens=False).ids
-        elif plain[2]:
-            a = merged(raw[:-1]) + merged(raw[-1:])
-        else:
-            a = merged(raw)
-        b = processor.encode(chunk)
-        if b"".join([bytes_a[i] for i in a]) != raw or b"".join([bytes_b[i] for i in b]) != raw:
-            return None
-        return np.array(a, dtype="<u4").tobytes(), np.array(b, dtype="<u4").tobytes()
+    words = WordMemory(merged, MEMORY_CHUNKS)
+
+    def encode(chunks: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of a space and each chunk, 32 bits each."""
+        found = []
+        for chunk, b in zip(chunks, processor.encode(chunks, num_threads=1), strict=True):
+            plain, raw = _PLAIN.fullmatch(chunk), b" " + chunk.encode()
+            if plain is None:
+                a = tokenizer.encode(" " + chunk, add_special_tokens=False).ids
+            elif plain[2]:
+                a = words[raw[:-1]] + words[raw[-1:]]
+            else:
+                a = words[raw]
+            if b"".join([bytes_a[i] for i in a]) != raw or b"".join([bytes_b[i] for i in b]) != raw:
+                found.append(None)
+            else:
+                found.append((array("I", a).tobytes(), array("I", b).tobytes()))
+        return found
 
     return Pair(bytes_a, bytes_b, encode)
 
@@ -139,7 +145,10 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str, steps: int = PIECE_STEPS) -> None:
         pair = vocabularies_of(path_a, path_b)
-        self.memory, self.steps = WordMemory(pair.encode, MEMORY_CHUNKS), steps
+        # Ids by chunk, in two generations as in ``WordMemory``, but filled many chunks at a time.
+        self.encode, self.steps = pair.encode, steps
+        self.young: dict[str, tuple[bytes, bytes] | None] = {}
+        self.old: dict[str, tuple[bytes, bytes] | None] = {}
         self.length_a, self.length_b = (np.array([len(t) for t in x], dtype=np.int64) for x in (pair.bytes_a, pair.bytes_b))
         tables = _digit_table(len(pair.bytes_a), ",|"), _digit_table(len(pair.bytes_b), ",;")
         width = max(t.shape[1] for t, _ in tables)
@@ -147,10 +156,23 @@ class Aligner:
         self.n_digits = np.concatenate([n for _, n in tables])
         self.size_a, self.size_b = len(pair.bytes_a), len(pair.bytes_b)
 
+    def _known(self, pieces: list[list[str]]) -> dict[str, tuple[bytes, bytes] | None]:
+        """Ids of all chunks of the texts at hand."""
+        asked = set().union(*pieces)
+        known = {c: self.old[c] for c in asked if c in self.old} | {c: self.young[c] for c in asked if c in self.young}
+        new = [c for c in asked if c not in known]
+        known |= zip(new, self.encode(new), strict=True)
+        if len(self.young) >= MEMORY_CHUNKS:
+            self.young, self.old = {}, self.young
+        self.young |= ((c, x) for c, x in known.items() if len(c) <= LONGEST_REMEMBERED)
+        return known
+
     def __call__(self, texts: list[str]) -> dict[str, object]:
         ids_a, ids_b, n_a, n_b = [], [], [], []
-        for text in texts:
-            found = [self.memory[c] for c in _CUT.split(text)] if text else [None]
+        pieces = [_CUT.split(text) if text else [] for text in texts]
+        known = self._known(pieces)
+        for chunks in pieces:
+            found = list(map(known.__getitem__, chunks))
             if None in found:
                 found = []
             a, b = b"".join([x for x, _ in found]), b"".join([x for _, x in found])
@@ -163,15 +185,16 @@ class Aligner:
         # The last token of a text always ends together with the other list's.
         link_text = np.searchsorted(np.cumsum(n_a), at_a, side="right")
         n_groups = np.bincount(link_text, minlength=len(texts))
-        keyed, times = np.unique(np.stack([link_text, a[at_a] * self.size_b + b[at_b]]), axis=1, return_counts=True) if len(at_a) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-        starts = np.searchsorted(keyed[0], np.arange(len(texts) + 1))
+        pairs = self.size_a * self.size_b
+        keyed, times = np.unique(link_text * pairs + a[at_a] * self.size_b + b[at_b], return_counts=True)
+        starts = np.searchsorted(keyed, np.arange(len(texts) + 1) * pairs)
         return {
             "n_a": n_a,
             "n_b": n_b,
             "n_groups": n_groups,
             "n_links": n_groups,
             "groups_sha256": self._digests(a, b, at_a, at_b, np.array(n_a), np.array(n_b)),
-            "pairs": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(keyed[1], pa.int64())),
+            "pairs": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(keyed % pairs, pa.int64())),
             "times": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(times, pa.int64())),
         }
 
