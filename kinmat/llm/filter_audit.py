@@ -98,8 +98,9 @@ WITH RECURSIVE steps (part, prefix, applied, step, {names}) AS (
   FROM (
     SELECT s.part, s.prefix, s.applied, s.step, f.letter, f.bit, c.cells
     FROM steps s
-    JOIN {filters} f ON (s.applied & f.bit) = 0
     JOIN {cells} c ON c.part = s.part
+    LATERAL VIEW inline({filters}) f AS letter, bit
+    WHERE s.applied & f.bit = 0
   )
 )
 SELECT part, prefix, step, right(prefix, 1) AS letter, {names} FROM steps WHERE step > 0
@@ -134,18 +135,21 @@ def prefixes(parts: DataFrame, letters: str = LETTERS) -> DataFrame:
         "good_lost": _sum_of("good", removed),
         "toxic_lost": _sum_of("toxic", removed),
     }
-    names = [f"kinmat_{kind}_{uuid.uuid4().hex}" for kind in ("cells", "filters")]
-    parts.createOrReplaceTempView(names[0])
-    spark.createDataFrame([(x, BITS[x]) for x in letters], "letter string, bit int").hint("broadcast").createOrReplaceTempView(names[1])
+    name = f"kinmat_cells_{uuid.uuid4().hex}"
+    parts.createOrReplaceTempView(name)
+    filters = ", ".join(f"struct('{x}', {BITS[x]})" for x in letters)
     query = _RECURSION.format(
-        names=", ".join(metrics), zeros=", ".join(["0L"] * len(metrics)), metrics=", ".join(metrics.values()), cells=names[0], filters=names[1]
+        names=", ".join(metrics),
+        zeros=", ".join(["0L"] * len(metrics)),
+        metrics=", ".join(metrics.values()),
+        cells=name,
+        filters=f"array({filters})",
     )
     try:
         with _any_number_of_rows(spark):
             return settle(spark.sql(query))
     finally:
-        for name in names:
-            spark.catalog.dropTempView(name)
+        spark.catalog.dropTempView(name)
 
 
 def audit(docs: DataFrame, labels: DataFrame, letters: str = LETTERS) -> DataFrame:
