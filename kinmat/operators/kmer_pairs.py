@@ -1,7 +1,7 @@
 """Exact pairwise k-mer intersections of a text collection (SIM-12 at scale).
 
 Three lossless reductions come before any pair is formed. Identical texts are
-one representative. K-mers that occur in exactly the same texts are one class with a
+one representative. K-mers are counted from runs of text (``kmer_runs``). Those that occur in exactly the same texts are one class with a
 weight; those of a single text are dropped. A pair that exists must share a
 class outside the most frequent tail of both texts, so only those classes
 produce candidates, and a passage in a third of the texts produces none
@@ -16,12 +16,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinmat.constants import KMER_LENGTH, PAIR_GROUP_ROWS
-from kinmat.functions.kmers import exploded, kmer_set, set_exists
+from kinmat.functions.kmers import exploded, set_exists
+from kinmat.operators.kmer_runs import CLASS, joined_parts, kmer_parts
 from kinmat.operators.skew import every_salt, join_grouped, own_salt, salts_for
 from kinmat.session import settle, spread
 
-CLASS = ("df", "mark_a", "mark_b")
-
 
 @dataclass(frozen=True)
 class KmerNeighbours:
@@ -43,25 +42,20 @@ def copy_groups(docs: DataFrame) -> DataFrame:
 
 
 def shared_classes(sets: DataFrame) -> DataFrame:
-    """(id, size, df, mark_a, mark_b, weight) for k-mers in two texts or more.
+    """(id, size, df, mark_a, mark_b, weight) for k-mers in two texts or more, of complete sets (id, size, kmers).
 
     The marks are two 64-bit hashes over the ids of all texts with the k-mer;
     equal marks and counts mean the same texts.
     """
-    # K-mers go on as two 64-bit hashes, half their bytes; only equality matters from here.
-    hashed = F.struct(F.xxhash64("kmer"), F.xxhash64(F.lit(1), F.col("kmer")))
-    postings = exploded(sets.select("id", "size", "kmers")).withColumn("kmer", hashed)
-    mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), F.col("id")))
-    occurrence = settle(
-        postings.groupBy("kmer")
-        .agg(F.count(F.lit(1)).alias("df"), mark(1).alias("mark_a"), mark(2).alias("mark_b"))
-        .where("df > 1")
-    )
-    return (
-        join_grouped(postings, occurrence, "kmer", "df", "id")
-        .groupBy("id", "size", *CLASS)
-        .agg(F.count(F.lit(1)).alias("weight"))
-    )
+    hashed = F.struct(F.xxhash64("kmer").alias("high"), F.xxhash64(F.lit(1), F.col("kmer")).alias("low"))
+    parts = joined_parts(exploded(sets.select("id", "kmers")).select("id", hashed.alias("kmer")))
+    return run_classes(parts, sets.select("id", "size"))
+
+
+def run_classes(parts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The same from the classes of ``kmer_parts`` and (id, size)."""
+    shared = parts.where("df > 1").groupBy("id", *CLASS).agg(F.sum("weight").alias("weight"))
+    return shared.join(sizes, "id").select("id", "size", *CLASS, "weight")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -100,11 +94,11 @@ def kmer_neighbours(docs: DataFrame, k: int = KMER_LENGTH) -> KmerNeighbours:
     groups = settle(copy_groups(docs))
     reps = groups.where("id = rep_id").select("id", "copies")
     # Distinct texts are kept, not their k-mers, which are some thirty times larger.
-    texts = settle(
-        docs.join(reps, "id", "left_semi").withColumn("size", F.size(kmer_set(F.col("text"), k)))
-    )
-    sets = spread(texts, "id").select("id", "size", kmer_set(F.col("text"), k).alias("kmers"))
-    classes = settle(shared_classes(sets))
+    texts = settle(spread(docs.join(reps, "id", "left_semi").select("id", "text"), "id"))
+    parts = settle(kmer_parts(texts, k))
+    counted = parts.groupBy("id").agg(F.sum("weight").alias("size"))
+    known = settle(texts.select("id").join(counted, "id", "left").select("id", F.coalesce("size", F.lit(0)).cast("int").alias("size")))
+    classes = settle(run_classes(parts, known))
     found = candidates(classes)
     weights = classes.select("id", *CLASS, "weight")
     counted = (
@@ -129,7 +123,7 @@ def kmer_neighbours(docs: DataFrame, k: int = KMER_LENGTH) -> KmerNeighbours:
         .join(reps.toDF("id_a", "copies_a"), "id_a")
         .join(reps.toDF("id_b", "copies_b"), "id_b")
     )
-    sizes = texts.select(F.col("id").alias("rep_id"), "size")
+    sizes = known.withColumnRenamed("id", "rep_id")
     sizes = sizes.join(reps.toDF("rep_id", "n_rows"), "rep_id")
     members = join_grouped(groups, sizes, "rep_id", "n_rows", "id").select("id", "rep_id", "copies", "size")
     return KmerNeighbours(settle(pairs), members)
