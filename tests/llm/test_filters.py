@@ -200,3 +200,42 @@ def test_short_and_rare_terms_disclose(spark):
     assert {r["term"]: r["share"] for r in pii.disclosing_terms(docs).collect()} == {"li": 1.0, "ac77q": 1.0}
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
     assert " Li " not in clean[0] and "AC77q" not in clean[10] and " of " in clean[20] and " once [EMAIL]" in clean[50]
+
+
+def test_announced_values_go(spark):
+    rng = random.Random(4)
+    filler = ["plain" + c * 3 for c in "abcdefghij"]
+
+    def around(*words):
+        left, right = [" ".join(rng.choice(filler) for _ in range(14)) for _ in range(2)]
+        return f"{left} {' '.join(words)} {right}"
+
+    def key():
+        return "a1" + "".join(rng.choice("0123456789abcdef") for _ in range(38))
+
+    rows = [(i, around("Secret", "=", f'"{key()}"')) for i in range(4)]  # each value is unique; the cue is always followed by one
+    rows += [(10 + i, around("build", key())) for i in range(3)] + [(20 + i, around("build", "done")) for i in range(2)]
+    rows += [(30 + i, around("commit", key())) for i in range(2)] + [(40 + i, around("commit", "now")) for i in range(9)]
+    rows += [(50 + i, around("lonely", "b2" * 20)) for i in range(1)] + [(60, around("secret", "b2" * 7)), (61, around("secret", "f" * 40))]
+    rows += [(70 + i, rows[-3][1]) for i in range(3)]  # copies are one group
+    docs = spark.createDataFrame(rows + [(None, None), (99, "")], "doc_id long, text string")
+    found = {r["term"]: r["share"] for r in pii.announcing_terms(docs.where("text IS NOT NULL").select("text")).collect()}
+    assert found == {"secret": pytest.approx(4 / 6), "build": 0.6}
+    spans = {r["doc_id"]: [r["text"][s["start"] : s["end"]] for s in r["spans"]] for r in pii.find_spans(docs).collect()}
+    for i, text in rows:
+        expected = re.findall(r"(?:[Ss]ecret|build)[^a-z0-9]+([a-z0-9]{16,})", text)
+        assert spans[i] == [v for v in expected if re.search("[0-9]", v)], text
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert '= "[TERM]"' in clean[0] and clean[30] == dict(rows)[30] and clean[99] == "" and clean[None] is None
+
+
+def test_very_many_spans_in_one_text(spark):
+    import time
+
+    text = "a@b.c 4111111111111111, " * 16_000 + "é🙂"
+    docs = spark.createDataFrame([(1, text), (2, "plain")], "doc_id long, text string")
+    pii.sanitise(docs.limit(0)).collect()
+    start = time.perf_counter()
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert time.perf_counter() - start < 20
+    assert clean == {1: "[EMAIL] [CARD], " * 16_000 + "é🙂", 2: "plain"}
