@@ -81,13 +81,12 @@ def _greedy(counts: np.ndarray, gap: int, bin_: dict[int, int]) -> int:
     return gap
 
 
-def _tighter_pair(counts: np.ndarray, bin_: dict[int, int], room: int, least: int) -> tuple[int, int] | None:
-    """Two unpacked lengths, none below ``least``, with the largest sum within ``room``."""
+def _tighter_pair(counts: np.ndarray, bin_: dict[int, int], room: int) -> tuple[int, int] | None:
+    """Two unpacked lengths with the largest sum within ``room``."""
     free = counts.copy()
     for length, used in bin_.items():
         free[length] -= used
     present = np.flatnonzero(free[: room + 1])
-    present = present[present >= least]
     if not present.size:
         return None
     partner = np.searchsorted(present, room - present, side="right") - 1
@@ -105,8 +104,8 @@ def plan_bins(histogram: dict[int, int], capacity: int, two_fit: bool = True) ->
     """Bins as (copies by length, number of equal bins).
 
     A bin is filled greedily with the longest that fits. Then its shortest is replaced by the two
-    unpacked ones that fit the gap it leaves more tightly, if there are such, none below a sixth of the capacity,
-    which would be of more use as filling later. The bin is repeated while its lengths last.
+    unpacked ones, of any length, that fit the gap it leaves more tightly, if there are such. The bin is
+    repeated while its lengths last.
     """
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
@@ -117,7 +116,7 @@ def plan_bins(histogram: dict[int, int], capacity: int, two_fit: bool = True) ->
         gap = _greedy(counts, capacity, bin_)
         if two_fit and gap > 0 and sum(bin_.values()) > 1:
             shortest = min(bin_)
-            pair = _tighter_pair(counts, bin_, gap + shortest, capacity // 6)
+            pair = _tighter_pair(counts, bin_, gap + shortest)
             if pair and sum(pair) > shortest:
                 bin_[shortest] -= 1
                 for length in pair:
