@@ -30,9 +30,10 @@ BANDS = {"entropy": (3.0, 8.0), "chars_per_token": (6.0, 8.0), "byte_share": (No
 LEAST_SPREAD = {"entropy": 0.03, "chars_per_token": 0.02, "byte_share": 0.01}
 #: Measures are compared in these steps, which makes quartiles exact sums over a short list of values.
 STEP = 0.01
-#: Tokens of the runs whose least hash tells groups of copies, and the weight that each group has in a cell.
+#: Tokens of the runs whose least hash tells groups of copies, and the weight that each group has in a cell. Sums of
+#: weights hold for eight million million groups of one language.
 COPY_RUN = 6
-GROUP_WEIGHT = 1 << 30
+GROUP_WEIGHT = 1 << 20
 #: Half octaves on either side that a cell takes in, as far as needed for this many groups; at last the whole language.
 REACHES = (0, 1, 2, 1000)
 LEAST_GROUPS = 20

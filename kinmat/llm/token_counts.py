@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kinmat.llm.byte_bpe import parts
 from kinmat.llm.frames import map_texts
 from kinmat.llm.tokens import rank_encoding
+from kinmat.session import settle
 
 #: Lengths summed together before the running sums, so that no task sees all of them.
 BLOCK = 1024
@@ -37,9 +38,10 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     the number of tokens left when every document is cut at the limit, lost_total the number cut away;
     n_up_to is the number of documents that fit, which gives quantiles.
     Rows with a null length are left out; an empty table gives an empty histogram. A block of lengths is
-    summed first, so running sums pass over blocks and then within one.
+    summed first, so running sums pass over blocks and then within one. Lengths are counted once and settled, as
+    encoding is what costs.
     """
-    counts = (
+    counts = settle(
         lengths.where(F.col("n_tokens").isNotNull())
         .groupBy("n_tokens")
         .agg(F.count(F.lit(1)).alias("n_docs"))
