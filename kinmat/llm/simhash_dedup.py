@@ -326,7 +326,11 @@ def shingle_sets(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _stage_comparer(table: pa.Table) -> pa.Table:
-    """Links that span the surely alike of each bucket, and more links that span those that may be alike."""
+    """Links that span the surely alike of each bucket, and the members of its groups that only may be alike.
+
+    A group (``family``) is what is connected within the wider radius in this bucket; families whose
+    members are all tied for sure are left out.
+    """
     table = _in_order(table)
     bits, node = _matrix(table, "bits"), table.column("node").to_numpy()
 
@@ -338,10 +342,21 @@ def _stage_comparer(table: pa.Table) -> pa.Table:
 
     sure = _spanning(table, within(SURE_RADIUS))
     maybe = _spanning(table, within(MAYBE_RADIUS), sure)
-    ends = [_tied(node, sure), _tied(node, np.where(maybe != sure, maybe, np.arange(len(node))))]
-    flags = np.repeat([True, False], [len(a) for a, _ in ends])
-    a, b = (np.concatenate([x[k] for x in ends]) for k in (0, 1))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sure": pa.array(flags)})
+    open_ = np.zeros(len(node), dtype=bool)
+    open_[maybe[sure != maybe]] = True
+    members = np.flatnonzero(open_[maybe])
+    family = np.zeros(len(node), dtype=np.uint64)
+    for name in (*BUCKET, "node"):
+        value = table.column(name).to_numpy().astype(np.int64).view(np.uint64)
+        family = _mixed(family ^ (value[maybe] if name == "node" else value), 1)
+    a, b = _tied(node, sure)
+    return pa.table(
+        {
+            "a": pa.array(np.concatenate([a, node[members]]), pa.int64()),
+            "b": pa.array(np.concatenate([b, node[members]]), pa.int64()),
+            "family": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(family[members].view(np.int64), pa.int64())]),
+        }
+    )
 
 
 def _exact_comparer(table: pa.Table) -> pa.Table:
@@ -370,34 +385,46 @@ def _exact_comparer(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def undecided(members: DataFrame, ties: DataFrame) -> DataFrame:
+    """family, node and sure_label of the families (family, node) that are not one group for sure; one of each set of nodes.
+
+    ``ties`` has node and label of those that are tied for sure. The same nodes mostly meet in several tables; they are
+    kept as one family. A family is what one bucket has found alike, so a long chain of texts
+    that are each like the next one is many small families.
+    """
+    labels = ties.select("node", F.col("label").alias("sure_label"))
+    placed = settle(members.join(labels, "node", "left").withColumn("sure_label", F.coalesce("sure_label", "node")))
+    hashed = F.xxhash64("node")
+    sized = placed.groupBy("family").agg(
+        F.min("sure_label").alias("x"), F.max("sure_label").alias("y"), F.count(F.lit(1)).alias("n"),
+        F.bit_xor(hashed).alias("mark_a"), F.bit_xor(F.xxhash64(F.lit("second"), "node")).alias("mark_b"),
+    )
+    once = sized.where("x != y").groupBy("n", "mark_a", "mark_b").agg(F.min("family").alias("family"))
+    return placed.join(once.select("family"), "family", "left_semi").select("family", "node", "sure_label")
+
+
 def near_copy_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) that connect all nodes whose texts' shingles are alike by 0.8 or more, as far as a table has both.
 
     ``nodes`` has node, table_keys and bits and ``texts`` node and text, once each. Within a bucket, pairs in the sure radius are
-    linked. What only may be alike is tied to larger groups; of those that are not connected for sure
-    already, members are compared by their sets of shingles, in pairs of blocks. So only links that span groups are written, and
-    the sets of few texts. No nodes give no links.
+    linked. Of those that only may be alike there, and are not connected for sure already, members are compared by their
+    sets of shingles, in pairs of blocks; texts that meet in no bucket are never compared, however they hang together. So
+    only links that span groups are written, and the sets of few texts. No nodes give no links.
     """
     spark = nodes.sparkSession
     ship_package(spark)
     keys = nodes.select("node", F.posexplode("table_keys").alias("segment", "value"))
     members = _members(keys, nodes.select("node", "bits"), BLOCK_ROWS)
-    found = settle(members.groupBy("batch").applyInArrow(_stage_comparer, "a long, b long, sure boolean"))
-    sure = found.where("sure").select("a", "b")
-    if not found.where("not sure").head(1):
+    found = settle(members.groupBy("batch").applyInArrow(_stage_comparer, "a long, b long, family long"))
+    sure = found.where("family IS NULL").select("a", "b")
+    maybe = found.where("family IS NOT NULL").select("family", F.col("a").alias("node"))
+    if not maybe.head(1):
         return sure
-    ties = settle(components(sure))
-    wide = settle(components(found))
-    placed = wide.select("node", F.col("label").alias("value")).join(
-        ties.select("node", F.col("label").alias("sure_label")), "node", "left"
-    )
-    placed = settle(placed.withColumn("sure_label", F.coalesce("sure_label", "node")))
-    split = placed.groupBy("value").agg(F.min("sure_label").alias("x"), F.max("sure_label").alias("y")).where("x != y")
-    open_ = settle(placed.join(split.select("value"), "value", "left_semi"))
-    once = texts.join(open_.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    sets = shingle_sets(once, ["node"])
-    full = settle(open_.select("node", "sure_label").join(nodes.select("node", "bits"), "node").join(sets, "node"))
-    groups = open_.select("node", F.lit(0).alias("segment"), "value")
+    open_ = settle(undecided(maybe, settle(components(sure))))
+    each = open_.select("node", "sure_label").distinct()
+    once = texts.join(each.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    full = settle(each.join(nodes.select("node", "bits"), "node").join(shingle_sets(once, ["node"]), "node"))
+    groups = open_.select("node", F.lit(0).alias("segment"), F.col("family").alias("value"))
     exact = _members(groups, full, EXACT_BLOCK_ROWS, EXACT_BATCH_ROWS).groupBy("batch")
     return sure.union(exact.applyInArrow(_exact_comparer, "a long, b long"))
 
@@ -408,31 +435,30 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     Texts whose shingles of five words are alike by 0.8 or more are near copies; a group is what is
     reachable over near copies. Candidates share the key of one of twenty tables, made of least hashes of shingles, whatever
     was edited or appended. Pairs within the sure radius of the fingerprint of their shingles are alike, others are compared
-    by their shingles (``near_copy_links``). Equal texts (by a hash of 64 bits) are one class
+    by their shingles (``near_copy_links``). Equal texts (by two hashes of 64 bits) are one class
     throughout. Columns stay. Of repeated rows one stays; null and empty texts are copies of each other; a null doc_id comes
     last. An empty table gives no rows.
     """
     last = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    keyed = docs.withColumns({"__key__": last, "__node__": F.xxhash64(F.coalesce("text", F.lit("")))})
-    prints = settle(wide_fingerprints(keyed, keep=["__key__", "__node__"]))
-    nodes = settle(
-        prints.groupBy(F.col("__node__").alias("node")).agg(
-            F.min("__key__").alias("first_key"), F.min("table_keys").alias("table_keys"), F.min("bits").alias("bits")
-        )
+    body, identity = F.coalesce("text", F.lit("")), ["__key__", "__high__", "__low__"]
+    keyed = docs.withColumns({"__key__": last, "__high__": F.xxhash64(body), "__low__": F.xxhash64(F.lit("second"), body)})
+    prints = settle(wide_fingerprints(keyed, keep=identity))
+    classes = prints.groupBy("__high__", "__low__").agg(
+        F.min("__key__").alias("__key__"), F.min("table_keys").alias("table_keys"), F.min("bits").alias("bits")
     )
-    firsts = nodes.select(F.col("first_key").alias("__key__"), F.col("node").alias("__node__"))
-    texts = keyed.select("__key__", "__node__", "text").join(firsts, ["__key__", "__node__"], "left_semi")
-    texts = texts.select(F.col("__node__").alias("node"), "text")
+    # Settled, so that each class keeps its number.
+    nodes = settle(classes.withColumn("node", F.monotonically_increasing_id()))
+    texts = keyed.select(*identity, "text").join(nodes.select(*identity, "node"), identity).select("node", "text")
     found = components(near_copy_links(nodes, texts))
-    labelled = nodes.select("node", "first_key").join(found, "node", "left")
+    labelled = nodes.select("node", *identity).join(found, "node", "left")
     kept = (
         labelled.groupBy(F.coalesce("label", "node").alias("label"))
-        .agg(F.min(F.struct("first_key", "node")).alias("one"))
-        .select(F.col("one.first_key").alias("__key__"), F.col("one.node").alias("__node__"))
+        .agg(F.min(F.struct(*identity)).alias("one"))
+        .select("one.*")
     )
-    once = Window.partitionBy("__key__", "__node__").orderBy(F.lit(0))
+    once = Window.partitionBy(*identity).orderBy(F.lit(0))
     return (
-        keyed.join(kept, ["__key__", "__node__"], "left_semi")
+        keyed.join(kept, identity, "left_semi")
         .withColumn("__copy__", F.row_number().over(once))
         .where("__copy__ = 1")
         .select(*docs.columns)

@@ -183,3 +183,26 @@ def test_near_copies_with_text_appended_and_long_edited_ones(spark):
         assert (len(a & b) >= 0.8 * len(a | b)) == (group[d] == group[d + 1])
     kept = [r["doc_id"] for r in simhash_dedup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(kept) == sorted(min(d for d in group if group[d] == g) for g in set(group.values()))
+
+
+def test_a_long_chain_of_half_alike_texts_stays_linear(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["w%d" % rng.randrange(10**6) for _ in range(5000 * 18 + 120)]
+    compared, inner = [], simhash_dedup.undecided
+
+    def counted(members, ties):
+        found = inner(members, ties)
+        compared.append(found.groupBy("family").count().selectExpr("sum(count * count)").first()[0] or 0)
+        return found
+
+    monkeypatch.setattr(simhash_dedup, "undecided", counted)
+    for n in (1250, 5000):  # neighbours are alike by 0.73, by chance some pairs only meet in a table
+        docs = spark.createDataFrame([(i, " ".join(words[18 * i : 18 * i + 120])) for i in range(n)], "doc_id long, text string")
+        assert simhash_dedup.drop_near_copies(docs).count() == n
+    assert 0 < compared[0] and compared[1] < 6 * compared[0]
+
+
+def test_sums_of_weights_do_not_overflow():
+    from kinmat.llm import fertility
+
+    assert fertility.GROUP_WEIGHT * 10**12 < 2**63
