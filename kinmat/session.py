@@ -85,7 +85,17 @@ def settle(df: DataFrame) -> DataFrame:
     """
     path = f"{_run_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.settled_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete one settled table that nothing reads any more; other tables are left alone."""
+    path = getattr(table, "settled_path", None)
+    if path:
+        place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
