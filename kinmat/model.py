@@ -78,8 +78,8 @@ class VectorStore:
 class StoredMatrix:
     """Thresholded 8-bit matrix over the distinct vectors of a store.
 
-    ``cells``  (row_idx, col_idx, q, row_copies, col_copies): both directions
-    and the self cells, where identical vectors stand under their smallest idx.
+    ``cells``  (row_idx, col_idx, q, row_copies, col_copies): the triangle row_idx <= col_idx
+    with the self cells, where identical vectors stand under their smallest idx. It is mirrored when read.
     ``copies`` (idx, rep_idx, n_copies): members of groups of identical vectors,
     only for groups of two or more.
     ``ids``    (idx, acc).

@@ -1,8 +1,8 @@
 """Blocked thresholded self-join of a vector store (J-4).
 
 The pairs of n dense vectors are the cells of a square. It is cut into
-tiles of two bounded blocks; every vector goes to the tiles of its block, so a
-tile is the only thing a task ever holds. Vectors whose norms are too far apart
+tiles of two bounded slabs; every vector goes to the tiles of its slab. A task
+holds one slab of a tile while the other one streams past it. Vectors whose norms are too far apart
 for a pair to exist never share a tile.
 """
 
@@ -14,6 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,46 +86,57 @@ def _with_blocks(banded: DataFrame, plan: list[tuple[int, int, int, int, int]])
 
 
 def _join_tiles(tiled: DataFrame, dim: int, tiles: int, triangular: bool) -> DataFrame:
-    """Score each tile: side 0 against side 1, or a diagonal block against itself."""
+    """Score each tile: side 0 against side 1, or a diagonal slab against itself.
 
-    def score(
-        key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
-    ) -> Iterator[pa.RecordBatch]:
-        parts = [batch for batch in batches if batch.num_rows]
-        table = pa.Table.from_batches(parts)
-        side = table.column("side").to_numpy()
-        columns = {c: table.column(c).to_numpy() for c in ("idx", "norm_sq", "copies")}
-        vectors = np.concatenate([kernel.vectors_of(part.column("v"), dim) for part in parts])
-        left = np.flatnonzero(side == 0)
-        diagonal = triangular and key[0].as_py() == key[1].as_py()
-        right = left if diagonal else np.flatnonzero(side == 1)
-        idx, norm_sq, copies = columns["idx"], columns["norm_sq"], columns["copies"]
-        cells = kernel.existing_cells(
-            vectors[left], norm_sq[left], vectors[right], norm_sq[right], dim
-        )
+    Of each tile side 0 comes first and is held; side 1 streams past it in Arrow batches, so a task needs the memory of
+    one slab and slabs can be large. The number of copies of a vector that are shuffled falls with their size.
+    """
+
+    def scored(left: kernel.Block, right: kernel.Block, diagonal: bool) -> Iterator[pa.RecordBatch]:
+        cells = kernel.existing_cells(left.vectors, left.norm_sq, right.vectors, right.norm_sq, dim)
         for i, j, jaccard in cells:
-            rows, cols = left[i], right[j]
+            rows, cols = left.idx[i], right.idx[j]
             # Self cells occur once, on the diagonal. A self-join keeps each
             # other pair once; queries against a store keep all but self.
-            keep = idx[rows] <= idx[cols] if diagonal else idx[rows] != idx[cols]
-            rows, cols, jaccard = rows[keep], cols[keep], jaccard[keep]
+            keep = rows <= cols if diagonal else rows != cols
+            i, j, rows, cols, jaccard = i[keep], j[keep], rows[keep], cols[keep], jaccard[keep]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(idx[rows]),
-                    pa.array(idx[cols]),
+                    pa.array(rows),
+                    pa.array(cols),
                     pa.array(jaccard),
                     pa.array(kernel.quantise(jaccard).astype(np.int16)),
-                    pa.array(copies[rows]),
-                    pa.array(copies[cols]),
+                    pa.array(left.copies[i]),
+                    pa.array(right.copies[j]),
                 ],
                 names=_TILE_SCHEMA.names,
             )
 
+    def score(
+        key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
+    ) -> Iterator[pa.RecordBatch]:
+        held, left = [], None
+        for batch in batches:
+            side = batch.column("side")
+            own, other = (batch.filter(pc.equal(side, s)) for s in (0, 1))
+            if own.num_rows:
+                if left is not None:
+                    raise ValueError("the slab must come before what streams past it")
+                held.append(kernel.Block.of(own, dim))
+            if other.num_rows and held:
+                left = left or kernel.Block.joined(held)
+                yield from scored(left, kernel.Block.of(other, dim), False)
+        if triangular and held and key[0].as_py() == key[1].as_py():
+            slab = kernel.Block.joined(held)
+            yield from scored(slab, slab, True)
+
     ship_package(tiled.sparkSession)
+    tile = ("tile_row", "tile_col")
     return (
-        tiled.select("tile_row", "tile_col", "side", "idx", "norm_sq", "copies", "v")
-        .repartition(max(1, min(2 * tiles, _MAX_TASKS)), "tile_row", "tile_col")
-        .groupBy("tile_row", "tile_col")
+        tiled.select(*tile, "side", "idx", "norm_sq", "copies", "v")
+        .repartition(max(1, min(2 * tiles, _MAX_TASKS)), *tile)
+        .sortWithinPartitions(*tile, "side")
+        .groupBy(*tile)
         .applyInArrow(score, _TILE_SCHEMA)
     )
 

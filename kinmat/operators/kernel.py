@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,28 @@ def vectors_of(column: pa.Array, dim: int) -> np.ndarray:
     return values.to_numpy().reshape(-1, dim)
 
 
+@dataclass(frozen=True)
+class Block:
+    """Vectors of some rows with what the cell rule and its result need of them."""
+
+    idx: np.ndarray
+    norm_sq: np.ndarray
+    copies: np.ndarray
+    vectors: np.ndarray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, dim: int) -> Block:
+        columns = (batch.column(c).to_numpy() for c in ("idx", "norm_sq", "copies"))
+        return cls(*columns, vectors_of(batch.column("v"), dim))
+
+    @classmethod
+    def joined(cls, blocks: list[Block]) -> Block:
+        if len(blocks) == 1:
+            return blocks[0]
+        parts = ((b.idx, b.norm_sq, b.copies, b.vectors) for b in blocks)
+        return cls(*(np.concatenate(p) for p in zip(*parts)))
+
+
 def _largest_norm(block: np.ndarray) -> float:
     wide = block.astype(np.float64)
     return float(np.sqrt(np.einsum("ij,ij->i", wide, wide).max(initial=0.0)))
@@ -35,6 +58,8 @@ def exact_dtype(left: np.ndarray, right: np.ndarray) -> type:
         return np.float32
     if bound < 2**53:
         return np.float64
+    if bound >= 2**63:
+        raise OverflowError("dot products of these vectors exceed 64 bits")
     return np.int64
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmat.constants import DEFAULT_TOP
+from kinmat.constants import DEFAULT_TOP, QUANT_LEVELS
 from kinmat.functions.similarity import dequantise
 from kinmat.model import StoredMatrix, VectorStore
 from kinmat.operators.allpairs import collapse_copies, self_join
+from kinmat.operators.ranking import value_level
 from kinmat.operators.skew import every_salt, first_in_group, own_salt, salts_for
 from kinmat.session import settle
 
@@ -16,21 +17,12 @@ CELL_COLUMNS = ("row_idx", "col_idx", "q", "row_copies", "col_copies")
 
 
 def build_matrix(store: VectorStore, block_rows: int | None = None) -> StoredMatrix:
-    """J-4: the full thresholded 8-bit matrix, both directions and self cells."""
+    """J-4: the full thresholded 8-bit matrix as its triangle, self cells included.
+
+    Cells leave the tiles as they are; nothing of the size of the matrix is shuffled.
+    """
     reps, copies = collapse_copies(store)
-    upper = self_join(reps, block_rows)
-    forward = F.struct(*CELL_COLUMNS)
-    backward = F.struct(
-        F.col("col_idx").alias("row_idx"),
-        F.col("row_idx").alias("col_idx"),
-        F.col("q"),
-        F.col("col_copies").alias("row_copies"),
-        F.col("row_copies").alias("col_copies"),
-    )
-    is_self = F.col("row_idx") == F.col("col_idx")
-    both = F.when(is_self, F.array(forward)).otherwise(F.array(forward, backward))
-    cells = upper.select(F.explode(both).alias("cell")).select("cell.*")
-    return StoredMatrix(cells, copies, store.ids)
+    return StoredMatrix(self_join(reps, block_rows).select(*CELL_COLUMNS), copies, store.ids)
 
 
 def keep_matrix(matrix: StoredMatrix) -> StoredMatrix:
@@ -38,31 +30,45 @@ def keep_matrix(matrix: StoredMatrix) -> StoredMatrix:
     return StoredMatrix(settle(matrix.cells.select(*CELL_COLUMNS)), settle(matrix.copies), matrix.ids)
 
 
+def mirrored(cells: DataFrame) -> DataFrame:
+    """Both directions of a triangle, self cells once; each row is doubled where it is, without a shuffle."""
+    swapped = {"row_idx": "col_idx", "col_idx": "row_idx", "row_copies": "col_copies", "col_copies": "row_copies"}
+    forward = F.struct(*cells.columns)
+    backward = F.struct(*[F.col(swapped.get(c, c)).alias(c) for c in cells.columns])
+    both = F.when(F.col("row_idx") == F.col("col_idx"), F.array(forward)).otherwise(F.array(forward, backward))
+    return cells.select(F.explode(both).alias("cell")).select("cell.*")
+
+
 def _members(cells: DataFrame, copies: DataFrame, end: str) -> DataFrame:
     """Replace a representative by its members at one end of every cell.
 
-    Cells of hot groups are repeated once per salt, the members once in all.
+    Only cells of groups of copies are shuffled; those of hot groups are repeated once per salt, the members once in all.
     """
+    single = cells.where(F.col(f"{end}_copies") == 1)
     salts = salts_for(F.col(f"{end}_copies"))
-    spread = cells.withColumn("salt", every_salt(salts))
+    spread = cells.where(F.col(f"{end}_copies") > 1).withColumn("salt", every_salt(salts))
     members = copies.select(
         F.col("rep_idx").alias(f"{end}_idx"),
         own_salt("idx", salts_for(F.col("n_copies"))).alias("salt"),
         F.col("idx").alias("member"),
     )
-    single = F.col(f"{end}_copies") == 1
-    return (
-        spread.join(members, [f"{end}_idx", "salt"], "left")
-        .where(single | F.col("member").isNotNull())
-        .withColumn(f"{end}_idx", F.coalesce("member", f"{end}_idx"))
-        .drop("salt", "member")
-    )
+    grouped = spread.join(members, [f"{end}_idx", "salt"]).withColumn(f"{end}_idx", F.col("member"))
+    return single.unionByName(grouped.select(*cells.columns))
 
 
 def all_cells(matrix: StoredMatrix) -> DataFrame:
-    """(row_idx, col_idx, q) over all vectors, copies written out."""
-    rows = _members(matrix.cells, matrix.copies, "row")
-    return _members(rows, matrix.copies, "col").select("row_idx", "col_idx", "q")
+    """(row_idx, col_idx, q) over all vectors, copies and both directions written out.
+
+    Copies are written out on the triangle. A self cell of a group of copies gives all pairs of them, so it is
+    not mirrored once more.
+    """
+    whole = F.col("row_idx") == F.col("col_idx")
+    rows = _members(matrix.cells.withColumn("whole", whole), matrix.copies, "row")
+    cells = _members(rows, matrix.copies, "col")
+    forward = F.struct("row_idx", "col_idx", "q")
+    backward = F.struct(F.col("col_idx").alias("row_idx"), F.col("row_idx").alias("col_idx"), "q")
+    both = F.when(F.col("whole"), F.array(forward)).otherwise(F.array(forward, backward))
+    return cells.select(F.explode(both).alias("cell")).select("cell.*")
 
 
 def _at_wanted(cells: DataFrame, matrix: StoredMatrix, wanted: DataFrame, end: str) -> DataFrame:
@@ -91,7 +97,7 @@ def decoded_rows(matrix: StoredMatrix, wanted: DataFrame | None = None) -> DataF
     if wanted is None:
         cells = all_cells(matrix).join(matrix.ids.toDF("row_idx", "row_acc"), "row_idx")
     else:
-        cells = _members(_at_wanted(matrix.cells, matrix, wanted, "row"), matrix.copies, "col")
+        cells = _members(_at_wanted(mirrored(matrix.cells), matrix, wanted, "row"), matrix.copies, "col")
     return cells.join(names, "col_idx").select(
         "row_acc", "col_idx", "id", dequantise(F.col("q")).alias("jaccard")
     )
@@ -99,7 +105,7 @@ def decoded_rows(matrix: StoredMatrix, wanted: DataFrame | None = None) -> DataF
 
 def slice_cells(matrix: StoredMatrix, rows: DataFrame, cols: DataFrame) -> DataFrame:
     """J-5, stored cells only: (row_acc, col_acc, cell) between two id lists."""
-    found = _at_wanted(_at_wanted(matrix.cells, matrix, rows, "row"), matrix, cols, "col")
+    found = _at_wanted(_at_wanted(mirrored(matrix.cells), matrix, rows, "row"), matrix, cols, "col")
     return found.select("row_acc", "col_acc", dequantise(F.col("q")).alias("cell"))
 
 
@@ -135,7 +141,8 @@ def query_order() -> list[Column]:
 
 def top_neighbours(decoded: DataFrame, k: int = DEFAULT_TOP) -> DataFrame:
     """TK-4, TK-11: first ``k`` entries of every decoded row, self included."""
-    return first_in_group(decoded, "row_acc", query_order(), k, "rank", "id")
+    level = F.when(F.col("id") == F.col("row_acc"), QUANT_LEVELS + 2).otherwise(value_level(F.col("jaccard")))
+    return first_in_group(decoded, "row_acc", query_order(), k, "rank", "id", level=level)
 
 
 def top_for_each(decoded: DataFrame, ks: tuple[int, ...]) -> DataFrame:
