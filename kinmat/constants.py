@@ -16,8 +16,8 @@ ABSENT = -1                    # written for the value columns of an absent pair
 
 # Size bounds of everything that is handed to all executors.
 MAX_BROADCAST_BYTES = 64 << 20     # query vectors kept in memory by every task
-MAX_TILE_BYTES = 32 << 20          # one block of vectors, half of an all-pairs tile
+MAX_TILE_BYTES = 256 << 20         # the slab of vectors that a task holds while others stream past it
 HOT_GROUP_ROWS = 100_000           # rows of one key per task before it is salted
 MAX_HOT_KEYS = 10_000              # keys treated one by one, by their share of all rows
 PAIR_GROUP_ROWS = 2_000            # rows of one key per task where pairs of them are formed
-MAX_LIST_ROWS = 5_000_000           # rows of one list that a single ranking window may hold
+MAX_LIST_ROWS = 1_000_000           # rows of one level of a list that are ranked together

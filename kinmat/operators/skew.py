@@ -62,27 +62,31 @@ def first_in_group(
     rank: str,
     spread_by: str,
     max_rows: int = MAX_LIST_ROWS,
+    level: Column | None = None,
 ) -> DataFrame:
     """The first ``limit`` rows of every ``key``, numbered in ``rank``.
 
-    A window holds a whole group, so unless the whole table is short the
-    longest group is measured first. ``df`` should be a settled or cheap table.
-    Beyond ``max_rows`` every group is cut into pieces by a hash of ``spread_by``;
-    the first ``limit`` of each piece contain the first ``limit`` of the
-    group and are ranked again.
+    ``level`` is a whole number of few values that never rises along ``order``. Rows are counted by key and level, map-side
+    first, and each group is cut at the level in which its rank ``limit`` lies: what is above is taken, what is below never
+    sorted, and only of the cut level itself the first ones are looked for, in pieces of about ``max_rows`` by a hash of
+    ``spread_by``. So no task ranks more than a piece, and a last time the first ``limit`` of each piece. ``df`` is read
+    three times and should be a settled or cheap table.
     """
-    longest = df.count()
-    if longest > max_rows:
-        sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-        longest = sizes.agg(F.max("n").alias("n")).first()["n"]
-    if longest > max_rows:
-        pieces = F.lit(-(-longest // max_rows))
-        part = Window.partitionBy(key, "piece").orderBy(*order)
-        df = (
-            df.withColumn("piece", own_salt(spread_by, pieces))
-            .withColumn(rank, F.row_number().over(part))
-            .where(F.col(rank) <= limit)
-            .drop("piece", rank)
-        )
+    rows = df.withColumn("__level__", F.lit(0) if level is None else level)
+    down = Window.partitionBy(key).orderBy(F.desc("__level__")).rowsBetween(Window.unboundedPreceding, 0)
+    counts = rows.groupBy(key, "__level__").agg(F.count(F.lit(1)).alias("__n__")).withColumn("__up_to__", F.sum("__n__").over(down))
+    above = F.col("__up_to__") - F.col("__n__")
+    cuts = counts.where((above < limit) & (F.col("__up_to__") >= limit)).select(
+        key, F.col("__level__").alias("__cut__"), (F.lit(limit) - above).alias("__need__"), salts_for(F.col("__n__"), max_rows).alias("__pieces__")
+    )
+    marked = rows.join(cuts, key, "left")
+    part = Window.partitionBy(key, "__piece__").orderBy(*order)
+    at_cut = (
+        marked.where("__level__ = __cut__")
+        .withColumn("__piece__", own_salt(spread_by, F.col("__pieces__")))
+        .withColumn(rank, F.row_number().over(part))
+        .where(F.col(rank) <= F.col("__need__"))
+    )
+    taken = marked.where("__cut__ IS NULL OR __level__ > __cut__").select(*df.columns).unionByName(at_cut.select(*df.columns))
     whole = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(whole)).where(F.col(rank) <= limit)
+    return taken.withColumn(rank, F.row_number().over(whole)).where(F.col(rank) <= limit)
