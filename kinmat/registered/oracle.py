@@ -220,6 +220,12 @@ _MATRIX_DEGREE = f"""{_TINY},{_decoded('dec', 'tiny')},
 deg as (select s.idx, s.acc, count(d.id) degree from tiny s left join dec d on d.row_acc = s.acc and d.id <> s.acc group by 1, 2)"""
 _SAMPLED = f"{_FINE},{_sample('wanted', 'fine', 0, N_FULL)},{_pairs('truth', 'wanted', 'fine')}, {_COARSE},{_decoded('dec_all', 'coarse')}, dec as (select * from dec_all where row_acc in (select acc from wanted))"
 
+_EXTREME_ROWS = f"{_FINE},{_extreme('wanted', 'fine', N_FULL_EXTREME)},{_pairs('truth', 'wanted', 'fine')}, {_COARSE},{_decoded('dec_all', 'coarse')}, dec as (select * from dec_all where row_acc in (select acc from wanted))"
+_WIDE_CELLS = f"""with {_COARSE},{_decoded('dec', 'coarse')}
+select s.acc row_acc, c.acc col_acc, coalesce(d.jaccard, 0::double) cell from coarse s
+cross join (select acc from coarse where acc in (select n_nationkey::varchar from nation)) c
+left join dec d on d.row_acc = s.acc and d.id = c.acc"""
+
 _MANIFEST = """
 eq as (select min(doc_id) low, max(doc_id) high, count(*) n from documents where length(text) > 20 group by text having count(*) > 1),
 sl as (select min(doc_id) low, max(doc_id) high from documents group by length(text)
@@ -376,14 +382,20 @@ left join pt p on p.row_acc = i.acc""",
 top as (select *, row_number() over (partition by row_acc order by id = row_acc desc, jaccard desc, col_idx) rank from dec
   where row_acc in (select acc from s))
 select row_acc, id, jaccard from top where rank <= 10""",
-    "slice_round_trip": f"""with {_COARSE},{_decoded('dec', 'coarse')}
-select s.acc row_acc, c.acc col_acc, coalesce(d.jaccard, 0::double) cell from coarse s
-cross join (select acc from coarse where acc in (select n_nationkey::varchar from nation)) c
-left join dec d on d.row_acc = s.acc and d.id = c.acc""",
+    "slice_round_trip": _WIDE_CELLS,
+    "printed_matrix_round_trip": _WIDE_CELLS,
     "mismatch_report_round_trip": _SLICE + _PROBLEMS,
     "manifest_round_trip": f"""with {_MANIFEST} select acc::varchar accession, grp, role, partner::varchar paired_with from man
 union all select min(doc_id)::varchar, 'row0_marker', 'single', null from documents
 union all select max(doc_id)::varchar, 'last_row_marker', 'single', null from documents""",
     "stage_full_rows_mismatches": f"with {_SAMPLED},{_ROW_CHECK}select * from mm",
+    "stage_extreme_rows_mismatches": f"with {_EXTREME_ROWS},{_ROW_CHECK}select * from mm",
+    "stage_subset_mismatches": f"""with {_MATRIX_DEGREE},{_REPORT.format(cap=_ALL)}, {_FINE},
+known as (select * from fine where acc in (select accession from report)),{_pairs('truth', 'known', 'fine')},
+dec_known as (select * from dec where row_acc in (select acc from known)),{_ROW_CHECK.replace('from dec', 'from dec_known')}select * from mm""",
+    "vectors_round_trip": f"with {_FINE} select idx, acc, norm, array_to_string(v, ',') vector from fine",
+    "dimension_round_trip": f"with {_FINE} select len(v)::int dimension, count(*) n from fine group by 1",
+    "row_files_round_trip": f"""with {_FINE}, {_COARSE},{_decoded('dec', 'coarse')},{_sample('s', 'fine', 0, N_FULL)}
+select row_acc, id, jaccard from dec where row_acc in (select acc from s)""",
     "stage_full_rows_topk": _topk(_LISTS_CHECK, _SAMPLED, "wanted") + _STATUS,
 }

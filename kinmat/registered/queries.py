@@ -29,8 +29,9 @@ from kinmat.operators.kmer_pairs import (
 from kinmat.plans import edge_cases, row_check, slice_check, stages, topk_check
 from kinmat.session import ensure_checkpoint_dir, settle, spread
 from kinmat.sinks import tables
+from kinmat.sinks.vectors import write_row_files, write_store
 from kinmat.sources import text
-from kinmat.sources.vectors import read_norms, vectors_from_embeddings
+from kinmat.sources.vectors import open_store, read_dimension, read_norms, read_vectors, vectors_from_embeddings
 
 FINE, COARSE, TINY = 1000, 250, 8
 N_ROWS = N_COLS = 100
@@ -326,6 +327,17 @@ def q_stage_full_rows_topk(spark, folder):
     return _stage_rows(spark, folder).topk
 
 
+def q_stage_extreme_rows_mismatches(spark, folder):
+    store = _store(spark, folder)
+    sample = sampling.sample_extreme(store.vectors, N_FULL_EXTREME)
+    return stages.check_full_rows(sample, store, _matrix(spark, folder)).mismatches
+
+
+def q_stage_subset_mismatches(spark, folder):
+    matrix = _matrix(spark, folder, TINY)
+    return stages.check_subset(_store(spark, folder), matrix, matrix).mismatches
+
+
 def q_stage_subset_differences(spark, folder):
     runs = _matrix(spark, folder, TINY), _matrix(spark, folder, COARSE)
     return stages.check_subset(_store(spark, folder, TINY), *runs).run_differences
@@ -363,6 +375,33 @@ def q_norms_round_trip(spark, folder):
     return read_norms(spark, path).select("idx", "acc", "norm")
 
 
+def q_vectors_round_trip(spark, folder):
+    path = _exchange(spark)
+    write_store(_store(spark, folder), path)
+    return open_store(spark, path).vectors.select("idx", "acc", "norm", F.array_join("v", ",").alias("vector"))
+
+
+def q_dimension_round_trip(spark, folder):
+    path = _exchange(spark)
+    write_store(_store(spark, folder), path)
+    dim = read_dimension(spark, f"{path}/dimension.txt")
+    return read_vectors(spark, f"{path}/vectors.bin", dim).groupBy(F.size("v").alias("dimension")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_row_files_round_trip(spark, folder):
+    path = _exchange(spark)
+    matrix = _matrix(spark, folder)
+    rows = sampling.sample_rows(matrix.ids, N_FULL)
+    write_row_files(settle(mx.decoded_rows(matrix, rows)).select("row_acc", "id", "jaccard"), path)
+    return text.read_neighbours(spark, path)
+
+
+def q_printed_matrix_round_trip(spark, folder):
+    path = _exchange(spark)
+    tables.write_printed_matrix(q_slice_wide(spark, folder), path)
+    return text.read_printed_matrix(spark, path)
+
+
 def q_pair_truth_round_trip(spark, folder):
     path = _exchange(spark)
     tables.write_pair_truth(_random_truth(spark, folder), path, csv=True)

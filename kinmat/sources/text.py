@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmat.constants import ABSENT, PRINTED_PREAMBLE
 from kinmat.model import MANIFEST_SCHEMA, PAIR_TRUTH_SCHEMA
-from kinmat.session import settle
 
 # Column layouts of one-file-per-row lists.
 LIST_LAYOUTS = {
@@ -22,30 +22,15 @@ LIST_LAYOUTS = {
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value) of the non-blank lines of one file, or of the files of a folder by name, counted from 0.
 
-    Positions inside a split come from one scan, which is settled, as a second scan may be
-    split in another way. Only the line count of each split is gathered to turn them into line numbers.
+    ``zipWithIndex`` counts the lines of every split in one pass and numbers them in the next; files are given in
+    the order of their names.
     """
-    placed = settle(
-        spark.read.text(path)
-        .where("trim(value) <> ''")
-        .select(
-            "value",
-            F.col("_metadata.file_name").alias("file"),
-            F.col("_metadata.file_block_start").alias("split_start"),
-            F.monotonically_increasing_id().alias("position"),
-        )
-    )
-    # One row per file split.
-    splits = placed.groupBy("file", "split_start").agg(
-        F.count(F.lit(1)).alias("lines"), F.min("position").alias("first")
-    )
-    before = F.sum("lines").over(
-        Window.orderBy("file", "split_start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ) - F.col("lines")
-    offsets = splits.select("file", "split_start", (before - F.col("first")).alias("shift"))
-    return placed.join(offsets, ["file", "split_start"]).select(
-        (F.col("position") + F.col("shift")).alias("line"), "value"
-    )
+    files = sorted(unquote(f) for f in spark.read.text(path).inputFiles())
+    schema = "line long, value string"
+    if not files:
+        return spark.createDataFrame([], schema)
+    lines = spark.sparkContext.textFile(",".join(files)).filter(lambda line: line.strip(" ") != "")
+    return spark.createDataFrame(lines.zipWithIndex().map(lambda at: (at[1], at[0])), schema)
 
 
 def read_accessions(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import (
     DataSource,
+    DataSourceArrowWriter,
     DataSourceReader,
     EqualTo,
     Filter,
@@ -21,38 +24,52 @@ from pyspark.sql.datasource import (
     InputPartition,
     LessThan,
     LessThanOrEqual,
+    WriterCommitMessage,
 )
 
 from kinmat.functions.similarity import norm_of, squared
 from kinmat.model import VectorStore
+from kinmat.operators.kernel import vectors_of
 from kinmat.session import settle, ship_package
 from kinmat.sources.text import numbered_lines
 
 _VALUE_BYTES = 4
 _BATCH_ROWS = 4096
 _PARTITION_BYTES = 64 << 20
+_PART_SUFFIX = ".vectors"
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
-def _file_size(path: str) -> int:
-    system, inner = _open(path.replace("file://", "", 1) if path.startswith("file:///") else path)
+def _files(path: str, dim: int) -> list[tuple[int, int, str]]:
+    """(first index, one after the last, file) of a file of vectors, or of a folder of such files in the order of their names."""
+    if dim < 1:
+        raise ValueError("the dimension must be positive")
+    system, inner = _open(path)
     info = system.get_file_info(inner)
-    if info.type != pafs.FileType.File:
+    if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(path)
-    return info.size
+    parts = [info]
+    if info.type == pafs.FileType.Directory:
+        listed = system.get_file_info(pafs.FileSelector(inner))
+        parts = sorted((f for f in listed if f.base_name.endswith(_PART_SUFFIX)), key=lambda f: f.base_name)
+    found, first = [], 0
+    for part in parts:
+        if part.size % (dim * _VALUE_BYTES):
+            raise ValueError(f"{part.path}: {part.size} bytes are no whole number of {dim}-d vectors")
+        last = first + part.size // (dim * _VALUE_BYTES)
+        found.append((first, last, part.path))
+        first = last
+    return found
 
 
 def record_count(path: str, dim: int) -> int:
-    """Vectors in the file; a file that ends inside a record is an error."""
-    size = _file_size(path)
-    if dim < 1:
-        raise ValueError("the dimension must be positive")
-    if size % (dim * _VALUE_BYTES):
-        raise ValueError(f"{path}: {size} bytes are no whole number of {dim}-d vectors")
-    return size // (dim * _VALUE_BYTES)
+    """Vectors in the file or folder; a file that ends inside a record is an error."""
+    return max((last for _, last, _ in _files(path, dim)), default=0)
 
 
 class IndexRange(InputPartition):
@@ -66,7 +83,8 @@ class Int32VectorSource(DataSource):
 
     Options: ``path`` on storage all executors see, ``dimension``. Every
     partition is a range of indices and seeks to its start; conditions on
-    ``idx`` narrow the ranges that are read.
+    ``idx`` narrow the ranges that are read. Written, it is a folder with a file of this form for each range of idx;
+    its names have the order of the ranges, so that joined by name they are the whole file.
     """
 
     @classmethod
@@ -79,6 +97,70 @@ class Int32VectorSource(DataSource):
     def reader(self, schema: T.StructType) -> "Int32VectorReader":
         return Int32VectorReader(self.options["path"], int(self.options["dimension"]))
 
+    def writer(self, schema: T.StructType, overwrite: bool) -> "Int32VectorWriter":
+        return Int32VectorWriter(self.options["path"], int(self.options["dimension"]), overwrite)
+
+
+@dataclass
+class WrittenRange(WriterCommitMessage):
+    """What a task has written: idx from first to below last, in a file that has no final name yet."""
+
+    first: int
+    last: int
+    name: str
+
+
+class Int32VectorWriter(DataSourceArrowWriter):
+    """Writes (idx, v), sorted by idx within each partition; all idx together must be 0, 1, 2 and so on.
+
+    A task writes under a name of its own, so that one that runs twice does no harm; the commit only renames.
+    """
+
+    def __init__(self, path: str, dim: int, overwrite: bool):
+        self.path, self.dim, self.overwrite = path, dim, overwrite
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WrittenRange:
+        system, inner = _open(self.path)
+        system.create_dir(inner, recursive=True)
+        name, first, last = f"{inner}/_{uuid.uuid4().hex}", 0, 0
+        with system.open_output_stream(name) as stream:
+            for batch in batches:
+                idx = batch.column("idx").to_numpy()
+                if not len(idx):
+                    continue
+                first = first if last else int(idx[0])
+                last = last or first
+                if (idx != np.arange(last, last + len(idx))).any():
+                    raise ValueError(f"idx of a partition must be consecutive, {last} is missing or out of order")
+                stream.write(np.ascontiguousarray(vectors_of(batch.column("v"), self.dim), dtype="<i4").tobytes())
+                last += len(idx)
+        return WrittenRange(first, last, name)
+
+    def commit(self, messages: list[WrittenRange | None]) -> None:
+        system, inner = _open(self.path)
+        ranges = sorted((m for m in messages if m is not None), key=lambda m: m.first)
+        full = [m for m in ranges if m.last > m.first]
+        ends = [0, *[m.last for m in full]]
+        if [m.first for m in full] != ends[:-1]:
+            self.abort(messages)
+            raise ValueError("the partitions' idx do not follow each other from 0 on")
+        system.create_dir(inner, recursive=True)
+        for old in system.get_file_info(pafs.FileSelector(inner)):
+            if old.base_name.endswith(_PART_SUFFIX):
+                if not self.overwrite:
+                    self.abort(messages)
+                    raise FileExistsError(self.path)
+                system.delete_file(old.path)
+        for m in full:
+            system.move(m.name, f"{inner}/{m.first:020d}{_PART_SUFFIX}")
+        self.abort([m for m in ranges if m.last == m.first])
+
+    def abort(self, messages: list[WrittenRange | None]) -> None:
+        system, _ = _open(self.path)
+        for m in messages:
+            if m is not None:
+                system.delete_file(m.name)
+
 
 class Int32VectorReader(DataSourceReader):
     def __init__(self, path: str, dim: int):
@@ -126,12 +208,18 @@ class Int32VectorReader(DataSourceReader):
         ]
 
     def read(self, partition: IndexRange) -> Iterator[pa.RecordBatch]:
+        system, _ = _open(self.path)
+        for low, high, name in _files(self.path, self.dim):
+            start, stop = max(low, partition.start), min(high, partition.stop)
+            if start < stop:
+                yield from self._read_file(system, name, low, start, stop)
+
+    def _read_file(self, system: pafs.FileSystem, name: str, low: int, start: int, stop: int) -> Iterator[pa.RecordBatch]:
         record = _VALUE_BYTES * self.dim
-        system, inner = _open(self.path)
-        with system.open_input_file(inner) as stream:
-            stream.seek(partition.start * record)
-            for first in range(partition.start, partition.stop, _BATCH_ROWS):
-                count = min(_BATCH_ROWS, partition.stop - first)
+        with system.open_input_file(name) as stream:
+            stream.seek((start - low) * record)
+            for first in range(start, stop, _BATCH_ROWS):
+                count = min(_BATCH_ROWS, stop - first)
                 data = stream.read(count * record)
                 if len(data) != count * record:
                     raise EOFError(f"{self.path} ended inside vector {first + len(data) // record}")
