@@ -71,6 +71,32 @@ def all_cells(matrix: StoredMatrix) -> DataFrame:
     return cells.select(F.explode(both).alias("cell")).select("cell.*")
 
 
+def row_facts(matrix: StoredMatrix) -> DataFrame:
+    """(idx, acc, n_cells, degree, self_q) of every vector, from the stored triangle alone.
+
+    ``n_cells`` counts the row's cells with its own, ``degree`` without; both 0 where nothing is stored, and ``self_q`` is NULL
+    without a self cell. Cells are weighed by the copies at their other end and summed per representative, map-side
+    first; members of a group take its facts over. No row of the matrix is written out.
+    """
+    same = F.col("row_idx") == F.col("col_idx")
+    facts = (
+        mirrored(matrix.cells)
+        .groupBy("row_idx")
+        .agg(
+            F.sum("col_copies").alias("n_cells"),
+            F.max(F.when(same, F.col("q"))).alias("self_q"),
+            F.max("row_copies").alias("row_copies"),
+        )
+        .withColumn("salt", every_salt(salts_for(F.col("row_copies"))))
+    )
+    named = matrix.ids.join(matrix.copies.select("idx", "rep_idx", "n_copies"), "idx", "left").select(
+        "idx", "acc", F.coalesce("rep_idx", "idx").alias("row_idx"), own_salt("idx", salts_for(F.coalesce("n_copies", F.lit(1)))).alias("salt")
+    )
+    known = named.join(facts, ["row_idx", "salt"], "left")
+    n_cells = F.coalesce("n_cells", F.lit(0))
+    return known.select("idx", "acc", n_cells.alias("n_cells"), (n_cells - F.col("self_q").isNotNull().cast("int")).alias("degree"), "self_q")
+
+
 def _at_wanted(cells: DataFrame, matrix: StoredMatrix, wanted: DataFrame, end: str) -> DataFrame:
     """Cells whose ``end`` is a wanted (idx, acc), under its acc.
 

@@ -19,10 +19,12 @@ _INPUT = ("idx", "acc", "norm_sq", "v")
 
 
 def _query_block(queries: DataFrame, dim: int, max_bytes: int) -> pa.Table | None:
-    """The query vectors, or None when they exceed the bound."""
+    """The query vectors, or None when they and their ids exceed the bound."""
     limit = max(1, max_bytes // (4 * dim))
-    block = queries.select(*_INPUT).limit(limit + 1).toArrow()
-    return None if block.num_rows > limit else block.sort_by("idx")
+    size = queries.limit(limit + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("acc")).alias("names")).first()
+    if size["n"] > limit or (size["names"] or 0) > max_bytes:
+        return None
+    return queries.select(*_INPUT).toArrow().sort_by("idx")
 
 
 def _whole(table: pa.Table, name: str) -> pa.Array:

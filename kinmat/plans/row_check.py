@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinmat.constants import QUANT_STEP, SELF_TOLERANCE
-from kinmat.functions.similarity import differs
+from kinmat.functions.similarity import dequantise, differs
+from kinmat.model import StoredMatrix
+from kinmat.operators.matrix import row_facts
 
 
 def _wanted(wanted: DataFrame) -> DataFrame:
@@ -115,6 +117,23 @@ def check_self_pairs(
     )
 
 
+def check_stored_self_pairs(matrix: StoredMatrix, tolerance: float = SELF_TOLERANCE) -> DataFrame:
+    """Q-2 for every row of a stored matrix, from its diagonal; the rows of ``check_self_pairs`` without decoded lists."""
+    value = dequantise(F.col("self_q"))
+    status = (
+        F.when(F.col("n_cells") == 0, "no_row")
+        .when(F.col("self_q").isNull(), "self_missing")
+        .when(differs(value, F.lit(1.0), tolerance), "self_not_one")
+        .otherwise("ok")
+    )
+    return row_facts(matrix).select(F.col("acc").alias("accession"), value.alias("self_jaccard"), status.alias("status"))
+
+
+def stored_missing_rows(matrix: StoredMatrix) -> DataFrame:
+    """J-11 for a stored matrix: rows without any cell."""
+    return row_facts(matrix).where("n_cells = 0").select(F.col("acc").alias("row_acc"))
+
+
 def self_anomalies(checked: DataFrame) -> DataFrame:
     return checked.where(F.col("status").isin("self_missing", "self_not_one"))
 

@@ -15,6 +15,7 @@ from kinmat.registered.queries import (
     N_ROWS,
     SKETCH,
     SKETCH_BLOCKS,
+    SKETCH_WHOLE,
     TINY,
 )
 
@@ -283,6 +284,8 @@ select idx, acc, 'row' part from srows union all select idx, acc, 'col' from sco
         f"{_FINE},{_extreme('s', 'fine', N_EXTREME)},{_pairs('pt', 's', 's')}", "pt"
     ),
     "full_rows_random": f"""with {_FINE},{_sample('s', 'fine', 0, N_FULL)},{_pairs('t', 's', 'fine')}
+select {_TRUTH_COLUMNS} from t""",
+    "full_rows_tiled": f"""with {_FINE},{_sample('s', 'fine', 0, N_FULL)},{_pairs('t', 's', 'fine')}
 select {_TRUTH_COLUMNS} from t""",
     "full_rows_extreme": f"""with {_FINE},{_extreme('s', 'fine', N_FULL_EXTREME)},{_pairs('t', 's', 'fine')}
 select {_TRUTH_COLUMNS} from t""",
@@ -359,6 +362,7 @@ from deg where degree < 2 group by 1""",
     "expectation_status": _EXPECTATIONS,
     "sketch_vectors": _sketch(SKETCH),
     "sketch_vectors_blocks": _sketch(SKETCH_BLOCKS),
+    "sketch_vectors_whole": _sketch(SKETCH_WHOLE),
     "faulty_rows_mismatches": _FAULTY_ROWS + "select * from mm",
     "faulty_self_status": f"with {_FAULTY},{_SELF_CHECK.format(store='fine')}" + _STATUS,
     "faulty_topk_status": _topk(_LISTS_CHECK, _FAULTY) + _STATUS,

@@ -13,12 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinmat.constants import DEFAULT_KS, DEFAULT_SEED
+from kinmat.constants import DEFAULT_KS, DEFAULT_SEED, SKETCH_DIM
 from kinmat.functions.kmers import kmer_set, sketch_vectors
 from kinmat.functions.similarity import squared
 from kinmat.model import StoredMatrix, VectorStore
 from kinmat.operators import matrix as mx
 from kinmat.operators import ranking, sampling, scoring
+from kinmat.operators.allpairs import block_pairs
 from kinmat.operators.kmer_pairs import (
     KmerNeighbours,
     copy_groups,
@@ -39,6 +40,7 @@ N_EXTREME = 50
 N_FULL, N_FULL_EXTREME = 50, 25
 SKETCH = {"dim": 64, "scaled": 16}
 SKETCH_BLOCKS = {"dim": 256, "scaled": 16}
+SKETCH_WHOLE = {"dim": SKETCH_DIM, "scaled": 64}
 CAP = 20
 # Every so many rows one of two faulty runs lacks a row.
 FAULTS = (17, 23)
@@ -113,6 +115,11 @@ def q_full_rows_random(spark, folder):
     return scoring.full_rows(sampling.sample_rows(store.vectors, N_FULL), store)
 
 
+def q_full_rows_tiled(spark, folder):
+    store = _store(spark, folder)
+    return block_pairs(sampling.sample_rows(store.vectors, N_FULL), store, 1000)
+
+
 def q_full_rows_extreme(spark, folder):
     store = _store(spark, folder)
     return scoring.full_rows(sampling.sample_extreme(store.vectors, N_FULL_EXTREME), store)
@@ -217,8 +224,7 @@ def q_self_pair_status(spark, folder):
     # Norms of one printed digit, so that self values drift away from 1.
     store = _store(spark, folder, TINY)
     printed = store.vectors.withColumn("norm", F.round("norm", 1)).withColumn("norm_sq", squared(F.col("norm")))
-    matrix = mx.keep_matrix(mx.build_matrix(VectorStore(printed, store.dim)))
-    return row_check.check_self_pairs(matrix.ids, settle(mx.decoded_rows(matrix)))
+    return row_check.check_stored_self_pairs(mx.keep_matrix(mx.build_matrix(VectorStore(printed, store.dim))))
 
 
 def q_self_pair_anomalies(spark, folder):
@@ -226,8 +232,7 @@ def q_self_pair_anomalies(spark, folder):
 
 
 def q_missing_rows(spark, folder):
-    matrix = _matrix(spark, folder, TINY)
-    return row_check.missing_rows(matrix.ids, mx.decoded_rows(matrix)).select(F.col("row_acc").alias("accession"))
+    return row_check.stored_missing_rows(_matrix(spark, folder, TINY)).select(F.col("row_acc").alias("accession"))
 
 
 def q_topk_check_status(spark, folder):
@@ -296,8 +301,7 @@ def q_faulty_topk_status(spark, folder):
 
 
 def q_decoded_degree(spark, folder):
-    matrix = _matrix(spark, folder, TINY)
-    return edge_cases.neighbour_degree(matrix.ids, mx.decoded_rows(matrix))
+    return edge_cases.stored_degree(_matrix(spark, folder, TINY))
 
 
 def q_matrix_edge_cases(spark, folder):
@@ -571,6 +575,10 @@ def q_sketch_vectors_blocks(spark, folder):
     return _sketches(spark, folder, SKETCH_BLOCKS)
 
 
+def q_sketch_vectors_whole(spark, folder):
+    return _sketches(spark, folder, SKETCH_WHOLE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: function for name, function in sorted(globals().items()) if name.startswith("q_")
 }

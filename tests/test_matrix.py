@@ -202,3 +202,28 @@ def test_settled_tables_are_released(spark, embeddings):
         settled = settle(embeddings.limit(3))
         assert settled.count() == 3 and os.listdir(_run_folder(spark).removeprefix("file:"))
     assert not os.path.exists(_run_folder(spark).removeprefix("file:"))
+
+
+def test_facts_of_rows_come_from_the_stored_triangle(spark, spread_store, store):
+    from kinmat.plans import edge_cases, row_check
+
+    for source in (spread_store, store):
+        whole = mx.keep_matrix(mx.build_matrix(source))
+        # Some self cells and a row are lost, some values moved.
+        moved = F.when(F.col("row_idx") % 5 == 2, F.col("q") - 9).otherwise(F.col("q")).cast("smallint")
+        cells = whole.cells.where("row_idx <> 3 and col_idx <> 3 and not (row_idx = col_idx and row_idx % 7 = 4)").withColumn("q", moved)
+        for matrix in (whole, mx.StoredMatrix(cells, whole.copies, whole.ids)):
+            decoded = mx.decoded_rows(matrix)
+            for stored, plain in (
+                (edge_cases.stored_degree(matrix), edge_cases.neighbour_degree(matrix.ids, decoded)),
+                (row_check.check_stored_self_pairs(matrix), row_check.check_self_pairs(matrix.ids, decoded)),
+                (row_check.stored_missing_rows(matrix), row_check.missing_rows(matrix.ids, decoded)),
+            ):
+                assert stored.count() == plain.count()
+                assert stored.exceptAll(plain.select(*stored.columns)).isEmpty()
+
+
+def test_tiles_stream_past_one_slab(store):
+    whole = as_dict(mx.all_cells(mx.build_matrix(store)), "row_idx", "col_idx", "q")
+    for rows in (7, 60):
+        assert as_dict(mx.all_cells(mx.build_matrix(store, rows)), "row_idx", "col_idx", "q") == whole
