@@ -68,6 +68,14 @@ def _luhn(value: Column) -> Column:
     return F.aggregate(parts, F.lit(0), lambda a, b: a + b) % 10 == 0
 
 
+# What any match of a kind holds, cheap to look for; most texts hold none of it.
+NEEDED = {
+    "email": lambda text: F.contains(text, F.lit("@")),
+    "ip": lambda text: F.rlike(text, F.lit(r"[0-9]\.[0-9]")),
+    "card": lambda text: F.rlike(text, F.lit("[0-9][0-9\\x20-][0-9]")),
+    "phone": lambda text: F.contains(text, F.lit("+")),
+}
+
 VALID = {
     "email": lambda span: F.lit(True),
     "ip": lambda span: span["value"].rlike(_IP),
@@ -162,8 +170,8 @@ def base_spans(text: Column) -> Column:
     """The valid spans of the four kinds, by start and then kind; kinds may overlap."""
     found = []
     for kind, pattern in PATTERNS.items():
-        spans = pattern_spans(text, F.lit(pattern), kind)
-        found.append(F.filter(spans, VALID[kind]))
+        spans = F.filter(pattern_spans(text, F.lit(pattern), kind), VALID[kind])
+        found.append(F.when(NEEDED[kind](text), spans).otherwise(F.array().cast(f"array<{SPAN}>")))
     return F.array_sort(F.concat(*found))
 
 
@@ -209,14 +217,18 @@ def co_occurrences(texts: DataFrame) -> DataFrame:
     )
 
 
+def _announces(text: Column) -> Column:
+    """Whether the text has an opaque value after a term; one has a digit, which is cheap to look for."""
+    return F.rlike(text, F.lit("[0-9]")) & F.rlike(text, F.lit(_ANNOUNCED))
+
+
 def announced_values(texts: DataFrame) -> DataFrame:
     """cue, group, n: how often a term is followed by an opaque value, for each least hash of a text's runs of words.
 
     An opaque value is a run of at least OPAQUE_LENGTH letters and digits that has both, as keys, tokens and
     account codes have; there is little but its own entropy to tell it by.
     """
-    opaque = F.rlike("text", F.lit(_ANNOUNCED))
-    pairs = F.when(opaque, F.regexp_extract_all("text", F.lit(_ANNOUNCED), 1)).otherwise(F.array().cast("array<string>"))
+    pairs = F.when(_announces(F.col("text")), F.regexp_extract_all("text", F.lit(_ANNOUNCED), 1)).otherwise(F.array().cast("array<string>"))
     held = texts.select("text", pairs.alias("cues")).where(F.size("cues") > 0)
     grouped = held.select(_group(_words(F.col("text"))).alias("group"), "cues")
     rows = grouped.select("group", F.explode("cues").alias("cue")).withColumn("cue", F.lower("cue"))
@@ -307,7 +319,7 @@ def _held_terms(texts: DataFrame, terms: DataFrame, cues: DataFrame) -> DataFram
 
         return F.transform(words, named)
 
-    chosen = worded.join(touched, keys, "left").where(F.col("__touched__") | F.rlike("text", F.lit(_ANNOUNCED)))
+    chosen = worded.join(touched, keys, "left").where(F.col("__touched__") | _announces(F.col("text")))
     placed = chosen.select(*keys, F.explode(_let(spans, place)).alias("at"))
     own = terms.select("word", F.col("term").alias("__term__"), F.col("share").alias("__share__"))
     after = cues.select(F.col("word").alias("cue"), F.col("share").alias("__cued__"))
