@@ -32,6 +32,11 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def let(value, body: Callable):
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def apart(df: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """``df`` with all but the needed columns under names that no operator uses, and what gives the names back."""
     hidden = {c: c if c in needed else f"__own_{i}__" for i, c in enumerate(df.columns)}

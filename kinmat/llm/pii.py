@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinmat.llm.frames import apart, text_or_empty
+from kinmat.llm.frames import let as _let
 from kinmat.session import settle
 
 #: Words on either side of a value that count as beside it, and the characters they are looked for in.
@@ -84,11 +85,6 @@ VALID = {
 }
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is evaluated once, however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _running(values: Column, op, zero: Column) -> Column:
     """For each entry, what ``op`` makes of all entries before it.
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmat.llm.components import components
+from kinmat.llm.frames import let
+from kinmat.operators.skew import join_grouped
 from kinmat.session import settle
 
 #: The rules of the registered query, as (verdict, host, path).
@@ -25,6 +27,9 @@ RULES = [
 ALIAS_LABELS = ("www", "m")
 TRACKING = "utm_[a-z]+|ref|fbclid|gclid"
 
+#: Rows of one host that a task joins, unless one in ten thousand of all rows is more.
+HOST_ROWS = 2_000
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,6 +67,10 @@ def resolve(link: Column, url: Column) -> Column:
     given = F.trim(F.replace(link, F.lit("&amp;"), F.lit("&")))
     scheme = F.regexp_extract(url, "^([^/?#]*)://", 1)
     folder = F.regexp_extract(path_of(url), "^(.*/)", 1)
+    return let(given, lambda given: _absolute(given, url, scheme, folder))
+
+
+def _absolute(given: Column, url: Column, scheme: Column, folder: Column) -> Column:
     return (
         F.when(given == "", None)
         .when(given.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), given)
@@ -78,8 +87,7 @@ _VALUE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 def _attribute(tag: Column, name: str) -> Column:
     pattern = rf"(?is)\s{name}{_VALUE}"
-    parts = [F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)]
-    return F.concat(*parts)
+    return let(tag, lambda tag: F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)]))
 
 
 def canonical_link(html: Column) -> Column:
@@ -109,14 +117,14 @@ def match_rules(addressed: DataFrame, rules: DataFrame) -> DataFrame:
     """Add rule and rule_verdict: of the rules that fit host and path, the longest; null where none fits.
 
     A rule fits its host and all subdomains if the path starts with its own. Each different host meets the rules of its
-    endings once; rows then pick from their host's rules, so a host with a third of all rows is a key of a join only.
+    endings once; rows then pick from their host's rules. A host with many rows is split by their paths.
     """
     labels = F.split("host", r"\.")
     endings = F.transform(
         F.sequence(F.lit(1), F.size(labels)),
         lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."),
     )
-    hosts = addressed.where("host <> ''").select("host").distinct()
+    sizes = addressed.groupBy("host").agg(F.count(F.lit(1)).alias("n_rows"))
     choices = F.sort_array(
         F.collect_list(
             F.struct(
@@ -126,18 +134,18 @@ def match_rules(addressed: DataFrame, rules: DataFrame) -> DataFrame:
         asc=False,
     )
     by_host = (
-        hosts.select("host", F.explode(endings).alias("rule_host"))
+        sizes.where("host <> ''").select("host", "n_rows", F.explode(endings).alias("rule_host"))
         .join(rules, "rule_host")
-        .groupBy("host")
+        .groupBy("host", "n_rows")
         .agg(choices.alias("choices"))
     )
     fitting = F.filter("choices", lambda c: F.startswith(F.col("path"), c["path"]))
     best = F.get(fitting, F.lit(0))
     return (
-        addressed.join(by_host, "host", "left")
+        join_grouped(addressed, settle(by_host), "host", "n_rows", "path", "left", HOST_ROWS)
         .withColumn("best", best)
         .withColumns({"rule": F.col("best.rule"), "rule_verdict": F.col("best.verdict")})
-        .drop("choices", "best")
+        .drop("choices", "best", "n_rows")
     )
 
 
