@@ -27,6 +27,7 @@ from kinmat.session import settle
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every text and the smallest doc_id reachable over fingerprints at most 2 bits apart. A null text has fingerprint zero."""
     found = settle(simhash_dedup.fingerprints(documents(spark, sf_dir), shingle=3, keep=["doc_id"]))
     return simhash_dedup.near_components(found, radius=2, segments=3).select(
         "doc_id", simhash_dedup.hex_digits("fingerprint").alias("fingerprint"), "component_id"
@@ -34,12 +35,14 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 4096 tokens. A null text is one end token."""
     return packing.pack_documents(documents(spark, sf_dir), vocabularies.path("word_bpe_49k.json"), 4096).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of the ids of every whole text, and the digest of what they decode to. A null text has none."""
     encoded = byte_bpe.encode(
         documents(spark, sf_dir),
         vocabularies.path("byte_bpe_multi_50k.tiktoken"),
@@ -53,10 +56,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts and lines whose canonical form is that of a known licence; a null text has none."""
     return licenses.scan(documents(spark, sf_dir), licenses.known_licenses(spark))
 
 
 def op5_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited form, and the near classes of the query set's. A null text is empty."""
     found = fingerprints.with_next(fingerprints.edited_fingerprints(documents(spark, sf_dir)))
     asked = F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))
     near = fingerprints.near_documents(found, asked, fingerprints.SEARCH_RADIUS)
@@ -75,6 +80,7 @@ def op5_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, fertility measures and verdict of every text. A null text has no words and fails the base rules."""
     measured = fertility.measure(
         documents(spark, sf_dir), vocabularies.path("piece_bpe_32k.model"), keep=["doc_id", "lang"]
     )
@@ -84,6 +90,7 @@ def op6_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every encoded length, how many documents have it and what it means as a context limit. A null text has length 0."""
     lengths = token_counts.encoded_lengths(
         documents(spark, sf_dir), vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN
     )
@@ -91,6 +98,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every text by a grammar learnt from the rows that are not held out. A null text is empty and is scored, too."""
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     grammar = toxicity.fit(docs, labels, toxicity.remainder() != 2)
     held_out = F.coalesce(toxicity.remainder() == 2, F.lit(False))
@@ -100,10 +108,12 @@ def op8_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page. A null url has neither host nor path and is allowed."""
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_filter.rules_table(spark))
 
 
 def op10_information_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the four kinds by pattern, their digest, and all spans of every text. A null text has none."""
     found = pii.find_spans(documents(spark, sf_dir).select("doc_id", "text"))
 
     def count(kind: str):
