@@ -10,8 +10,12 @@ unless it makes up a tenth of the smaller one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +23,10 @@ from kinmat.constants import KMER_LENGTH, PAIR_GROUP_ROWS
 from kinmat.functions.kmers import exploded, set_exists
 from kinmat.operators.kmer_runs import CLASS, joined_parts, kmer_parts
 from kinmat.operators.skew import every_salt, join_grouped, own_salt, salts_for
-from kinmat.session import settle, spread
+from kinmat.session import settle, ship_package, spread
+
+#: Entries of class lists that a task holds of one block of texts, and those that it compares at a time.
+BLOCK_ENTRIES, COMPARED_ENTRIES = 4 << 20, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -64,7 +71,8 @@ def candidates(classes: DataFrame) -> DataFrame:
     Existence needs 20 * inter > a + b. For the smaller text that is
     10 * inter > a, for the larger one 19 * inter > b. Where the most frequent
     classes up to some class weigh no more than that, a pair cannot
-    have its rarest shared class there.
+    have its rarest shared class there. Nor can it where either text has fewer k-mers up to that class than the sizes of
+    both ask for, as a pair shares nothing rarer than its rarest shared class.
     """
     tail = Window.partitionBy("id").orderBy(*[F.desc(c) for c in CLASS])
     weighed = classes.withColumn(
@@ -72,23 +80,123 @@ def candidates(classes: DataFrame) -> DataFrame:
     ).select("id", "size", *CLASS, "tail")
     salts = salts_for(F.col("df"), PAIR_GROUP_ROWS)
     small = weighed.where("10 * tail > size").select(
-        F.col("id").alias("small"), F.col("size").alias("small_size"), *CLASS,
+        F.col("id").alias("small"), F.col("size").alias("small_size"), F.col("tail").alias("small_tail"), *CLASS,
         own_salt("id", salts).alias("salt"),
     )
     large = weighed.where("19 * tail > size").select(
-        F.col("id").alias("large"), F.col("size").alias("large_size"), *CLASS,
+        F.col("id").alias("large"), F.col("size").alias("large_size"), F.col("tail").alias("large_tail"), *CLASS,
         every_salt(salts).alias("salt"),
     )
     ordered = F.struct("small_size", "small") < F.struct("large_size", "large")
     in_reach = F.col("large_size") < 19 * F.col("small_size")
+    enough = 20 * F.least("small_tail", "large_tail") > F.col("small_size") + F.col("large_size")
     return (
         small.join(large, [*CLASS, "salt"])
-        .where(ordered & in_reach)
+        .where(ordered & in_reach & enough)
         .select("small", "large", "small_size", "large_size")
         .distinct()
     )
 
 
+class _Lists:
+    """Class lists of some texts end to end, by ascending id; classes as numbers from 0 on. No list is empty."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(batches)
+        table = table.take(pc.sort_indices(table.column("small")))
+        self.ids, self.copies = table.column("small").to_numpy(), table.column("copies").to_numpy()
+        keys, weights = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("keys", "weights"))
+        sizes = pc.list_value_length(table.column("keys")).to_numpy()
+        self.ends = np.append(0, np.cumsum(sizes))
+        known, self.codes = np.unique(keys, return_inverse=True)
+        self.codes, self.weights, self.classes = self.codes.astype(np.int32), weights, len(known)
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ids, ids)
+
+    def shared(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The weight of the classes that the lists at both places have, for each pair; pairs of one ``right`` follow each other."""
+        sizes = np.diff(self.ends)[left]
+        total, sums = np.cumsum(sizes), np.zeros(len(left), dtype=np.int64)
+        weight_of = np.zeros(self.classes, dtype=np.int32)
+        cuts = np.flatnonzero(np.diff(total // COMPARED_ENTRIES, prepend=0))
+        for low, high in zip([0, *cuts], [*cuts, len(left)]):
+            if high == low:
+                continue
+            # The lists of all left ends, end to end; those that meet the same right end are looked up in it together.
+            starts = np.append(0, np.cumsum(sizes[low:high]))
+            at = np.arange(starts[-1]) + np.repeat(self.ends[left[low:high]] - starts[:-1], sizes[low:high])
+            found = self.codes[at]
+            fresh = np.flatnonzero(np.diff(right[low:high], prepend=-1))
+            for first, last in zip(fresh, [*fresh[1:], high - low]):
+                own = slice(*self.ends[right[low + first] + np.arange(2)])
+                weight_of[self.codes[own]] = self.weights[own]
+                part = slice(starts[first], starts[last])
+                found[part] = weight_of[found[part]]
+                weight_of[self.codes[own]] = 0
+            sums[low:high] = np.add.reduceat(found, starts[:-1], dtype=np.int64)
+        return sums
+
+
+_COUNTED = "small long, large long, small_size int, large_size int, small_copies long, large_copies long, inter long"
+
+
+def _count_tile(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lists of a tile come first, its pairs stream past them."""
+    held, lists = [], None
+    for batch in batches:
+        is_pair = pc.is_valid(batch.column("large"))
+        listed, pairs = batch.filter(pc.invert(is_pair)), batch.filter(is_pair)
+        if listed.num_rows:
+            held.append(listed)
+        if pairs.num_rows:
+            lists = lists or _Lists(held)
+            ends = [pairs.column(c).to_numpy() for c in ("small", "large")]
+            left, right = (lists.places(e) for e in ends)
+            sizes = [pairs.column(c) for c in ("small_size", "large_size")]
+            columns = [*ends, *sizes, lists.copies[left], lists.copies[right], lists.shared(left, right)]
+            names = ["small", "large", "small_size", "large_size", "small_copies", "large_copies", "inter"]
+            yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=names)
+
+
+def intersections(found: DataFrame, classes: DataFrame, reps: DataFrame, blocks: int | None = None) -> DataFrame:
+    """``found`` (small, large and sizes) with small_copies, large_copies and inter: the k-mers that both texts have.
+
+    Texts are dealt into blocks; the tile of two blocks gets their lists of classes (id, df, marks, weight) once and its candidate
+    pairs stream past them, so a pair travels as a row and not with the lists of its texts. Classes of two lists are
+    compared by one 64-bit hash of df and marks. ``reps`` has (id, copies); ids are unique.
+    """
+    spark = found.sparkSession
+    ship_package(spark)
+    if blocks is None:
+        by_cores = int((2 * spark.sparkContext.defaultParallelism) ** 0.5) + 1
+        blocks = max(by_cores, -(-classes.count() // BLOCK_ENTRIES))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    lists = classes.groupBy("id").agg(
+        F.collect_list(F.struct(F.xxhash64(*CLASS).alias("key"), F.col("weight").cast("int").alias("weight"))).alias("list")
+    ).join(reps, "id")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    none = lambda kind: F.lit(None).cast(kind)
+    placed = lists.select("*", block("id").alias("block"), other).select(
+        F.least("block", "other").alias("tile_row"), F.greatest("block", "other").alias("tile_col"), F.lit(0).alias("side"),
+        F.col("id").alias("small"), none("bigint").alias("large"), none("int").alias("small_size"), none("int").alias("large_size"),
+        "copies", F.col("list.key").alias("keys"), F.col("list.weight").alias("weights"),
+    )
+    ends = block("small"), block("large")
+    pairs = found.select(
+        F.least(*ends).alias("tile_row"), F.greatest(*ends).alias("tile_col"), F.lit(1).alias("side"), "small", "large", "small_size", "large_size",
+        none("bigint").alias("copies"), none("array<bigint>").alias("keys"), none("array<int>").alias("weights"),
+    )
+    tile = ("tile_row", "tile_col")
+    return (
+        placed.unionByName(pairs)
+        .repartition(blocks * (blocks + 1), *tile)
+        .sortWithinPartitions(*tile, "side", "large")
+        .groupBy(*tile)
+        .applyInArrow(_count_tile, _COUNTED)
+    )
+
+
 def kmer_neighbours(docs: DataFrame, k: int = KMER_LENGTH) -> KmerNeighbours:
     """All existing pairs of ``docs`` (id LONG, text STRING) with exact counts."""
     groups = settle(copy_groups(docs))
@@ -99,29 +207,19 @@ def kmer_neighbours(docs: DataFrame, k: int = KMER_LENGTH) -> KmerNeighbours:
     counted = parts.groupBy("id").agg(F.sum("weight").alias("size"))
     known = settle(texts.select("id").join(counted, "id", "left").select("id", F.coalesce("size", F.lit(0)).cast("int").alias("size")))
     classes = settle(run_classes(parts, known))
-    found = candidates(classes)
-    weights = classes.select("id", *CLASS, "weight")
-    counted = (
-        found.join(weights.withColumnRenamed("id", "small"), "small")
-        .join(weights.select(F.col("id").alias("large"), *CLASS), ["large", *CLASS])
-        .groupBy("small", "large", "small_size", "large_size")
-        .agg(F.sum("weight").alias("inter"))
-        .where(set_exists(F.col("inter"), F.col("small_size"), F.col("large_size")))
-    )
+    counted = intersections(candidates(classes), classes, reps).where(set_exists(F.col("inter"), F.col("small_size"), F.col("large_size")))
     flip = F.col("small") > F.col("large")
     a_first = lambda a, b: F.when(flip, F.col(b)).otherwise(F.col(a))
     union = (F.col("small_size") + F.col("large_size") - F.col("inter")).cast("double")
-    pairs = (
-        counted.select(
-            a_first("small", "large").alias("id_a"),
-            a_first("large", "small").alias("id_b"),
-            a_first("small_size", "large_size").alias("size_a"),
-            a_first("large_size", "small_size").alias("size_b"),
-            "inter",
-            (F.col("inter").cast("double") / union).alias("jaccard"),
-        )
-        .join(reps.toDF("id_a", "copies_a"), "id_a")
-        .join(reps.toDF("id_b", "copies_b"), "id_b")
+    pairs = counted.select(
+        a_first("small", "large").alias("id_a"),
+        a_first("large", "small").alias("id_b"),
+        a_first("small_size", "large_size").alias("size_a"),
+        a_first("large_size", "small_size").alias("size_b"),
+        "inter",
+        (F.col("inter").cast("double") / union).alias("jaccard"),
+        a_first("small_copies", "large_copies").alias("copies_a"),
+        a_first("large_copies", "small_copies").alias("copies_b"),
     )
     sizes = known.withColumnRenamed("id", "rep_id")
     sizes = sizes.join(reps.toDF("rep_id", "n_rows"), "rep_id")
