@@ -39,6 +39,9 @@ TABLES, TABLE_HASHES = 20, 4
 #: differs in 145 to 155 of 1024 bits on average, with a standard error of 12.
 CHECK_LONGS, SURE_RADIUS, MAYBE_RADIUS = 16, 95, 210
 
+#: The ring of the stage: the first longs of that fingerprint, its segments (21 or 22 bits) and the radius of its chains.
+RING_LONGS, RING_SEGMENTS, RING_RADIUS = 6, 18, 48
+
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -176,10 +179,8 @@ def _tied(node: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return node[tied], node[root[tied]]
 
 
-def _comparer(
-    masks: list[tuple[int, int, int]], radius: int, check_radius: int | None
-) -> Callable[[pa.Table], pa.Table]:
-    """Compares the members of each bucket or pair of blocks; gives links that span what it finds."""
+def _chains(masks: list[tuple[int, int, int]], radius: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A test of pairs, given as differing bits, for the chain of segments from a given one."""
     segments = len(masks)
     index = np.array([j for j, _, _ in masks])
     mask = np.array([((1 << width) - 1) << low for _, low, width in masks], dtype=np.uint64)
@@ -197,6 +198,15 @@ def _comparer(
                 break
         return at
 
+    return close
+
+
+def _comparer(
+    masks: list[tuple[int, int, int]], radius: int, check_radius: int | None
+) -> Callable[[pa.Table], pa.Table]:
+    """Compares the members of each bucket or pair of blocks; gives links that span what it finds."""
+    close = _chains(masks, radius)
+
     def compare(table: pa.Table) -> pa.Table:
         table = _in_order(table)
         segment = table.column("segment").to_numpy()
@@ -334,9 +344,17 @@ def _stage_comparer(table: pa.Table) -> pa.Table:
     table = _in_order(table)
     bits, node = _matrix(table, "bits"), table.column("node").to_numpy()
 
+    segment = table.column("segment").to_numpy()
+    close = _chains(segment_masks(RING_LONGS, RING_SEGMENTS), RING_RADIUS)
+
     def within(radius: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
         def accept(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            return np.flatnonzero(np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1) <= radius)
+            # Members of a segment of the ring go along its chain first; those of a table have no chain.
+            ring = segment[i] < RING_SEGMENTS
+            at, chained = np.flatnonzero(~ring), np.flatnonzero(ring)
+            if chained.size:
+                at = np.sort(np.append(at, chained[close(bits[i[chained]] ^ bits[j[chained]], segment[i[chained]])]))
+            return at[np.bitwise_count(bits[i[at]] ^ bits[j[at]]).sum(axis=1) <= radius]
 
         return accept
 
@@ -406,14 +424,17 @@ def undecided(members: DataFrame, ties: DataFrame) -> DataFrame:
 def near_copy_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) that connect all nodes whose texts' shingles are alike by 0.8 or more, as far as a table has both.
 
-    ``nodes`` has node, table_keys and bits and ``texts`` node and text, once each. Within a bucket, pairs in the sure radius are
+    ``nodes`` has node, table_keys and bits and ``texts`` node and text, once each. Candidates are those that the ring of segments
+    finds, pruned along its chains, and, as it loses copies with much text appended, those with an equal key of a table. Within a bucket, pairs in the sure radius are
     linked. Of those that only may be alike there, and are not connected for sure already, members are compared by their
     sets of shingles, in pairs of blocks; texts that meet in no bucket are never compared, however they hang together. So
     only links that span groups are written, and the sets of few texts. No nodes give no links.
     """
     spark = nodes.sparkSession
     ship_package(spark)
-    keys = nodes.select("node", F.posexplode("table_keys").alias("segment", "value"))
+    ring = _segment_values("bits", segment_masks(RING_LONGS, RING_SEGMENTS))
+    tables = F.transform("table_keys", lambda x, i: F.struct((i + RING_SEGMENTS).alias("segment"), x.alias("value")))
+    keys = nodes.select("node", F.explode(F.concat(ring, tables)).alias("key")).select("node", "key.*")
     members = _members(keys, nodes.select("node", "bits"), BLOCK_ROWS)
     found = settle(members.groupBy("batch").applyInArrow(_stage_comparer, "a long, b long, family long"))
     sure = found.where("family IS NULL").select("a", "b")
@@ -433,8 +454,8 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The documents with one of each group of near copies: the one with the smallest doc_id.
 
     Texts whose shingles of five words are alike by 0.8 or more are near copies; a group is what is
-    reachable over near copies. Candidates share the key of one of twenty tables, made of least hashes of shingles, whatever
-    was edited or appended. Pairs within the sure radius of the fingerprint of their shingles are alike, others are compared
+    reachable over near copies. Candidates come from the ring of segments of their fingerprints, and besides it from twenty tables
+    whose keys are made of least hashes of shingles, for copies with much text appended. Pairs within the sure radius of the fingerprint of their shingles are alike, others are compared
     by their shingles (``near_copy_links``). Equal texts (by two hashes of 64 bits) are one class
     throughout. Columns stay. Of repeated rows one stays; null and empty texts are copies of each other; a null doc_id comes
     last. An empty table gives no rows.

@@ -206,3 +206,17 @@ def test_sums_of_weights_do_not_overflow():
     from kinmat.llm import fertility
 
     assert fertility.GROUP_WEIGHT * 10**12 < 2**63
+
+
+def test_the_stage_gets_candidates_from_the_ring(spark):
+    rng = random.Random(11)
+    words = ["w%d" % rng.randrange(10**6) for _ in range(900)]
+    edited = words[:]
+    edited[450] = "other"
+    rows = [(0, " ".join(words)), (1, " ".join(edited)), (2, " ".join("v%d" % rng.randrange(10**6) for _ in range(900)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = simhash_dedup.wide_fingerprints(docs, keep=["doc_id", "text"]).collect()
+    # Keys of tables that no two texts share: what is found comes from segments and their chains.
+    nodes = spark.createDataFrame([(r.doc_id, [100 * r.doc_id + i for i in range(20)], r.bits) for r in prints], "node long, table_keys array<long>, bits array<long>")
+    links = simhash_dedup.near_copy_links(nodes, docs.withColumnRenamed("doc_id", "node")).collect()
+    assert {tuple(sorted((r.a, r.b))) for r in links} == {(0, 1)}
