@@ -164,7 +164,7 @@ def intersections(found: DataFrame, classes: DataFrame, reps: DataFrame, blocks:
 
     Texts are dealt into blocks; the tile of two blocks gets their lists of classes (id, df, marks, weight) once and its candidate
     pairs stream past them, so a pair travels as a row and not with the lists of its texts. Classes of two lists are
-    compared by one 64-bit hash of df and marks. ``reps`` has (id, copies); ids are unique.
+    compared by one 64-bit hash of df and marks. ``reps`` has (id, copies); rows of one id count once.
     """
     spark = found.sparkSession
     ship_package(spark)
@@ -173,8 +173,8 @@ def intersections(found: DataFrame, classes: DataFrame, reps: DataFrame, blocks:
         blocks = max(by_cores, -(-classes.count() // BLOCK_ENTRIES))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     lists = classes.groupBy("id").agg(
-        F.collect_list(F.struct(F.xxhash64(*CLASS).alias("key"), F.col("weight").cast("int").alias("weight"))).alias("list")
-    ).join(reps, "id")
+        F.collect_set(F.struct(F.xxhash64(*CLASS).alias("key"), F.col("weight").cast("int").alias("weight"))).alias("list")
+    ).join(reps.dropDuplicates(["id"]), "id")
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
     none = lambda kind: F.lit(None).cast(kind)
     placed = lists.select("*", block("id").alias("block"), other).select(
