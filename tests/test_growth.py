@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kinmat.functions.kmers import kmer_set, md5_words, sketch_vectors
 from kinmat.operators import allpairs, kmer_pairs
 from kinmat.operators import matrix as mx
+from kinmat.session import settle
 from kinmat.sources.vectors import store_from_vectors
 
 
@@ -36,6 +37,19 @@ def test_kept_rows_have_all_their_cells(store):
             mx.row_facts(part)
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_of_kept_rows_are_not_shuffled_to_be_named_and_ranked(store):
+    # Two sort-merge joins of all cells, and one of all decoded rows in the ranking, before.
+    kept = mx.keep_matrix(mx.build_matrix(store), store.ids.where("idx % 10 = 0"))
+    decoded = mx.decoded_rows(kept)
+    assert "hashpartitioning" not in plan(decoded) and "SortMergeJoin" not in plan(decoded)
+    assert "SortMergeJoin" not in plan(mx.slice_cells(kept, kept.rows, store.ids.where("idx % 7 = 0")))
+    assert "SortMergeJoin" not in plan(mx.top_neighbours(settle(decoded), 3))
+
+
 def test_facts_are_the_same_from_tiles_and_from_cells(store):
     for block_rows in (None, 9):
         same(mx.row_facts(mx.build_matrix(store, block_rows)), mx.row_facts(mx.keep_matrix(mx.build_matrix(store))))
