@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kinmat.functions.kmers import kmer_set, md5_words, sketch_vectors
 from kinmat.operators import allpairs, kmer_pairs
 from kinmat.operators import matrix as mx
+from kinmat.registered import queries
 from kinmat.session import settle
 from kinmat.sources.vectors import store_from_vectors
 
@@ -50,6 +51,16 @@ def test_cells_of_kept_rows_are_not_shuffled_to_be_named_and_ranked(store):
     assert "SortMergeJoin" not in plan(mx.top_neighbours(settle(decoded), 3))
 
 
+def test_faulty_runs_are_made_as_they_are_asked_for(spark, monkeypatch):
+    made, faulty = [], queries._faulty
+    monkeypatch.setattr(queries, "_faulty", lambda *args: made.append(args[-1]) or faulty(*args))
+    folder = "/root/testdata/sf0.001"
+    matrix, a = queries._faulty_runs(spark, folder)
+    assert made == [0] and a.count() > 0
+    # An added cell stands beside the decoded ones only where they have none.
+    assert a.groupBy("row_acc", "id").count().where("count > 1").isEmpty()
+
+
 def test_facts_are_the_same_from_tiles_and_from_cells(store):
     for block_rows in (None, 9):
         same(mx.row_facts(mx.build_matrix(store, block_rows)), mx.row_facts(mx.keep_matrix(mx.build_matrix(store))))
