@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kinmat.functions.kmers import kmer_set, md5_words, sketch_vectors
 from kinmat.operators import allpairs, kmer_pairs
 from kinmat.operators import matrix as mx
+from kinmat.plans import stages
 from kinmat.registered import queries
 from kinmat.session import settle
 from kinmat.sources.vectors import store_from_vectors
@@ -51,6 +52,15 @@ def test_cells_of_kept_rows_are_not_shuffled_to_be_named_and_ranked(store):
     assert "SortMergeJoin" not in plan(mx.top_neighbours(settle(decoded), 3))
 
 
+def test_a_subset_check_keeps_the_rows_of_a_run_once(store, monkeypatch):
+    kept = []
+    monkeypatch.setattr(mx, "touching", lambda *args: kept.append(args) or allpairs.touching(*args))
+    matrix, rows = mx.build_matrix(store), store.ids.where("idx in (7, 95, 102)")
+    report = stages.check_subset(store, matrix, matrix, rows=rows)
+    # Three times before: per run, and for the edge rows among the same rows.
+    assert len(kept) == 1 and report.mismatches.isEmpty()
+
+
 def test_faulty_runs_are_made_as_they_are_asked_for(spark, monkeypatch):
     made, faulty = [], queries._faulty
     monkeypatch.setattr(queries, "_faulty", lambda *args: made.append(args[-1]) or faulty(*args))
