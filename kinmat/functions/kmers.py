@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmat.constants import EXIST_FRACTION, KMER_LENGTH
+from kinmat.constants import KMER_LENGTH
 from kinmat.session import settle, ship_package
 
 BITS_PER_BLOCK = 64
@@ -57,11 +57,6 @@ def set_jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(shared / F.nullif(union, F.lit(0)))
 
 
-def set_exists(inter: Column, size_a: Column, size_b: Column) -> Column:
-    """The existence rule of the matrix applied to exact counts."""
-    return inter.cast("double") > F.lit(EXIST_FRACTION) * (size_a + size_b).cast("double")
-
-
 def _round(words: list[np.ndarray | None], n: int) -> np.ndarray:
     """MD5 of n messages of one round each, given as sixteen columns of words (None: all zero); four columns."""
     a, b, c, d = (np.full(n, x, dtype=np.uint32) for x in _FIRST)

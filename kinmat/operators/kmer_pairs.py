@@ -16,26 +16,30 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmat.constants import KMER_LENGTH, PAIR_GROUP_ROWS
-from kinmat.functions.kmers import exploded, set_exists
+from kinmat.constants import EXIST_FRACTION, KMER_LENGTH, PAIR_GROUP_ROWS
+from kinmat.functions.kmers import exploded
 from kinmat.operators.kmer_runs import CLASS, joined_parts, kmer_parts
-from kinmat.operators.skew import every_salt, join_grouped, own_salt, salts_for
+from kinmat.operators.skew import join_grouped
 from kinmat.session import settle, ship_package, spread
 
-#: Entries of class lists that a task holds of one block of texts, and those that it compares at a time.
+#: Entries of class lists that a task holds of one block of texts, and those that it compares at a time; pairs formed at a
+#: time are a quarter of the square of PAIR_GROUP_ROWS.
 BLOCK_ENTRIES, COMPARED_ENTRIES = 4 << 20, 1 << 20
 
 
 @dataclass(frozen=True)
 class KmerNeighbours:
     """``pairs`` (id_a < id_b, size_a, size_b, copies_a, copies_b, inter, jaccard)
-    between representatives; ``members`` (id, rep_id, copies, size) of all texts."""
+    between representatives; ``members`` (id, rep_id, copies, size) of all texts;
+    ``links`` (rep_id, n_rows, n): texts that a representative is linked to, in parts that add up, ``n_rows`` its copies.
+    Pairs and links are computed when read, links without a pair being kept."""
 
     pairs: DataFrame
     members: DataFrame
+    links: DataFrame
 
 
 def copy_groups(docs: DataFrame) -> DataFrame:
@@ -65,61 +69,71 @@ def run_classes(parts: DataFrame, sizes: DataFrame) -> DataFrame:
     return shared.join(sizes, "id").select("id", "size", *CLASS, "weight")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs (small, large) that share a class in the prefix of both.
-
-    Existence needs 20 * inter > a + b. For the smaller text that is
-    10 * inter > a, for the larger one 19 * inter > b. Where the most frequent
-    classes up to some class weigh no more than that, a pair cannot
-    have its rarest shared class there. Nor can it where either text has fewer k-mers up to that class than the sizes of
-    both ask for, as a pair shares nothing rarer than its rarest shared class.
-    """
-    tail = Window.partitionBy("id").orderBy(*[F.desc(c) for c in CLASS])
-    weighed = classes.withColumn(
-        "tail", F.sum("weight").over(tail.rowsBetween(Window.unboundedPreceding, 0))
-    ).select("id", "size", *CLASS, "tail")
-    salts = salts_for(F.col("df"), PAIR_GROUP_ROWS)
-    small = weighed.where("10 * tail > size").select(
-        F.col("id").alias("small"), F.col("size").alias("small_size"), F.col("tail").alias("small_tail"), *CLASS,
-        own_salt("id", salts).alias("salt"),
-    )
-    large = weighed.where("19 * tail > size").select(
-        F.col("id").alias("large"), F.col("size").alias("large_size"), F.col("tail").alias("large_tail"), *CLASS,
-        every_salt(salts).alias("salt"),
-    )
-    ordered = F.struct("small_size", "small") < F.struct("large_size", "large")
-    in_reach = F.col("large_size") < 19 * F.col("small_size")
-    enough = 20 * F.least("small_tail", "large_tail") > F.col("small_size") + F.col("large_size")
-    return (
-        small.join(large, [*CLASS, "salt"])
-        .where(ordered & in_reach & enough)
-        .select("small", "large", "small_size", "large_size")
-        .distinct()
-    )
-
-
 class _Lists:
-    """Class lists of some texts end to end, by ascending id; classes as numbers from 0 on. No list is empty."""
+    """Class lists of the texts of a tile end to end, by side and ascending id; classes as numbers from 0 on. No list is empty."""
 
-    def __init__(self, batches: list[pa.RecordBatch]):
+    def __init__(self, batches: list[pa.RecordBatch], formed: int, compared: int):
         table = pa.Table.from_batches(batches)
-        table = table.take(pc.sort_indices(table.column("small")))
-        self.ids, self.copies = table.column("small").to_numpy(), table.column("copies").to_numpy()
+        table = table.take(pc.sort_indices(table, [("side", "ascending"), ("id", "ascending")]))
+        self.formed, self.compared = formed, compared
+        self.ids, self.copies, self.sizes, side = (table.column(c).to_numpy() for c in ("id", "copies", "size", "side"))
+        self.first = np.searchsorted(side, [0, 1, 2])
         keys, weights = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("keys", "weights"))
-        sizes = pc.list_value_length(table.column("keys")).to_numpy()
-        self.ends = np.append(0, np.cumsum(sizes))
+        entries = pc.list_value_length(table.column("keys")).to_numpy()
+        self.ends = np.append(0, np.cumsum(entries))
         known, self.codes = np.unique(keys, return_inverse=True)
         self.codes, self.weights, self.classes = self.codes.astype(np.int32), weights, len(known)
-
-    def places(self, ids: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.ids, ids)
+        self.owner = np.repeat(np.arange(len(self.ids)), entries)
+        up_to = np.append(0, np.cumsum(weights, dtype=np.int64))
+        #: What a text has of its most frequent classes up to this one.
+        self.tail = up_to[1:] - up_to[self.ends[:-1]][self.owner]
+
+    def _prefix(self, side: int, factor: int) -> np.ndarray:
+        """Entries of a side at which a text has more than 1 / factor of its k-mers in more frequent classes and this one."""
+        own = slice(*self.ends[self.first[side : side + 2]])
+        return own.start + np.flatnonzero(factor * self.tail[own] > self.sizes[self.owner[own]])
+
+    def candidates(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of the smaller and the larger text of candidate pairs, each pair once; pairs of one larger text follow each other."""
+        both = self.first[1] < self.first[2]
+        for small, large in ((0, 1), (1, 0)) if both else ((0, 0),):
+            posted = self._prefix(small, 10)
+            posted = posted[np.argsort(self.codes[posted], kind="stable")]
+            number = np.bincount(self.codes[posted], minlength=self.classes)
+            begin = np.cumsum(number) - number
+            entries = self._prefix(large, 19)
+            entries = entries[number[self.codes[entries]] > 0]
+            yield from self._met(entries, posted, number[self.codes[entries]], begin[self.codes[entries]])
+
+    def _met(self, entries: np.ndarray, posted: np.ndarray, number: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of each entry's text with those posted for its class, as many at a time as may be formed."""
+        texts, rest = len(self.ids), np.zeros(0, dtype=np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(number) // self.formed, prepend=0))
+        for low, high in zip([0, *cuts], [*cuts, len(entries)]):
+            if high == low:
+                continue
+            n = number[low:high]
+            starts = np.cumsum(n) - n
+            other = posted[np.arange(n.sum()) + np.repeat(begin[low:high] - starts, n)]
+            entry = np.repeat(entries[low:high], n)
+            left, right = self.owner[other], self.owner[entry]
+            small, large = self.sizes[left].astype(np.int64), self.sizes[right].astype(np.int64)
+            ordered = (small < large) | ((small == large) & (self.ids[left] < self.ids[right]))
+            enough = 20 * np.minimum(self.tail[other], self.tail[entry]) > small + large
+            keep = ordered & (large < 19 * small) & enough
+            found = np.unique(np.append(rest, right[keep] * texts + left[keep]))
+            # The classes of the last text may go on in the next round.
+            done = np.searchsorted(found, self.owner[entries[high - 1]] * texts) if high < len(entries) else len(found)
+            found, rest = found[:done], found[done:]
+            if len(found):
+                yield found % texts, found // texts
 
     def shared(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The weight of the classes that the lists at both places have, for each pair; pairs of one ``right`` follow each other."""
         sizes = np.diff(self.ends)[left]
         total, sums = np.cumsum(sizes), np.zeros(len(left), dtype=np.int64)
         weight_of = np.zeros(self.classes, dtype=np.int32)
-        cuts = np.flatnonzero(np.diff(total // COMPARED_ENTRIES, prepend=0))
+        cuts = np.flatnonzero(np.diff(total // self.compared, prepend=0))
         for low, high in zip([0, *cuts], [*cuts, len(left)]):
             if high == low:
                 continue
@@ -137,64 +151,103 @@ class _Lists:
             sums[low:high] = np.add.reduceat(found, starts[:-1], dtype=np.int64)
         return sums
 
+    def existing(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places of both texts and the k-mers that both have, of pairs that exist."""
+        for left, right in self.candidates():
+            inter = self.shared(left, right)
+            total = self.sizes[left].astype(np.int64) + self.sizes[right]
+            exists = inter.astype(np.float64) > EXIST_FRACTION * total.astype(np.float64)
+            yield left[exists], right[exists], inter[exists]
+
+
+def _batch(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+
+
+class _Candidates:
+    """Every candidate pair of a tile as a row."""
+
+    schema = "small long, large long, small_size int, large_size int"
 
-_COUNTED = "small long, large long, small_size int, large_size int, small_copies long, large_copies long, inter long"
+    @staticmethod
+    def of(lists: _Lists) -> Iterator[pa.RecordBatch]:
+        for left, right in lists.candidates():
+            yield _batch(small=lists.ids[left], large=lists.ids[right], small_size=lists.sizes[left], large_size=lists.sizes[right])
 
 
-def _count_tile(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lists of a tile come first, its pairs stream past them."""
-    held, lists = [], None
-    for batch in batches:
-        is_pair = pc.is_valid(batch.column("large"))
-        listed, pairs = batch.filter(pc.invert(is_pair)), batch.filter(is_pair)
-        if listed.num_rows:
-            held.append(listed)
-        if pairs.num_rows:
-            lists = lists or _Lists(held)
-            ends = [pairs.column(c).to_numpy() for c in ("small", "large")]
-            left, right = (lists.places(e) for e in ends)
-            sizes = [pairs.column(c) for c in ("small_size", "large_size")]
-            columns = [*ends, *sizes, lists.copies[left], lists.copies[right], lists.shared(left, right)]
-            names = ["small", "large", "small_size", "large_size", "small_copies", "large_copies", "inter"]
-            yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=names)
+class _Pairs:
+    """Every existing pair of a tile as a row."""
 
+    schema = f"{_Candidates.schema}, small_copies long, large_copies long, inter long"
 
-def intersections(found: DataFrame, classes: DataFrame, reps: DataFrame, blocks: int | None = None) -> DataFrame:
-    """``found`` (small, large and sizes) with small_copies, large_copies and inter: the k-mers that both texts have.
+    @staticmethod
+    def of(lists: _Lists) -> Iterator[pa.RecordBatch]:
+        for left, right, inter in lists.existing():
+            yield _batch(
+                small=lists.ids[left], large=lists.ids[right], small_size=lists.sizes[left], large_size=lists.sizes[right],
+                small_copies=lists.copies[left], large_copies=lists.copies[right], inter=inter,
+            )
 
-    Texts are dealt into blocks; the tile of two blocks gets their lists of classes (id, df, marks, weight) once and its candidate
-    pairs stream past them, so a pair travels as a row and not with the lists of its texts. Classes of two lists are
-    compared by one 64-bit hash of df and marks. ``reps`` has (id, copies); rows of one id count once.
+
+class _Links:
+    """How many texts each text of a tile is linked to there; no pair leaves the task."""
+
+    schema = "rep_id long, n_rows long, n long"
+
+    @staticmethod
+    def of(lists: _Lists) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(lists.ids), dtype=np.int64)
+        for left, right, _ in lists.existing():
+            for own, other in ((left, right), (right, left)):
+                # Whole numbers below 2 ** 53 are exact.
+                sums += np.bincount(own, lists.copies[other], len(sums)).astype(np.int64)
+        linked = np.flatnonzero(sums)
+        yield _batch(rep_id=lists.ids[linked], n_rows=lists.copies[linked], n=sums[linked])
+
+
+def _in_tiles(classes: DataFrame, reps: DataFrame | None, result: type[_Candidates] | type[_Pairs] | type[_Links]) -> DataFrame:
+    """What the tiles of any two blocks of texts give, from the texts' classes (id, size, df, marks, weight) and copies (id, copies).
+
+    Texts are dealt into blocks; the tile of two blocks gets their class lists once, and pairs are formed and counted in
+    it. So class lists are all that is shuffled, once for each block, and no candidate. Classes of two lists are compared by
+    one 64-bit hash of df and marks. Rows of one id count once.
     """
-    spark = found.sparkSession
+    spark = classes.sparkSession
     ship_package(spark)
-    if blocks is None:
-        by_cores = int((2 * spark.sparkContext.defaultParallelism) ** 0.5) + 1
-        blocks = max(by_cores, -(-classes.count() // BLOCK_ENTRIES))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    lists = classes.groupBy("id").agg(
-        F.collect_set(F.struct(F.xxhash64(*CLASS).alias("key"), F.col("weight").cast("int").alias("weight"))).alias("list")
-    ).join(reps.dropDuplicates(["id"]), "id")
+    by_cores = int((2 * spark.sparkContext.defaultParallelism) ** 0.5) + 1
+    blocks = max(by_cores, -(-classes.count() // BLOCK_ENTRIES))
+    formed, compared = max(1, PAIR_GROUP_ROWS**2 // 4), COMPARED_ENTRIES
+    # The most frequent class comes first, in the same order for every text.
+    entry = F.struct("df", F.xxhash64(*CLASS).alias("key"), F.col("weight").cast("int").alias("weight"))
+    lists = classes.groupBy("id").agg(F.max("size").cast("int").alias("size"), F.sort_array(F.collect_set(entry), asc=False).alias("list"))
+    if reps is None:
+        lists = lists.withColumn("copies", F.lit(1).cast("bigint"))
+    else:
+        lists = lists.join(reps.dropDuplicates(["id"]), "id")
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
-    none = lambda kind: F.lit(None).cast(kind)
-    placed = lists.select("*", block("id").alias("block"), other).select(
-        F.least("block", "other").alias("tile_row"), F.greatest("block", "other").alias("tile_col"), F.lit(0).alias("side"),
-        F.col("id").alias("small"), none("bigint").alias("large"), none("int").alias("small_size"), none("int").alias("large_size"),
-        "copies", F.col("list.key").alias("keys"), F.col("list.weight").alias("weights"),
-    )
-    ends = block("small"), block("large")
-    pairs = found.select(
-        F.least(*ends).alias("tile_row"), F.greatest(*ends).alias("tile_col"), F.lit(1).alias("side"), "small", "large", "small_size", "large_size",
-        none("bigint").alias("copies"), none("array<bigint>").alias("keys"), none("array<int>").alias("weights"),
+    placed = lists.select("*", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), other).select(
+        F.least("block", "other").alias("tile_row"), F.greatest("block", "other").alias("tile_col"),
+        (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "size", "copies",
+        F.col("list.key").alias("keys"), F.col("list.weight").alias("weights"),
     )
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from result.of(_Lists(list(batches), formed, compared))
+
     tile = ("tile_row", "tile_col")
-    return (
-        placed.unionByName(pairs)
-        .repartition(blocks * (blocks + 1), *tile)
-        .sortWithinPartitions(*tile, "side", "large")
-        .groupBy(*tile)
-        .applyInArrow(_count_tile, _COUNTED)
-    )
+    return placed.repartition(blocks * (blocks + 1), *tile).groupBy(*tile).applyInArrow(run, result.schema)
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """Pairs (small, large, small_size, large_size) that share a class in the prefix of both.
+
+    Existence needs 20 * inter > a + b. For the smaller text that is
+    10 * inter > a, for the larger one 19 * inter > b. Where the most frequent
+    classes up to some class weigh no more than that, a pair cannot
+    have its rarest shared class there. Nor can it where either text has fewer k-mers up to that class than the sizes of
+    both ask for, as a pair shares nothing rarer than its rarest shared class.
+    """
+    return _in_tiles(classes, None, _Candidates)
 
 
 def kmer_neighbours(docs: DataFrame, k: int = KMER_LENGTH) -> KmerNeighbours:
@@ -207,7 +260,7 @@ def kmer_neighbours(docs: DataFrame, k: int = KMER_LENGTH) -> KmerNeighbours:
     counted = parts.groupBy("id").agg(F.sum("weight").alias("size"))
     known = settle(texts.select("id").join(counted, "id", "left").select("id", F.coalesce("size", F.lit(0)).cast("int").alias("size")))
     classes = settle(run_classes(parts, known))
-    counted = intersections(candidates(classes), classes, reps).where(set_exists(F.col("inter"), F.col("small_size"), F.col("large_size")))
+    counted = _in_tiles(classes, reps, _Pairs)
     flip = F.col("small") > F.col("large")
     a_first = lambda a, b: F.when(flip, F.col(b)).otherwise(F.col(a))
     union = (F.col("small_size") + F.col("large_size") - F.col("inter")).cast("double")
@@ -224,16 +277,12 @@ def kmer_neighbours(docs: DataFrame, k: int = KMER_LENGTH) -> KmerNeighbours:
     sizes = known.withColumnRenamed("id", "rep_id")
     sizes = sizes.join(reps.toDF("rep_id", "n_rows"), "rep_id")
     members = join_grouped(groups, sizes, "rep_id", "n_rows", "id").select("id", "rep_id", "copies", "size")
-    return KmerNeighbours(settle(pairs), members)
+    return KmerNeighbours(pairs, members, _in_tiles(classes, reps, _Links))
 
 
 def degrees(found: KmerNeighbours) -> DataFrame:
-    """(id, degree) of every text, copies counted but never paired up."""
-    pairs = found.pairs
-    ends = pairs.select("id_a", "copies_a", "copies_b").unionAll(
-        pairs.select("id_b", "copies_b", "copies_a")
-    )
-    others = ends.toDF("rep_id", "n_rows", "n").groupBy("rep_id", "n_rows").agg(F.sum("n").alias("others"))
+    """(id, degree) of every text, copies counted but never paired up. Pairs are summed in tiles and not written out."""
+    others = settle(found.links.groupBy("rep_id", "n_rows").agg(F.sum("n").alias("others")))
     own = F.when(F.col("size") > 0, F.col("copies") - 1).otherwise(0)
     return join_grouped(found.members, others, "rep_id", "n_rows", "id", "left").select(
         "id", (F.coalesce("others", F.lit(0)) + own).alias("degree")

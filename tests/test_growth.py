@@ -112,6 +112,27 @@ def test_candidates_that_cannot_reach_the_threshold_are_left_out(spark):
     assert kmer_pairs.candidates(kmer_pairs.shared_classes(sets)).count() == 0
 
 
+def test_links_are_summed_in_tiles_without_keeping_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    body = "".join(rng.choice(list("abcdefgh "), 300))
+    texts = [body + "".join(rng.choice(list("ijklmnop"), 25)) for _ in range(40)] + [body + " x"] * 3 + ["short"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    kept = []
+
+    def counted(df):
+        table = settle(df)
+        kept.append(table.count())
+        return table
+
+    settle = kmer_pairs.settle
+    monkeypatch.setattr(kmer_pairs, "settle", counted)
+    monkeypatch.setattr(kmer_pairs, "PAIR_GROUP_ROWS", 7)
+    degree = {r.id: r.degree for r in kmer_pairs.degrees(kmer_pairs.kmer_neighbours(docs)).collect()}
+    assert degree == {i: 42 for i in range(43)} | {43: 0}
+    # 820 pairs of different texts exist.
+    assert max(kept) < 300
+
+
 def test_digests_side_by_side():
     import hashlib
 
