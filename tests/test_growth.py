@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinmat.functions.kmers import kmer_set, md5_words, sketch_vectors
-from kinmat.operators import allpairs, kmer_pairs
+from kinmat.operators import allpairs, kmer_pairs, scoring
 from kinmat.operators import matrix as mx
 from kinmat.plans import stages
 from kinmat.registered import queries
@@ -83,6 +83,22 @@ def test_the_work_of_a_tile_is_bounded():
     assert (10**8 / allpairs.block_rows_for(10**8, 64, 12)) ** 2 / 2 <= allpairs._MAX_TASKS
 
 
+def test_many_queries_are_dealt_to_all_cores_in_bounded_work(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = [(i, str(i), [int(x) for x in rng.integers(-3, 9, 8)]) for i in range(600)]
+    store = store_from_vectors(spark.createDataFrame(rows, "idx long, acc string, v array<int>"), 8)
+    # Eight splits, all rows in one of them: one task compared everything before.
+    uneven = store.restrict(store.vectors.repartition(8, F.lit(1)))
+    queries = uneven.vectors.where("idx % 2 = 0")
+    found = scoring.full_rows(queries, uneven)
+    assert found.select(F.spark_partition_id()).distinct().count() == 8
+    same(found, scoring.full_rows(queries, store, max_broadcast_bytes=1024))
+    monkeypatch.setattr(scoring, "_TASK_PAIRS", 10_000)
+    assert scoring.full_rows(queries, uneven).rdd.getNumPartitions() == 24
+    # A few queries leave the store in its splits.
+    assert "Exchange" not in plan(scoring.full_rows(store.vectors.where("idx < 5"), store).select("row_idx"))
+
+
 def test_candidate_pairs_are_counted_by_tiles(spark, monkeypatch):
     rng = np.random.default_rng(5)
     passage = "".join(rng.choice(list("abcdefgh "), 90))
