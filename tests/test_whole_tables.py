@@ -14,9 +14,11 @@ N = 45
 #: Queries of all rows.
 WHOLE = (
     "sorted_lists",
+    "topk_check_status",
 )
 #: Those that are run here, and the column that names the row of a result, where each has some.
 RUN = {
+    "topk_check_status": "accession",
 }
 #: Those that are run in parts.
 PARTS = ["sorted_lists"]
