@@ -16,6 +16,7 @@ WHOLE = (
     "sorted_lists",
     "topk_check_status",
     "topk_check_summary",
+    "compare_rows_mismatches",
 )
 #: Those that are run here, and the column that names the row of a result, where each has some.
 RUN = {
