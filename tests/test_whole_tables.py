@@ -17,10 +17,12 @@ WHOLE = (
     "topk_check_status",
     "topk_check_summary",
     "compare_rows_mismatches",
+    "diff_runs_mismatches",
 )
 #: Those that are run here, and the column that names the row of a result, where each has some.
 RUN = {
     "topk_check_status": "accession",
+    "diff_runs_mismatches": None,
 }
 #: Those that are run in parts.
 PARTS = ["sorted_lists"]
