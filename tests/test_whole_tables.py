@@ -18,6 +18,7 @@ WHOLE = (
     "topk_check_summary",
     "compare_rows_mismatches",
     "diff_runs_mismatches",
+    "faulty_rows_mismatches",
 )
 #: Those that are run here, and the column that names the row of a result, where each has some.
 RUN = {
