@@ -19,11 +19,13 @@ WHOLE = (
     "compare_rows_mismatches",
     "diff_runs_mismatches",
     "faulty_rows_mismatches",
+    "faulty_self_status",
 )
 #: Those that are run here, and the column that names the row of a result, where each has some.
 RUN = {
     "topk_check_status": "accession",
     "diff_runs_mismatches": None,
+    "faulty_self_status": "accession",
 }
 #: Those that are run in parts.
 PARTS = ["sorted_lists"]
