@@ -20,6 +20,7 @@ WHOLE = (
     "diff_runs_mismatches",
     "faulty_rows_mismatches",
     "faulty_self_status",
+    "faulty_topk_status",
 )
 #: Those that are run here, and the column that names the row of a result, where each has some.
 RUN = {
