@@ -21,12 +21,14 @@ WHOLE = (
     "faulty_rows_mismatches",
     "faulty_self_status",
     "faulty_topk_status",
+    "full_rows_all",
 )
 #: Those that are run here, and the column that names the row of a result, where each has some.
 RUN = {
     "topk_check_status": "accession",
     "diff_runs_mismatches": None,
     "faulty_self_status": "accession",
+    "full_rows_all": "row_idx",
 }
 #: Those that are run in parts.
 PARTS = ["sorted_lists"]
