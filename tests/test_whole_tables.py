@@ -22,6 +22,7 @@ WHOLE = (
     "faulty_self_status",
     "faulty_topk_status",
     "full_rows_all",
+    "neighbour_records",
 )
 #: Those that are run here, and the column that names the row of a result, where each has some.
 RUN = {
