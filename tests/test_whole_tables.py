@@ -23,6 +23,7 @@ WHOLE = (
     "faulty_topk_status",
     "full_rows_all",
     "neighbour_records",
+    "neighbours_rows",
 )
 #: Those that are run here, and the column that names the row of a result, where each has some.
 RUN = {
@@ -30,6 +31,7 @@ RUN = {
     "diff_runs_mismatches": None,
     "faulty_self_status": "accession",
     "full_rows_all": "row_idx",
+    "neighbours_rows": "row_acc",
 }
 #: Those that are run in parts.
 PARTS = ["sorted_lists"]
