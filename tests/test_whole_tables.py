@@ -24,6 +24,7 @@ WHOLE = (
     "full_rows_all",
     "neighbour_records",
     "neighbours_rows",
+    "neighbours_targets",
 )
 #: Those that are run here, and the column that names the row of a result, where each has some.
 RUN = {
@@ -32,6 +33,7 @@ RUN = {
     "faulty_self_status": "accession",
     "full_rows_all": "row_idx",
     "neighbours_rows": "row_acc",
+    "neighbours_targets": "row_acc",
 }
 #: Those that are run in parts.
 PARTS = ["sorted_lists"]
