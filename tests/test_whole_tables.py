@@ -25,6 +25,7 @@ WHOLE = (
     "neighbour_records",
     "neighbours_rows",
     "neighbours_targets",
+    "report_head",
 )
 #: Those that are run here, and the column that names the row of a result, where each has some.
 RUN = {
@@ -36,7 +37,7 @@ RUN = {
     "neighbours_targets": "row_acc",
 }
 #: Those that are run in parts.
-PARTS = ["sorted_lists"]
+PARTS = ["sorted_lists", "report_head"]
 
 
 @pytest.fixture(scope="module")
