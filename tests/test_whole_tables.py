@@ -26,6 +26,7 @@ WHOLE = (
     "neighbours_rows",
     "neighbours_targets",
     "report_head",
+    "stage_subset_mismatches",
 )
 #: Those that are run here, and the column that names the row of a result, where each has some.
 RUN = {
@@ -35,6 +36,7 @@ RUN = {
     "full_rows_all": "row_idx",
     "neighbours_rows": "row_acc",
     "neighbours_targets": "row_acc",
+    "stage_subset_mismatches": None,
 }
 #: Those that are run in parts.
 PARTS = ["sorted_lists", "report_head"]
