@@ -27,6 +27,7 @@ WHOLE = (
     "neighbours_targets",
     "report_head",
     "stage_subset_mismatches",
+    "topk_10",
 )
 #: Those that are run here, and the column that names the row of a result, where each has some.
 RUN = {
@@ -37,6 +38,7 @@ RUN = {
     "neighbours_rows": "row_acc",
     "neighbours_targets": "row_acc",
     "stage_subset_mismatches": None,
+    "topk_10": "row_acc",
 }
 #: Those that are run in parts.
 PARTS = ["sorted_lists", "report_head"]
