@@ -28,6 +28,7 @@ WHOLE = (
     "report_head",
     "stage_subset_mismatches",
     "topk_10",
+    "all_pairs_matrix",
 )
 #: Those that are run here, and the column that names the row of a result, where each has some.
 RUN = {
@@ -39,6 +40,7 @@ RUN = {
     "neighbours_targets": "row_acc",
     "stage_subset_mismatches": None,
     "topk_10": "row_acc",
+    "all_pairs_matrix": "row_idx",
 }
 #: Those that are run in parts.
 PARTS = ["sorted_lists", "report_head"]
