@@ -29,6 +29,7 @@ WHOLE = (
     "stage_subset_mismatches",
     "topk_10",
     "all_pairs_matrix",
+    "compare_rows_summary",
 )
 #: Those that are run here, and the column that names the row of a result, where each has some.
 RUN = {
@@ -43,7 +44,7 @@ RUN = {
     "all_pairs_matrix": "row_idx",
 }
 #: Those that are run in parts.
-PARTS = ["sorted_lists", "report_head"]
+PARTS = ["sorted_lists", "report_head", "compare_rows_summary"]
 
 
 @pytest.fixture(scope="module")
