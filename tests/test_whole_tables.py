@@ -30,6 +30,7 @@ WHOLE = (
     "topk_10",
     "all_pairs_matrix",
     "compare_rows_summary",
+    "full_rows_targets",
 )
 #: Those that are run here, and the column that names the row of a result, where each has some.
 RUN = {
@@ -42,6 +43,7 @@ RUN = {
     "stage_subset_mismatches": None,
     "topk_10": "row_acc",
     "all_pairs_matrix": "row_idx",
+    "full_rows_targets": "row_idx",
 }
 #: Those that are run in parts.
 PARTS = ["sorted_lists", "report_head", "compare_rows_summary"]
