@@ -31,6 +31,7 @@ WHOLE = (
     "all_pairs_matrix",
     "compare_rows_summary",
     "full_rows_targets",
+    "topk_boundary_pools",
 )
 #: Those that are run here, and the column that names the row of a result, where each has some.
 RUN = {
@@ -44,6 +45,7 @@ RUN = {
     "topk_10": "row_acc",
     "all_pairs_matrix": "row_idx",
     "full_rows_targets": "row_idx",
+    "topk_boundary_pools": "row_acc",
 }
 #: Those that are run in parts.
 PARTS = ["sorted_lists", "report_head", "compare_rows_summary"]
