@@ -32,6 +32,7 @@ WHOLE = (
     "compare_rows_summary",
     "full_rows_targets",
     "topk_boundary_pools",
+    "topk_function_status",
 )
 #: Those that are run here, and the column that names the row of a result, where each has some.
 RUN = {
