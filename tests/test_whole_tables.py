@@ -34,6 +34,7 @@ WHOLE = (
     "topk_boundary_pools",
     "topk_function_status",
     "topk_function_summary",
+    "topk_multi",
 )
 #: Those that are run here, and the column that names the row of a result, where each has some.
 RUN = {
