@@ -23,7 +23,7 @@ from kinmat.constants import EXIST_FRACTION, KMER_LENGTH, PAIR_GROUP_ROWS
 from kinmat.functions.kmers import exploded
 from kinmat.operators.kmer_runs import CLASS, joined_parts, kmer_parts
 from kinmat.operators.skew import join_grouped
-from kinmat.session import settle, ship_package, spread
+from kinmat.session import discard, settle, settled_apart, ship_package, spread
 
 #: Entries of class lists that a task holds of one block of texts, and those that it compares at a time; pairs formed at a
 #: time are a quarter of the square of PAIR_GROUP_ROWS.
@@ -252,14 +252,17 @@ def candidates(classes: DataFrame) -> DataFrame:
 
 def kmer_neighbours(docs: DataFrame, k: int = KMER_LENGTH) -> KmerNeighbours:
     """All existing pairs of ``docs`` (id LONG, text STRING) with exact counts."""
-    groups = settle(copy_groups(docs))
+    spark = docs.sparkSession
+    groups = settled_apart(spark, lambda: copy_groups(docs))
     reps = groups.where("id = rep_id").select("id", "copies")
     # Distinct texts are kept, not their k-mers, which are some thirty times larger.
     texts = settle(spread(docs.join(reps, "id", "left_semi").select("id", "text"), "id"))
-    parts = settle(kmer_parts(texts, k))
+    parts = settled_apart(spark, lambda: kmer_parts(texts, k))
     counted = parts.groupBy("id").agg(F.sum("weight").alias("size"))
     known = settle(texts.select("id").join(counted, "id", "left").select("id", F.coalesce("size", F.lit(0)).cast("int").alias("size")))
     classes = settle(run_classes(parts, known))
+    for table in (texts, parts):
+        discard(table)
     counted = _in_tiles(classes, reps, _Pairs)
     flip = F.col("small") > F.col("large")
     a_first = lambda a, b: F.when(flip, F.col(b)).otherwise(F.col(a))

@@ -2,7 +2,8 @@
 
 The minimizer of a k-mer is the least hash of the shorter strings in it. Neighbouring k-mers mostly share
 it, so a text is cut into runs of k-mers with one minimizer, some seven k-mers long on average, and a run travels as the
-piece of text that it spans. Equal k-mers have equal minimizers and meet in one place, where runs are spread out again and
+piece of text that it spans. Minimizers are dealt into buckets, and the runs of a bucket that are cut together travel as one row.
+Equal k-mers have equal minimizers and meet in one place, where runs are spread out again and
 k-mers are counted. K-mers are compared by two 64-bit hashes.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from kinmat.constants import KMER_LENGTH, MAX_HOT_KEYS
 from kinmat.operators.skew import join_grouped
-from kinmat.session import settle, ship_package
+from kinmat.session import settle, ship_package, together
 
 #: Length of the strings whose least hash is the minimizer.
 MINIMIZER_LENGTH = 9
@@ -28,6 +29,10 @@ CHUNK_KMERS = 1 << 20
 GROUP_KMERS = 4 << 20
 #: Code points of text that a task cuts at a time.
 SLICE_POINTS = 1 << 20
+#: K-mers of a bucket of minimizers on average, and the least number of buckets, so that a row stays a few kilobytes.
+BUCKET_KMERS, MIN_BUCKETS = 1 << 18, 1 << 11
+#: K-mers whose runs are shuffled at a time; a larger collection is cut again for the buckets of each wave.
+WAVE_KMERS = 1 << 28
 
 _MULTIPLIERS = np.random.default_rng(20_240_607).integers(1, 1 << 63, (3, 4096), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -154,6 +159,12 @@ def _kmers(flat: np.ndarray, offsets: np.ndarray, ids: np.ndarray, k: int) -> tu
     return ids[run[inside]], window_hashes(flat, k, 0)[inside], window_hashes(flat, k, 1)[inside]
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """Whole numbers of 64 bits without a sign in the fewest bytes that hold all of them."""
+    most = int(values.max(initial=0))
+    return values.astype(next(t for t in (np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max))
+
+
 def minimizer_sizes(texts: DataFrame, k: int) -> DataFrame:
     """minimizer and n: k-mers (repeats counted) of ``texts`` (id, text), summed within slices first."""
 
@@ -167,68 +178,105 @@ def minimizer_sizes(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(run, "minimizer long, n long").groupBy("minimizer").agg(F.sum("n").alias("n"))
 
 
-def _cut(texts: DataFrame, k: int, hot: list[int]) -> DataFrame:
-    """minimizer, id, wide and run for ordinary minimizers; of hot ones id, high and low of every k-mer."""
-    hot = np.array(sorted(hot), dtype=np.int64)
-    names = ["minimizer", "id", "wide", "run", "high", "low"]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64()]
+def _packed_runs(texts: DataFrame, k: int, hot: list[int], buckets: int, waves: int, wave: int) -> DataFrame:
+    """The runs of ordinary minimizers in the buckets of a wave, a row for each bucket and slice of text.
 
-    def part(n: int, **columns: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, t)) for c, t in zip(names, kinds, strict=True)], names=names)
+    ``ids`` has what the id of each run is above ``base`` and ``sizes`` its number of k-mers, in numbers of as many bytes as
+    ``id_bytes`` and ``size_bytes`` say; ``run`` has the texts of all runs end to end.
+    """
+    hot = np.array(sorted(hot), dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, points, first in _slices(batches, k):
             least, text, at, n = _runs_of(points, first, k)
-            is_hot, own = np.isin(least.view(np.int64), hot), ids[text]
+            bucket = (_mixed(least + _MIX_2) % np.uint64(buckets)).astype(np.int64)
+            taken = ~np.isin(least.view(np.int64), hot) & (bucket % waves == wave)
             # Most texts have code points of one byte; runs with others are sent apart.
             high_points = np.append(0, np.cumsum(points > 255))
             wide = high_points[at + n + k - 1] > high_points[at]
             for flag in (False, True):
-                chosen = np.flatnonzero(~is_hot & (wide == flag))
+                chosen = np.flatnonzero(taken & (wide == flag))
+                if not len(chosen):
+                    continue
+                # Equal minimizers side by side: equal runs compress well.
+                chosen = chosen[np.lexsort((least[chosen], bucket[chosen]))]
+                starts = np.flatnonzero(np.diff(bucket[chosen], prepend=-1))
+                rows = np.append(starts, len(chosen))
+                own, sizes = ids[text[chosen]], _narrow(n[chosen].astype(np.uint64))
+                base = np.minimum.reduceat(own, starts)
+                above = _narrow(own.view(np.uint64) - np.repeat(base, np.diff(rows)).view(np.uint64))
                 flat, offsets = _spelled(points if flag else points.astype(np.uint8), at[chosen], n[chosen] + k - 1)
-                yield part(
-                    len(chosen),
-                    minimizer=pa.array(least[chosen].view(np.int64)),
-                    id=pa.array(own[chosen]),
-                    wide=pa.array(np.full(len(chosen), flag)),
-                    run=_binary(flat, offsets),
-                )
-            chosen = np.flatnonzero(is_hot)
-            of, high, low, _ = _postings(*_kmers(*_spelled(points, at[chosen], n[chosen] + k - 1), own[chosen], k))
-            yield part(len(of), id=pa.array(of), high=pa.array(high.view(np.int64)), low=pa.array(low.view(np.int64)))
+                columns = {
+                    "bucket": pa.array(bucket[chosen][starts]), "wide": pa.array(np.full(len(starts), flag)), "base": pa.array(base),
+                    "id_bytes": pa.array(np.full(len(starts), above.itemsize, dtype=np.int32)), "ids": _binary(above, rows),
+                    "size_bytes": pa.array(np.full(len(starts), sizes.itemsize, dtype=np.int32)), "sizes": _binary(sizes, rows),
+                    "run": _binary(flat, offsets[rows]),
+                }
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return texts.mapInArrow(run, "minimizer long, id long, wide boolean, run binary, high long, low long")
+    return texts.mapInArrow(run, "bucket long, wide boolean, base long, id_bytes int, ids binary, size_bytes int, sizes binary, run binary")
+
+
+def _hot_postings(texts: DataFrame, k: int, hot: list[int]) -> DataFrame:
+    """id, high and low of every k-mer of hot minimizers."""
+    hot = np.array(sorted(hot), dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, points, first in _slices(batches, k):
+            least, text, at, n = _runs_of(points, first, k)
+            chosen = np.flatnonzero(np.isin(least.view(np.int64), hot))
+            of, high, low, _ = _postings(*_kmers(*_spelled(points, at[chosen], n[chosen] + k - 1), ids[text[chosen]], k))
+            yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(high.view(np.int64)), pa.array(low.view(np.int64))], names=["id", "high", "low"])
+
+    return texts.mapInArrow(run, "id long, high long, low long")
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column end to end, and how many each row has."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch with about a slice of text each."""
+    if batch.num_rows:
+        total = np.cumsum(pc.binary_length(batch.column("run")).to_numpy())
+        cuts = np.flatnonzero(np.diff(total // SLICE_POINTS, prepend=0))
+        for low, high in zip([0, *cuts], [*cuts, batch.num_rows]):
+            if high > low:
+                yield batch.slice(low, high - low)
 
 
 def _spread_out(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """minimizer, id and both hashes of every k-mer of a batch of runs."""
+    """bucket, id and both hashes of every k-mer of a batch of runs."""
     found = []
-    for flag, kind in ((False, np.uint8), (True, np.uint32)):
-        rows = batch.filter(pc.equal(batch.column("wide"), flag))
-        if rows.num_rows:
-            runs, size = rows.column("run"), np.dtype(kind).itemsize
-            offsets = np.frombuffer(runs.buffers()[1], dtype=np.int32)[runs.offset : runs.offset + len(runs) + 1].astype(np.int64)
-            flat = np.frombuffer(runs.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].view(kind)
-            offsets = (offsets - offsets[0]) // size
-            ids, high, low = _kmers(flat, offsets, rows.column("id").to_numpy(), k)
-            found.append((np.repeat(rows.column("minimizer").to_numpy(), np.diff(offsets) - k + 1), ids, high, low))
+    kinds = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("wide", "id_bytes", "size_bytes")]
+    for flag, id_bytes, size_bytes in sorted(set(zip(*(x.tolist() for x in kinds)))):
+        rows = batch.filter(pa.array((kinds[0] == flag) & (kinds[1] == id_bytes) & (kinds[2] == size_bytes)))
+        above, in_row = _bytes_of(rows.column("ids"))
+        above, in_row = above.view(f"u{id_bytes}").astype(np.uint64), in_row // id_bytes
+        ids = (np.repeat(rows.column("base").to_numpy(), in_row).view(np.uint64) + above).view(np.int64)
+        sizes = _bytes_of(rows.column("sizes"))[0].view(f"u{size_bytes}").astype(np.int64)
+        flat = _bytes_of(rows.column("run"))[0].view(np.uint32 if flag else np.uint8)
+        ids, high, low = _kmers(flat, np.append(0, np.cumsum(sizes + k - 1)), ids, k)
+        found.append((np.repeat(np.repeat(rows.column("bucket").to_numpy(), in_row), sizes), ids, high, low))
     return tuple(np.concatenate(x) for x in zip(*found)) if found else tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
 
 
 def _counter(k: int, chunk_kmers: int, group_kmers: int):
-    """Counts whole minimizers from runs in their order, some of them together."""
+    """Counts whole buckets from runs in their order, some of them together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, giant = [], 0, None
-        for batch in batches:
-            found = _spread_out(batch, k)
+        for piece in (p for batch in batches for p in _pieces(batch)):
+            found = _spread_out(piece, k)
             if not len(found[0]):
                 continue
             order = np.argsort(found[0], kind="stable")
             found = tuple(x[order] for x in found)
             last = found[0][-1]
             if giant is not None:
-                # The minimizer that was too large goes on as rows to its end.
+                # The bucket that was too large goes on as rows to its end.
                 same = int(np.searchsorted(found[0], giant, side="right"))
                 yield _single(*(x[:same] for x in found[1:]))
                 if same == len(found[0]):
@@ -256,29 +304,29 @@ def kmer_parts(
 ) -> DataFrame:
     """id, class (df, mark_a, mark_b) and weight: how many distinct k-mers of a text are in exactly the texts of the class.
 
-    ``texts`` (id LONG, text STRING) has each id once and should be a settled table; it is read twice. The marks are hashes over the ids of
-    all texts with the k-mer; those of k-mers of one text alone are zero. A class may stand in several rows of a text. Texts without a
-    k-mer have no row.
+    ``texts`` (id LONG, text STRING) has each id once and should be a settled table; it is read twice, and once more for each wave
+    and for hot minimizers. The marks are hashes over the ids of all texts with the k-mer; those of k-mers of one text alone are zero.
+    A class may stand in several rows of a text. Texts without a k-mer have no row.
 
     Minimizers above a share of 1/MAX_HOT_KEYS of all k-mers are hot, so there are fewer than MAX_HOT_KEYS of them;
-    their k-mers, and those of a minimizer too large for a task's memory, are counted as rows with a salted join.
+    their k-mers, and those of a bucket too large for a task's memory, are counted as rows with a salted join. Runs are shuffled
+    in waves of WAVE_KMERS k-mers, and the files of one are deleted before the next one.
     """
     if not 1 <= k <= _MULTIPLIERS.shape[1]:
         raise ValueError(f"k must be between 1 and {_MULTIPLIERS.shape[1]}")
     ship_package(texts.sparkSession)
-    sizes = settle(minimizer_sizes(texts, k))
-    total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
+    total = texts.agg(F.sum(F.greatest(F.char_length("text") - F.lit(k - 1), F.lit(0)))).first()[0] or 0
     limit = max(hot_kmers, total // MAX_HOT_KEYS)
-    hot = [r["minimizer"] for r in sizes.where(F.col("n") > limit).collect()]
-    cut = _cut(texts, k, hot)
-    if hot:
-        cut = settle(cut)
-    runs = cut.where("minimizer IS NOT NULL").select("minimizer", "id", "wide", "run")
-    placed = runs.repartition("minimizer").sortWithinPartitions("minimizer")
-    found = settle(placed.mapInArrow(_counter(k, chunk_kmers, group_kmers), PARTS))
+    hot = [r["minimizer"] for r in settle(minimizer_sizes(texts, k).where(F.col("n") > limit)).collect()]
+    buckets, waves = max(MIN_BUCKETS, -(-total // BUCKET_KMERS)), max(1, -(-total // WAVE_KMERS))
+    found = []
+    for wave in range(waves):
+        placed = _packed_runs(texts, k, hot, buckets, waves, wave).repartition("bucket").sortWithinPartitions("bucket")
+        found.append(settle(placed.mapInArrow(_counter(k, chunk_kmers, group_kmers), PARTS)))
+    found = together(found)
     rest = found.where("df = 0").select("id", F.struct(F.col("mark_a").alias("high"), F.col("mark_b").alias("low")).alias("kmer"))
     if hot:
-        rest = rest.union(cut.where("minimizer IS NULL").select("id", F.struct("high", "low").alias("kmer")))
+        rest = rest.union(settle(_hot_postings(texts, k, hot)).select("id", F.struct("high", "low").alias("kmer")))
     return found.where("df > 0").unionByName(joined_parts(rest))
 
 
